@@ -140,7 +140,7 @@ def pack_best_fit(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     moves = best_fit_moves(sizes, capacity)
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = pieces.join(bases, ["length", "task"])
+    ranked = pieces.join(bases.hint("merge"), ["length", "task"])  # a row for each length and task: more than a broadcast may hold
     plan = spark.sparkContext.broadcast(moves)
 
     def place(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

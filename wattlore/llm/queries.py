@@ -65,5 +65,80 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM g
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op9_chat_formatting, op10_warc_bundles)}
-SQL: dict[str, str] = {"op9_chat_formatting": SQL_OP9, "op10_warc_bundles": SQL_OP10}
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_files import read_token_files, write_token_files
+
+    manifest = materialize(write_token_files(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json")), "manifest")
+    return read_token_files(manifest)
+
+
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import ngram_jaccard_groups
+
+    return ngram_jaccard_groups(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
+SQL_OP6 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)] END) AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS shared FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id
+  AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY ALL),
+l AS (SELECT a, b FROM c WHERE 100 * shared >= 90 * (na + nb - shared)),
+t AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS root FROM s UNION SELECT t.b, r.root FROM r JOIN t ON t.a = r.doc_id WHERE r.root < t.b),
+m AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
+SELECT s.doc_id, len(s)::BIGINT AS n_shingles, component_id FROM s JOIN m USING (doc_id)
+"""
+
+#: Fixed values of the rule list: verdict, host, path.
+URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _op7_sql(rounds: int = 10) -> str:
+    steps = [
+        f"""k{i} AS (SELECT kind, host, sum(m)::DOUBLE AS m FROM (SELECT kind, host, 0.15 * w AS m FROM s UNION ALL
+  SELECT e.kind, e.dst, 0.85 * k.m * e.n / d.n FROM k{i - 1} k JOIN e ON e.kind = k.kind AND e.src = k.host JOIN d ON d.kind = e.kind AND d.src = e.src) GROUP BY kind, host)"""
+        for i in range(1, rounds + 1)
+    ]
+    rules = ", ".join(str(r) for r in URL_RULES)
+    return rf"""
+WITH rules(v, h, p) AS (VALUES {rules}),
+u AS (SELECT page_id, coalesce(url, '') AS u, coalesce(html, '') AS html FROM pages),
+p AS (SELECT page_id, html, translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, row_number() OVER () AS row FROM u),
+b AS (SELECT row, h || p.p AS rule, v FROM p AS p0(page_id, html, host, path, row) JOIN rules p ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p.p)
+  QUALIFY row_number() OVER (PARTITION BY row ORDER BY length(h || p.p) DESC, h || p.p) = 1),
+j AS (SELECT p.*, rule, v FROM p LEFT JOIN b USING (row)),
+s AS (SELECT CASE v WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, count(*) / sum(count(*)) OVER (PARTITION BY v) AS w FROM j WHERE rule IS NOT NULL GROUP BY v, host),
+x AS (SELECT host AS src, translate(unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\s>]+)', 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM p),
+y AS (SELECT src, dst, count(*) AS n FROM x WHERE src <> dst AND src <> '' GROUP BY src, dst),
+e AS (SELECT 'trust' AS kind, src, dst, n FROM y UNION ALL SELECT 'distrust', dst, src, n FROM y),
+d AS (SELECT kind, src, sum(n) AS n FROM e GROUP BY kind, src),
+k0 AS (SELECT kind, host, 0.15 * w AS m FROM s),
+{", ".join(steps)},
+f AS (SELECT host, coalesce(sum(m) FILTER (kind = 'trust'), 0) AS t, coalesce(sum(m) FILTER (kind = 'distrust'), 0) AS d FROM k{rounds} GROUP BY host)
+SELECT page_id, j.host, path, rule, coalesce(v, CASE WHEN f.d > f.t THEN 'block' ELSE 'allow' END) AS verdict FROM j LEFT JOIN f ON f.host = j.host
+"""
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit, held_out, identify
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs)
+    rows = docs.select("doc_id", "text")
+    return identify(rows, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_best_fit_packing, op4_token_files, op6_ngram_jaccard_join, op7_url_filters, op8_language_id, op9_chat_formatting, op10_warc_bundles)
+}
+SQL: dict[str, str] = {"op6_ngram_jaccard_join": SQL_OP6, "op7_url_filters": _op7_sql(), "op9_chat_formatting": SQL_OP9, "op10_warc_bundles": SQL_OP10}

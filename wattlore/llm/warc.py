@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize, open_fs, work_dir, write_bytes
+from .common import materialize, open_fs, shuffle_parts, work_dir, write_bytes
 
 #: Fixed values of the seekable format: the skippable frame's magic number and the seek table's.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -174,7 +174,8 @@ def read_archives(index: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     names = ["page_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to", "payload"]
-    frames = index.groupBy("path", "frame").agg(F.sort_array(F.collect_list(F.struct("at", "size"))).alias("r"))
+    dealt = index.repartition(shuffle_parts(index.sparkSession), "path", "frame")  # small rows that stand for much work: not to be coalesced
+    frames = dealt.groupBy("path", "frame").agg(F.sort_array(F.collect_list(F.struct("at", "size"))).alias("r"))
     return frames.select("path", "frame", F.col("r.at").alias("ats"), F.col("r.size").alias("sizes")).mapInArrow(read, schema)
 
 

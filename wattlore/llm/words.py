@@ -90,11 +90,11 @@ def shingles(h: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.
         s ^= s >> np.uint64(31)
     g[np.repeat(long, count)] = mix(s)
     for i in np.flatnonzero((n > 0) & ~long):
-        x = np.uint64(n[i]) * M3
-        for w in h[bounds[i] : bounds[i + 1]]:
-            x = (x ^ w) * M1
+        x = np.array([n[i]], np.uint64) * M3
+        for j in range(bounds[i], bounds[i + 1]):
+            x = (x ^ h[j : j + 1]) * M1
             x ^= x >> np.uint64(31)
-        g[out[i]] = mix(np.array([x], np.uint64))[0]
+        g[out[i]] = mix(x)[0]
     return distinct_sorted(g, out)
 
 
@@ -112,5 +112,6 @@ def distinct_sorted(g: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
 
 def segment_sum(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sums of consecutive segments, empty ones included."""
-    total = np.concatenate([[0], np.cumsum(values)])
+    total = np.zeros(len(values) + 1, values.dtype)
+    np.cumsum(values, out=total[1:])
     return total[bounds[1:]] - total[bounds[:-1]]
