@@ -1,8 +1,55 @@
-"""A training-corpus pipeline: language ID, near-duplicate join, benchmark decontamination, packing."""
+"""A training-corpus pipeline over documents: language ID, near-duplicate join, benchmark decontamination, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from wattlore.llm.common import materialize
+from wattlore.llm.decontam import without_leaks
+from wattlore.llm.langid import UNKNOWN, fit, identify
+from wattlore.llm.ngram_join import ngram_jaccard_groups
+from wattlore.llm.packing import pack_documents
+from wattlore.llm.queries import table, tokenizer_file
+
+#: A document whose best language has a smaller mean word probability is rejected; one of no letters always is.
+LEAST_LANGUAGE = 0.4
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the conditional random field knows; it is fitted on a bounded sample of them."""
+    kept = identify(docs, fit(docs)).filter((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= LEAST_LANGUAGE))
+    return kept.select(docs.columns)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest doc_id, of each group with five-word shingles alike to 0.8 or more."""
+    groups = ngram_jaccard_groups(docs, k=5, percent=80)
+    gone = materialize(groups.filter("component_id <> doc_id").select("doc_id"), "near-duplicates")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The packed pieces of all documents that are left."""
+    return pack_documents(docs, tokenizer_file("word_bpe_49k.json"))
+
+
+STAGES = [("language_id", language_id), ("ngram_jaccard_join", ngram_jaccard_join), ("decontamination", decontamination), ("packing", packing)]
+
+#: The language model of the first stage and the tokenizer of the last can't be said in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table, each written before the next reads it."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

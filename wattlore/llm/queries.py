@@ -138,7 +138,46 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(rows, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import find_leaks
+
+    leaks = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks.select("doc_id", "item_id", F.round("score", 6).alias("score"), "question_overlap", "answer_overlap")
+
+
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .search import top_k
+
+    docs = table(spark, sf_dir, "documents")
+    return top_k(docs, F.coalesce(docs["doc_id"] % 20 == 0, F.lit(False)), k=10)
+
+
+SQL_OP3 = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT count(*)::DOUBLE AS n, avg(len(w)) AS mean FROM w),
+t AS (SELECT doc_id, len(w) AS dl, unnest(w) AS t FROM w),
+p AS (SELECT doc_id, t, any_value(dl) AS dl, count(*)::DOUBLE AS tf FROM t GROUP BY doc_id, t),
+f AS (SELECT t, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM p, g GROUP BY t),
+s AS (SELECT q.doc_id AS query_id, p.doc_id, round(sum(idf * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * p.dl / mean))), 6) AS score
+  FROM p AS q JOIN p USING (t) JOIN f USING (t), g WHERE q.doc_id % 20 = 0 GROUP BY ALL)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM s QUALIFY rank <= 10
+"""
+
+
+def op5_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_tree import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op4_token_files, op6_ngram_jaccard_join, op7_url_filters, op8_language_id, op9_chat_formatting, op10_warc_bundles)
-}
-SQL: dict[str, str] = {"op6_ngram_jaccard_join": SQL_OP6, "op7_url_filters": _op7_sql(), "op9_chat_formatting": SQL_OP9, "op10_warc_bundles": SQL_OP10}
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing, op2_benchmark_decontamination, op3_exact_top_k, op4_token_files, op5_suffix_tree_scores,
+        op6_ngram_jaccard_join, op7_url_filters, op8_language_id, op9_chat_formatting, op10_warc_bundles,
+    )
+}
+SQL: dict[str, str] = {
+    "op3_exact_top_k": SQL_OP3, "op6_ngram_jaccard_join": SQL_OP6, "op7_url_filters": _op7_sql(), "op9_chat_formatting": SQL_OP9, "op10_warc_bundles": SQL_OP10,
+}
