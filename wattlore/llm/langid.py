@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import string_buffers
 from .words import M1, M2, M3, hash_spans, spans
@@ -249,5 +249,5 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             columns = [f.column(c) for c in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], [*kept, "lang_pred", "lang_score"])
 
-    schema = docs.select(*kept).schema.add("lang_pred", "string").add("lang_score", "double")
+    schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
     return rows.mapInArrow(run, schema)
