@@ -33,7 +33,7 @@ def drop_noise(blocks: DataFrame, types: Sequence[str], noise: Sequence[str] = N
 def clean_text(text: Column) -> Column:
     """Ideographic spaces to spaces, runs of blanks to one, no blanks around line ends, trimmed."""
     t = F.regexp_replace(F.translate(text, "　\xa0", "  "), r"[ \t]+", " ")
-    return F.trim(F.regexp_replace(t, r" ?\n ?", "\n"))
+    return F.regexp_replace(F.regexp_replace(t, r" ?\n ?", "\n"), r"^\s+|\s+$", "")
 
 
 def spans_to_text(spans: Column) -> Column:

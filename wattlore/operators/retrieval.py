@@ -74,7 +74,7 @@ def dense_topk(queries: DataFrame, items: DataFrame, k: int = 30, max_query_floa
     out = None
     for i in range(blocks):
         part = queries.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i).select("qid", "embedding").toPandas()
-        q = np.array(part["embedding"].tolist(), np.float64).reshape(len(part), -1)
+        q = np.array(part["embedding"].tolist(), np.float64).reshape(len(part), d)
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
         held = spark.sparkContext.broadcast((part["qid"].to_numpy(), q))
 

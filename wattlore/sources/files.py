@@ -81,7 +81,7 @@ def write_params(params: Mapping[str, DataFrame], path: str) -> None:
     entries = lambda k, v: F.map_from_entries(F.array_sort(F.collect_list(F.struct(k, v))))
     prior = params["prior"].agg(entries("class", "p").alias("prior"))
     by_class = params["cpt"].groupBy("class").agg(entries(F.col("symptom"), F.struct("p_true", "p_false")).alias("s"))
-    cpt = by_class.agg(entries("class", "s").alias("cpt"))
+    cpt = by_class.agg(F.map_from_entries(F.collect_list(F.struct("class", "s"))).alias("cpt"))  # maps have no order to sort by
     weights = params["weights"].agg(entries("class", "w").alias("fusion_weights"))
     prior.crossJoin(cpt).crossJoin(weights).crossJoin(params["t"].select(F.struct(F.col("t").alias("T")).alias("calibration"))).write.mode("overwrite").json(path)
 
