@@ -145,6 +145,16 @@ def test_grade_and_kappa(spark):
     assert rank_eval.agreement(same.filter("a = 1"), "a", "b")[0].first().kappa is None
 
 
+def test_chunking_ablation(spark):
+    schema = "chunk_id string, unit_ids array<string>, tokens array<string>"
+    one = spark.createDataFrame([("c1", ["u1", "u2"], ["x", "y"]), ("c2", ["u3"], ["z"]), ("c3", ["u4"], ["w"])], schema)
+    two = spark.createDataFrame([("d1", ["u1"], ["x"]), ("d2", ["u2"], ["y"]), ("d3", ["u4"], ["w"])], schema)
+    q = spark.createDataFrame([(1, "h", ["y"], "u2"), (2, "h", ["z"], "u3")], "qid int, type string, tokens array<string>, source_unit_id string")
+    metrics, skipped = rank_eval.chunking_ablation({"one": one, "two": two}, q)
+    assert {r.config: (r.n, r.recall_1) for r in metrics.filter("type = 'ALL'").collect()} == {"one": (2, 1), "two": (1, 1)}
+    assert {r.config: r.skipped for r in skipped.collect()} == {"one": 0, "two": 1}
+
+
 def test_neighbours_and_spans(spark):
     chunks = spark.createDataFrame([("d", i, f"c{i}", s) for i, s in enumerate([["a"], ["a", "b"], ["b"], ["z"], ["b"]])], "doc_id string, seq int, chunk_id string, section_path array<string>")
     hits = spark.createDataFrame([(1, "c1")], "qid int, item_id string")

@@ -91,6 +91,16 @@ def test_masking_and_quotas(spark):
     assert D.content_hash(rows, "id").first() == D.content_hash(rows.repartition(3), "id").first()
 
 
+def test_holdout_and_strata(spark):
+    rng = random.Random(0)
+    rows = [(i, y, rng.random() < (0.9 if y == "a" else 0.1)) for i, y in enumerate(rng.choices("ab", k=300))]
+    df = spark.createDataFrame(rows, "id int, y string, s boolean")
+    got = {r.params: r for r in bayes.holdout_eval(df, "y", ["a", "b"], ["s"], {"a": 0.5, "b": 0.5}, {"a": {"s": 0.5}, "b": {"s": 0.5}}, "id").collect()}
+    assert got["expert"].n == got["learned"].n and 50 < got["expert"].n < 130 and got["learned"].top1 > 0.8 and got["learned"].nll < got["expert"].nll
+    few = datasets.stratified_one_each(df, "y", 3, 1, "id").collect()
+    assert len(few) == 3 and {r.y for r in few} == {"a", "b"}
+
+
 def test_assign_ids(spark):
     got = records.assign_ids(spark.range(57).withColumnRenamed("id", "k"), ["k"], 50).orderBy("k").collect()
     assert [r.record_id for r in got] == [f"R{i:06d}" for i in range(57)] and got[51].device_id == "D01"

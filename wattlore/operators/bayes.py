@@ -7,7 +7,9 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+from ..functions.determinism import hash_number
 
 Params = Mapping[str, Mapping]  # prior {class: p}, cpt {class: {symptom: p_true}}, weights {class: w}
 
@@ -186,6 +188,20 @@ def calibration_metrics(df: DataFrame, classes: Sequence[str], label: str, bins:
     return summary, rel.drop("_t3", "_nll", "_b")
 
 
+def holdout_eval(df: DataFrame, label: str, classes: Sequence[str], symptoms: Sequence[str], expert_prior: Mapping[str, float], expert_cpt: Mapping[str, Mapping[str, float]], id_col: str, ratio: float = 0.3, seed: str | int = 0) -> DataFrame:
+    """params (expert or learned) and calibration metrics on the held-out share; parameters are learned from the rest.
+
+    The share is held out by a hash threshold, which needs no global sort and keeps a row's side when rows are added.
+    """
+    out = hash_number(seed, id_col) < int(ratio * (1 << 32))
+    learned = learn_params(df.filter(~out), label, classes, symptoms, expert=expert_cpt)
+    rows = []
+    for name, prior, cpt in (("expert", expert_prior, expert_cpt), ("learned", learned["prior"], learned["cpt"])):
+        scored = naive_bayes_posterior(df.filter(out), prior, cpt, symptoms)
+        rows.append(calibration_metrics(scored, classes, label)[0].withColumn("params", F.lit(name)))
+    return rows[0].unionByName(rows[1])
+
+
 def class_report(df: DataFrame, label: str, pred: str) -> DataFrame:
     """class, support, tp, precision, recall, f1 for each class, MACRO and WEIGHTED rows."""
     pairs = df.groupBy(F.col(label).alias("y"), F.col(pred).alias("p")).agg(F.count(F.lit(1)).alias("n"))

@@ -289,6 +289,13 @@ def stratified_min(df: DataFrame, by: str, n: int, min_n: int, seed: str | int,
     return quota_sample(df, by, quota, seed, id_col)[0]
 
 
+def stratified_one_each(df: DataFrame, by: str, n: int, seed: str | int, id_col: str) -> DataFrame:
+    """n rows in hash order with at least one of every class: each class's first row, then the best of the rest."""
+    first = Window.partitionBy(by).orderBy(hash_key(seed, id_col), id_col)
+    rows = df.withColumn("_rest", F.when(F.row_number().over(first) == 1, 0).otherwise(1))
+    return rows.orderBy("_rest", hash_key(seed, id_col), id_col).limit(n).drop("_rest")
+
+
 FENCE = re.compile(r"```(?:json)?\s*(.*?)```", re.S)
 TAGGED = re.compile(r"<tool_call>\s*(.*?)\s*</tool_call>", re.S)
 

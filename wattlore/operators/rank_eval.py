@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.determinism import hash_key, split_by_group  # noqa: F401  part of this module's surface
+from .retrieval import bm25_topk
+from .textindex import bm25_index
 
 
 def derive_queries(units: DataFrame, chunks: DataFrame, definition: str = r"^(.{2,20}?)(是指|指的是| is defined as | means )") -> DataFrame:
@@ -85,6 +87,19 @@ def rrf_grid(channels: DataFrame, gold: DataFrame, grid: DataFrame, k: int = 60,
     return metrics.join(F.broadcast(grid), "grid_id"), best
 
 
+def chunking_ablation(strategies: Mapping[str, DataFrame], queries: DataFrame, k: int = 10, ks: Sequence[int] = (1, 3, 5, 10)) -> tuple[DataFrame, DataFrame]:
+    """(metrics by strategy and type, queries without gold by strategy). strategies: chunks (chunk_id, unit_ids, tokens) of
+    each way of chunking; queries: qid, type, tokens, source_unit_id. Gold is every chunk that holds the source unit."""
+    runs, metrics, skipped = {}, [], []
+    for name, chunks in strategies.items():
+        held = chunks.select(F.explode("unit_ids").alias("source_unit_id"), F.col("chunk_id").alias("item_id"))
+        gold = queries.select("qid", "type", "source_unit_id").join(held, "source_unit_id").select("qid", "type", "item_id")
+        skipped.append(queries.join(gold.select("qid").distinct(), "qid", "left_anti").agg(F.count(F.lit(1)).alias("skipped")).withColumn("config", F.lit(name)))
+        runs[name] = bm25_topk(queries.select("qid", "tokens"), bm25_index(chunks, "chunk_id", "tokens", "chunk"), "chunk", k)
+        metrics.append(ranking_metrics(runs[name], gold, ks).withColumn("config", F.lit(name)))
+    return reduce(DataFrame.unionByName, metrics), reduce(DataFrame.unionByName, skipped)
+
+
 def lexical_grade(pairs: DataFrame, idf: DataFrame, t: Sequence[float] = (0.2, 0.5, 0.8), bonus: float = 0.15) -> DataFrame:
     """Grade 0-3 of (qid, item_id, query_tokens, tokens, heading_tokens): idf-weighted share of the query's terms in the body
     (idf at least 0.1, unknown terms 1), a bonus where the heading shares a term, cut at 1; no query terms give 1."""

@@ -546,14 +546,14 @@ _GRAMS = "list_distinct(CASE WHEN length(t) < 8 THEN string_split(t, '') ELSE li
 
 @query(f"""WITH c AS (SELECT conv_id, turn, regexp_replace(lower(substr(text, 1, 40)), '\\s', '', 'g') AS t FROM conversations WHERE role = 'user'), g AS (SELECT conv_id, turn, t, {_GRAMS} AS g FROM c WHERE t <> ''),
 a AS (SELECT DISTINCT t, g FROM g WHERE conv_id % 2 = 0), b AS (SELECT DISTINCT t, g FROM g WHERE conv_id % 2 = 1),
-m AS (SELECT a.t AS ta, b.t AS tb, len(list_intersect(a.g, b.g)) AS i, len(a.g) AS na, len(b.g) AS nb FROM a, b WHERE least(len(a.g), len(b.g)) > 0.5 * greatest(len(a.g), len(b.g))),
-x AS (SELECT ta, tb FROM m WHERE i / (na + nb - i) > 0.5)
+m AS (SELECT a.t AS ta, b.t AS tb, len(list_intersect(a.g, b.g)) AS i, len(a.g) AS na, len(b.g) AS nb FROM a, b WHERE least(len(a.g), len(b.g)) > 0.7 * greatest(len(a.g), len(b.g))),
+x AS (SELECT ta, tb FROM m WHERE i / (na + nb - i) > 0.7)
 SELECT p.conv_id * 100 + p.turn AS train_id, q.conv_id * 100 + q.turn AS test_id FROM x JOIN c p ON p.t = x.ta AND p.conv_id % 2 = 0 JOIN c q ON q.t = x.tb AND q.conv_id % 2 = 1""")
 def leaking_openings(spark, sf_dir):
     """User turns of even and odd conversations whose first forty characters are alike."""
     rows = table(spark, sf_dir, "conversations").filter("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), (F.col("conv_id") % 2).alias("odd"), F.regexp_replace(F.lower(F.substring("text", 1, 40)), r"\s", "").alias("text"))
     train, test = rows.filter("odd = 0").withColumnRenamed("id", "train_id"), rows.filter("odd = 1").withColumnRenamed("id", "test_id")
-    return datasets.near_duplicate_leaks(train, test, thr=0.5).select("train_id", "test_id")
+    return datasets.near_duplicate_leaks(train, test, thr=0.7).select("train_id", "test_id")
 
 
 @query("""SELECT l_orderkey, max(struct_pack(s := l_discount, i := l_linenumber)).i AS chosen, min(struct_pack(s := l_discount, i := l_linenumber)).i AS rejected, round((max(l_discount) - min(l_discount))::DOUBLE, 6) AS gap FROM lineitem GROUP BY l_orderkey HAVING round((max(l_discount) - min(l_discount))::DOUBLE, 6) >= 0.05""")
