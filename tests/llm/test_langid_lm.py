@@ -62,6 +62,14 @@ def test_held_out_accuracy_and_edges(spark):
     assert {r.lang_pred for r in L.identify(docs, L.fit(docs.limit(0))).collect()} == {"und"}
 
 
+def test_features_do_not_depend_on_the_batch():
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices(["a", "de", "ing", "é", "wörter"], k=rng.randint(0, 9))) for _ in range(130)]
+    lexicon = np.sort(np.array([1, 2], np.uint64))
+    whole, parts = L.features(*L.string_buffers(pa.array(texts)), lexicon), L.features_of(texts, lexicon, 7)
+    assert all(len(a) == len(b) and (a == b).all() for a, b in zip(whole, parts))
+
+
 def test_code_switching_follows_the_words():
     rng = random.Random(4)
     texts, langs = zip(*[(text(rng, lang), lang) for lang in SYLLABLES for _ in range(80)])

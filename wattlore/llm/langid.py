@@ -46,9 +46,9 @@ def features(data: np.ndarray, offs: np.ndarray, lexicon: np.ndarray) -> tuple[n
     fixed = []
     head, tail = eight[starts + 8], eight[starts + lengths]
     for k in range(1, 5):
-        keep = np.uint64((1 << 8 * k) - 1)
-        fixed.append(((head & keep) * M1 + np.uint64(k)) * M2 >> shift)
-        fixed.append(((tail >> np.uint64(64 - 8 * k)) * M3 + np.uint64(k)) * M1 >> shift)
+        own = 8 * np.minimum(lengths, k).astype(np.uint64)  # a shorter word is its own affix
+        fixed.append(((head & ((np.uint64(1) << own) - np.uint64(1))) * M1 + np.uint64(k)) * M2 >> shift)
+        fixed.append(((tail >> (np.uint64(64) - own)) * M3 + np.uint64(k)) * M1 >> shift)
     known = np.zeros(n, bool)
     if len(lexicon):
         known = lexicon[np.minimum(np.searchsorted(lexicon, whole), len(lexicon) - 1)] == whole
@@ -72,6 +72,17 @@ def features(data: np.ndarray, offs: np.ndarray, lexicon: np.ndarray) -> tuple[n
     return out, np.concatenate([[0], ends]), bounds
 
 
+def features_of(texts: list[str], lexicon: np.ndarray, step: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """features of many texts, a few at a time: only the result is held whole."""
+    feats, edges, bounds = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
+    for a in range(0, len(texts), step):
+        f, e, b = features(*string_buffers(pa.array(texts[a : a + step], pa.string())), lexicon)
+        feats.append(f)
+        bounds.append(b[1:] + sum(len(x) for x in edges) - 1)
+        edges.append(e[1:] + edges[-1][-1])
+    return np.concatenate(feats), np.concatenate(edges), np.concatenate(bounds)
+
+
 def emissions(model: Model, feats: np.ndarray, edges: np.ndarray) -> np.ndarray:
     n = len(edges) - 1
     out = np.empty((n, len(model.languages)), np.float32)
@@ -129,7 +140,7 @@ def train(texts: list[str], langs: list[str], epochs: int = 4, words_per_step: i
     b, starts, lengths, bounds = spans(data, offs)
     hashes, count = np.unique(hash_spans(b, starts, lengths), return_counts=True)
     lexicon = hashes[count >= 3]
-    feats, edges, bounds = features(data, offs, lexicon)
+    feats, edges, bounds = features_of(texts, lexicon)
     label = np.repeat(np.array([languages.index(x) for x in langs], np.int64), np.diff(bounds))
     L = len(languages)
     model = Model(languages, np.zeros((1 << BITS, L), np.float32), np.zeros((L, L)), lexicon)
@@ -181,7 +192,7 @@ def train(texts: list[str], langs: list[str], epochs: int = 4, words_per_step: i
     return model
 
 
-def label_texts(model: Model, texts: pa.Array, chars: int = 6_000_000) -> tuple[list[str], np.ndarray]:
+def label_texts(model: Model, texts: pa.Array, chars: int = 1_500_000) -> tuple[list[str], np.ndarray]:
     """(language or und, mean probability of that language over the words) of letters_only texts."""
     data, offs = string_buffers(texts)
     size = np.diff(offs)
