@@ -22,13 +22,22 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import blocks_for, materialize, shuffle_parts, string_buffers, text_col
 from .components import components
-from .words import M1, M3, mix, segment_sum, shingles, word_hashes
+from .words import M1, M3, mix, segment_sum, shingles, slices, word_hashes
 
-PARITY_WORDS = 16
+#: Bits of the smallest parity bitmap; a larger set has at least half as many bits as elements.
+PARITY_BITS = 512
 
 
-def sets_of(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
-    return shingles(*word_hashes(*string_buffers(texts)), k)
+def sets_of(texts: pa.Array, k: int, step: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """shingles of a column of texts, about step bytes at a time."""
+    data, offs = string_buffers(texts)
+    sets, bounds, total = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], 0
+    for a, z in slices(offs, step):
+        g, b = shingles(*word_hashes(data[offs[a] : offs[z]], offs[a : z + 1] - offs[a]), k)
+        sets.append(g)
+        bounds.append(b[1:] + total)
+        total += len(g)
+    return np.concatenate(sets), np.concatenate(bounds)
 
 
 def prints(g: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -42,10 +51,24 @@ def least_shared(n: int, percent: int) -> int:
 
 
 def parity(g: np.ndarray) -> bytes:
-    bits = np.bincount((g >> np.uint64(40)).astype(np.int64) % (64 * PARITY_WORDS), minlength=64 * PARITY_WORDS) & 1
+    """Bit i tells whether an odd number of elements fall on i. Two bitmaps differ in no more bits than the sets have elements apart."""
+    size = max(PARITY_BITS, 1 << (len(g) // 2).bit_length())
+    bits = np.bincount((g >> np.uint64(24)).astype(np.int64) & (size - 1), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def bitmaps(rows: list[bytes]) -> dict[int, np.ndarray]:
+    """For each size of bitmap (in bytes) all rows folded to it; rows that are smaller are zero there."""
+    own = np.array([len(r) for r in rows])
+    out = {}
+    for size in np.unique(own).tolist():
+        m = np.zeros((len(rows), size // 8), np.uint64)
+        for i in np.flatnonzero(own >= size).tolist():
+            m[i] = np.bitwise_xor.reduce(np.frombuffer(rows[i], "<u8").reshape(-1, size // 8))
+        out[size] = m
+    return out
+
+
 def _classes_and_frequencies(docs: DataFrame, k: int, percent: int, blocks: int):
     spark = docs.sparkSession
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
@@ -82,7 +105,7 @@ def _own_sets(left: pa.Table, right: pa.Table, k: int) -> tuple[list[int], np.nd
 
 def candidates(docs: DataFrame, k: int, percent: int):
     """(signed documents, classes, candidate classes with their prefix, text and filters)."""
-    blocks = blocks_for(docs)
+    blocks = max(blocks_for(docs), shuffle_parts(docs.sparkSession))
     texts, signed, classes, able = _classes_and_frequencies(docs, k, percent, blocks)
     tier_bits = max(b for b in (0, 1, 2, 3) if 2.0**-b >= min(1.0, 1.6 * (100 - percent) / 100))
     bucket_bits = min(20, max(4, (2 * blocks).bit_length()))
@@ -173,10 +196,13 @@ def verify(pairs: DataFrame, found: DataFrame, k: int, percent: int, group: int
 
 def _first_round(found: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(pairs of every class with one pivot of each posting, postings with more than one class)."""
-    entries = found.select("node", "n", "alone", F.explode("keys").alias("key"))
-    pivots = entries.groupBy("key").agg(F.min(F.struct("alone", "node", "n")).alias("pivot"), F.count(F.lit(1)).alias("many"))
-    pivots = materialize(pivots.filter("many > 1").select("key", F.col("pivot.node").alias("hub"), F.col("pivot.n").alias("hub_n")), "pivots")
-    met = entries.join(pivots, "key").filter((F.col("node") != F.col("hub")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")))
+    entries = found.select("node", "n", "alone", F.explode(F.arrays_zip("keys", "at")).alias("k")).select("node", "n", "alone", F.col("k.keys").alias("key"), F.col("k.at").alias("at"))
+    pivots = entries.groupBy("key").agg(F.min(F.struct("alone", "node", "n", "at")).alias("pivot"), F.count(F.lit(1)).alias("many"))
+    pivots = materialize(pivots.filter("many > 1").select("key", F.col("pivot.node").alias("hub"), F.col("pivot.n").alias("hub_n"), F.col("pivot.at").alias("hub_at")), "pivots")
+    share = F.ceil(percent * (F.col("n") + F.col("hub_n")) / F.lit(100 + percent) - 1e-9)
+    at_most = F.least("at", "hub_at") + F.least(F.col("n") - F.col("at"), F.col("hub_n") - F.col("hub_at"))  # shared before and from this shingle on
+    near = (F.col("node") != F.col("hub")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")) & (at_most >= share)
+    met = entries.join(pivots, "key").filter(near)
     return materialize(met.select("hub", "node").distinct(), "pivot-pairs"), pivots.select("key")
 
 
@@ -190,44 +216,41 @@ def _left_pairs(found: DataFrame, postings: DataFrame, labels: DataFrame, percen
         "key", F.col("most.label").alias("main"), F.ceil((F.col("all") - F.col("most.n")) / rows).cast("int").alias("ri"), F.ceil(F.col("all") / columns).cast("int").alias("rj")
     )
     grid = materialize(grid, "left-postings")
-    full = grouped.select("node", "label", "n", "keys", "at", "parity", F.explode("keys").alias("key")).join(grid, "key")
+    zipped = grouped.select("node", "label", "n", "parity", F.explode(F.arrays_zip("keys", "at")).alias("k"))
+    full = zipped.select("node", "label", "n", "parity", F.col("k.keys").alias("key"), F.col("k.at").alias("at")).join(grid, "key")
     i, j = (F.pmod(F.xxhash64("node", F.lit(s)), F.col(c)).cast("int") for s, c in ((1, "ri"), (2, "rj")))
-    outside = full.filter("label <> main").withColumn("i", i).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("rj") - 1))).withColumn("side", F.lit(0))
-    everyone = full.withColumn("j", j).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ri") - 1))).withColumn("side", F.lit(1))
-    columns_ = ["key", "i", "j", "side", "node", "label", "main", "n", "keys", "at", "parity"]
+    outside = full.filter("label <> main").withColumn("i", i).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("rj") - 1))).withColumn("outside", F.lit(True))
+    everyone = full.withColumn("j", j).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ri") - 1))).withColumn("outside", F.lit(False))
+    columns_ = ["key", "i", "j", "outside", "node", "label", (F.col("label") == F.col("main")).alias("in_main"), "n", "at", "parity"]
 
     def meet(t: pa.Table) -> pa.Table:
-        key, main = t["key"][0].as_py(), t["main"][0].as_py()
-        side, node, label, n = (t[c].to_numpy() for c in ("side", "node", "label", "n"))
-        bits = np.frombuffer(b"".join(t["parity"].to_pylist()), "<u8").reshape(-1, PARITY_WORDS)
-        keys, ats = t["keys"].to_pylist(), t["at"].to_pylist()
-        place = [x.index(key) for x in keys]
-        at = np.array([a[p] for a, p in zip(ats, place)], np.int64)
-        m = np.flatnonzero(side == 1)
-        before = np.array([x for r in m for x in keys[r][: place[r]]], np.int64)
-        edge = np.concatenate([[0], np.cumsum([place[r] for r in m])])
+        side, in_main = (np.asarray(t[c]) for c in ("outside", "in_main"))
+        node, label, n, at = (t[c].to_numpy() for c in ("node", "label", "n", "at"))
+        raw = t["parity"].to_pylist()
+        size, bits = np.array([len(r) for r in raw]), bitmaps(raw)
+        m = np.flatnonzero(~side)
         pairs: list[tuple[np.ndarray, np.ndarray]] = []
-        for u in np.flatnonzero(side == 0).tolist():
+        for u in np.flatnonzero(side).tolist():
             both = n[m] + n[u]
             share = -(-percent * both // (100 + percent))
-            ok = (label[m] != label[u]) & ((label[m] == main) | (node[m] > node[u]))
+            ok = (label[m] != label[u]) & (in_main[m] | (node[m] > node[u]))
             ok &= 100 * np.minimum(n[m], n[u]) >= percent * np.maximum(n[m], n[u])
-            ok &= np.minimum(n[m] - at[m], n[u] - at[u]) >= share  # nothing before this shingle is shared
+            ok &= np.minimum(at[m], at[u]) + np.minimum(n[m] - at[m], n[u] - at[u]) >= share
             some = np.flatnonzero(ok)
             if not len(some):
                 continue
-            apart = np.bitwise_count(bits[m[some]] ^ bits[u]).sum(1, dtype=np.int64)
+            apart, common = np.zeros(len(some), np.int64), np.minimum(size[m[some]], size[u])
+            for w in np.unique(common).tolist():
+                of = common == w
+                apart[of] = np.bitwise_count(bits[w][m[some[of]]] ^ bits[w][u]).sum(1, dtype=np.int64)
             some = some[apart <= (both - 2 * share)[some]]
-            if place[u] and len(some):
-                met = segment_sum(np.isin(before, np.array(keys[u][: place[u]], np.int64)).astype(np.int64), edge)
-                some = some[met[some] == 0]  # else the pair meets in an earlier posting
             if len(some):
                 pairs.append((np.full(len(some), node[u]), node[m[some]]))
         hub, other = (np.concatenate(x) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
         return pa.table({"hub": pa.array(hub), "node": pa.array(other)})
 
     met = outside.select(*columns_).unionByName(everyone.select(*columns_)).groupBy("key", "i", "j").applyInArrow(meet, "hub long, node long")
-    return materialize(met, "left-pairs")
+    return materialize(met.distinct(), "left-pairs")
 
 
 def ngram_jaccard_groups(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
