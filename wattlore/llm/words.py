@@ -67,10 +67,22 @@ def spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return b, starts, np.flatnonzero(last) + 1 - starts, np.searchsorted(starts, offs)
 
 
-def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, first word of each text and the end)."""
-    b, starts, lengths, bounds = spans(data, offs)
-    return hash_spans(b, starts, lengths), bounds
+def slices(offs: np.ndarray, step: int) -> list[tuple[int, int]]:
+    """Ranges of texts of about step bytes each; a longer text is a range of its own."""
+    group = offs[1:] // step
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]]) if len(group) else np.zeros(1, np.int64)
+    return [(int(a), int(z)) for a, z in zip(cut[:-1], cut[1:])]
+
+
+def word_hashes(data: np.ndarray, offs: np.ndarray, step: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, first word of each text and the end); working memory is bounded by step, not by the column."""
+    hashes, bounds, total = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], 0
+    for a, z in slices(offs, step):
+        b, starts, lengths, own = spans(data[offs[a] : offs[z]], offs[a : z + 1] - offs[a])
+        hashes.append(hash_spans(b, starts, lengths))
+        bounds.append(own[1:] + total)
+        total += len(starts)
+    return np.concatenate(hashes), np.concatenate(bounds)
 
 
 def shingles(h: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
