@@ -216,12 +216,12 @@ def _left_pairs(found: DataFrame, postings: DataFrame, labels: DataFrame, percen
         "key", F.col("most.label").alias("main"), F.ceil((F.col("all") - F.col("most.n")) / rows).cast("int").alias("ri"), F.ceil(F.col("all") / columns).cast("int").alias("rj")
     )
     grid = materialize(grid, "left-postings")
-    zipped = grouped.select("node", "label", "n", "parity", F.explode(F.arrays_zip("keys", "at")).alias("k"))
-    full = zipped.select("node", "label", "n", "parity", F.col("k.keys").alias("key"), F.col("k.at").alias("at")).join(grid, "key")
+    zipped = grouped.select("node", "label", "n", "parity", "keys", F.posexplode(F.arrays_zip("keys", "at")).alias("place", "k"))
+    full = zipped.select("node", "label", "n", "parity", F.col("k.keys").alias("key"), F.col("k.at").alias("at"), F.slice("keys", F.lit(1), F.col("place")).alias("before")).join(grid, "key")
     i, j = (F.pmod(F.xxhash64("node", F.lit(s)), F.col(c)).cast("int") for s, c in ((1, "ri"), (2, "rj")))
     outside = full.filter("label <> main").withColumn("i", i).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("rj") - 1))).withColumn("outside", F.lit(True))
     everyone = full.withColumn("j", j).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ri") - 1))).withColumn("outside", F.lit(False))
-    columns_ = ["key", "i", "j", "outside", "node", "label", (F.col("label") == F.col("main")).alias("in_main"), "n", "at", "parity"]
+    columns_ = ["key", "i", "j", "outside", "node", "label", (F.col("label") == F.col("main")).alias("in_main"), "n", "at", "parity", "before"]
 
     def meet(t: pa.Table) -> pa.Table:
         side, in_main = (np.asarray(t[c]) for c in ("outside", "in_main"))
@@ -229,6 +229,7 @@ def _left_pairs(found: DataFrame, postings: DataFrame, labels: DataFrame, percen
         raw = t["parity"].to_pylist()
         size, bits = np.array([len(r) for r in raw]), bitmaps(raw)
         m = np.flatnonzero(~side)
+        before = [frozenset(x) for x in t["before"].to_pylist()]
         pairs: list[tuple[np.ndarray, np.ndarray]] = []
         for u in np.flatnonzero(side).tolist():
             both = n[m] + n[u]
@@ -244,13 +245,14 @@ def _left_pairs(found: DataFrame, postings: DataFrame, labels: DataFrame, percen
                 of = common == w
                 apart[of] = np.bitwise_count(bits[w][m[some[of]]] ^ bits[w][u]).sum(1, dtype=np.int64)
             some = some[apart <= (both - 2 * share)[some]]
+            some = some[[before[u].isdisjoint(before[x]) for x in m[some].tolist()]] if len(some) else some  # else the pair meets in an earlier posting
             if len(some):
                 pairs.append((np.full(len(some), node[u]), node[m[some]]))
         hub, other = (np.concatenate(x) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
         return pa.table({"hub": pa.array(hub), "node": pa.array(other)})
 
     met = outside.select(*columns_).unionByName(everyone.select(*columns_)).groupBy("key", "i", "j").applyInArrow(meet, "hub long, node long")
-    return materialize(met.distinct(), "left-pairs")
+    return materialize(met, "left-pairs")
 
 
 def ngram_jaccard_groups(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
