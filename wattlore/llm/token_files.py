@@ -73,7 +73,7 @@ def grammar(ids: np.ndarray, first: int = FIRST_NONTERMINAL, end_id: int = 0, le
 
 
 def expansions(rules: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(length of every nonterminal, start of its ids, all their ids)."""
+    """(number of ids of every nonterminal, where they start, all of them one after another)."""
     out: list[np.ndarray] = []
     for a, b in rules.tolist():
         out.append(np.concatenate([out[x - first] if x >= first else np.array([x], np.uint32) for x in (a, b)]))
@@ -82,19 +82,15 @@ def expansions(rules: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, n
 
 
 def expand(symbols: np.ndarray, first: int, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-    """The ids that symbols stand for."""
+    """The ids that symbols stand for; without rules symbols are ids themselves."""
     lengths, starts, flat = table
-    is_rule = symbols >= first if len(lengths) else np.zeros(len(symbols), bool)
-    n = np.ones(len(symbols), np.int64)
-    rule = symbols[is_rule].astype(np.int64) - first
-    n[is_rule] = lengths[rule]
-    at = np.cumsum(n) - n
-    out = np.zeros(int(n.sum()), np.uint32)
-    out[at[~is_rule]] = symbols[~is_rule]
-    for k in range(int(lengths.max()) if len(rule) else 0):  # the k-th id of every nonterminal that has one
-        some = lengths[rule] > k
-        out[at[is_rule][some] + k] = flat[starts[rule[some]] + k]
-    return out
+    if not len(lengths):
+        return symbols.astype(np.uint32)
+    every = np.concatenate([np.arange(first, dtype=np.uint32), flat])  # an id stands for itself
+    n = np.concatenate([np.ones(first, np.int32), lengths.astype(np.int32)])[symbols]
+    begin = np.concatenate([np.arange(first, dtype=np.int32), (starts + first).astype(np.int32)])[symbols]
+    ends = np.cumsum(n, dtype=np.int32)
+    return every[np.repeat(begin - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32)]
 
 
 def encode_shard(docs: list[int | None], ids: list[bytes], end_id: int = 0) -> tuple[list[bytes], int, int]:
