@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 
 import numpy as np
@@ -68,7 +69,12 @@ def shuffle_parts(spark: SparkSession, least: int = 1) -> int:
 
 
 def string_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of an Arrow string or binary column without a copy; nulls have length 0."""
+    """(bytes, offsets) of an Arrow string or binary column without a copy; nulls have length 0.
+
+    Operators that read texts this way don't tokenise, so a memo that an earlier job left in the worker is emptied.
+    """
+    if memo := sys.modules.get("wattlore.llm.memo_tokens"):
+        memo.release()
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks() if col.num_chunks != 1 else col.chunk(0)
         if isinstance(col, pa.ChunkedArray):

@@ -37,14 +37,29 @@ def _byte_letters() -> dict[int, str]:
 LETTERS = _byte_letters()
 
 
+class _Memo(dict):
+    """Chunk -> ids; what is missing is encoded, so a chunk that is known costs one look-up."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) >= MEMO_CHUNKS:
+            self.clear()
+        ids = self[chunk] = self.encode(chunk)
+        return ids
+
+
 class MemoTokenizer:
     def __init__(self, path: str, strip_space: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.strip, self.memo, self.pieces = Tokenizer.from_file(path), strip_space, {}, {}
+        self.tokenizer, self.strip, self.pieces = Tokenizer.from_file(path), strip_space, {}
         self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.memo = _Memo(self._chunk)
 
     @staticmethod
     def of(path: str, strip_space: bool) -> "MemoTokenizer":
@@ -54,44 +69,44 @@ class MemoTokenizer:
             _open[key] = MemoTokenizer(*key)
         return _open[key]
 
-    def _latin(self, chunk: str) -> bytes:
-        found = WORD_PIECES.findall(chunk.lower()) if self.strip else BYTE_PIECES.findall(chunk)
-        pieces, out = self.pieces, []
-        for p in found:
-            ids = pieces.get(p)
-            if ids is None:
-                said = p.encode().decode("latin-1").translate(LETTERS)
-                if len(pieces) >= MEMO_PIECES:
-                    pieces.clear()
-                ids = pieces[p] = array("I", [t.id for t in self.model.tokenize(said)]).tobytes()
-            out.append(ids)
-        return b"".join(out)
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            if piece.isascii() and piece[1:].isalpha():  # a word, perhaps after a space: only the space is written otherwise
+                said = LETTERS[32] + piece[1:] if piece[0] == " " else piece
+            else:
+                said = piece.encode().decode("latin-1")
+            if len(self.pieces) >= MEMO_PIECES:
+                self.pieces.clear()
+            ids = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(said.translate(LETTERS))]).tobytes()
+        return ids
+
+    def _chunk(self, chunk: str) -> bytes:
+        if (chunk.isascii() or LATIN.fullmatch(chunk)) and not ODD.search(chunk) and not ("<" in chunk and any(s in chunk for s in self.special)):
+            if self.strip:
+                low = chunk.lower()
+                return self._piece(low) if low.isalpha() else b"".join(map(self._piece, WORD_PIECES.findall(low)))
+            if chunk[:1] == " " and chunk[1:].isalpha():
+                return self._piece(chunk)
+            return b"".join(map(self._piece, BYTE_PIECES.findall(chunk)))
+        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        memo, cut = self.memo, (str.split if self.strip else CHUNK.findall)
-        chunks = [[t] if ODD.search(t) else cut(t) for t in texts]
-        new = {c for cs in chunks for c in cs if c not in memo}
-        if len(memo) + len(new) > MEMO_CHUNKS:
-            memo.clear()
-            new = {c for cs in chunks for c in cs}
-        rest = []
-        for c in new:
-            if LATIN.fullmatch(c) and not ODD.search(c) and not any(s in c for s in self.special):
-                memo[c] = self._latin(c)
-            else:
-                rest.append(c)
-        for i in range(0, len(rest), 4096):
-            part = rest[i : i + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                memo[c] = array("I", e.ids).tobytes()
-        get = memo.__getitem__
-        return [b"".join(map(get, cs)) for cs in chunks]
+        get, cut = self.memo.__getitem__, (str.split if self.strip else CHUNK.findall)
+        return [b"".join(map(get, [t] if ODD.search(t) else cut(t))) for t in texts]
 
 
 _open: dict[tuple[str, bool], MemoTokenizer] = {}
 
 
+def release() -> None:
+    """Empty all memos: workers outlive a job, and the next one may need the memory."""
+    for t in _open.values():
+        t.memo.clear()
+        t.pieces.clear()
+
+
 def batches(texts: list[str], chars: int = 2_000_000) -> Iterable[tuple[int, int]]:
     """Index ranges of about chars characters each."""
     a = n = 0
