@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wattlore.llm.common import materialize
-from wattlore.llm.decontam import without_leaks
+from wattlore.llm.decontam import find_leaks
 from wattlore.llm.langid import UNKNOWN, fit, identify
 from wattlore.llm.ngram_join import ngram_jaccard_groups
 from wattlore.llm.packing import pack_documents
@@ -17,6 +17,14 @@ from wattlore.llm.queries import table, tokenizer_file
 #: A document whose best language has a smaller mean word probability is rejected; one of no letters always is.
 LEAST_LANGUAGE = 0.4
 
+#: A row's own key within a stage: doc_id may be null or repeat, so decisions about rows are never applied by it.
+KEY = "_row_key"
+
+
+def keyed(docs: DataFrame, name: str) -> DataFrame:
+    """The rows with a key each, written so that the key stays the same for all that reads it."""
+    return materialize(docs.withColumn(KEY, F.monotonically_increasing_id()), name)
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the conditional random field knows; it is fitted on a bounded sample of them."""
@@ -25,15 +33,27 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each group with five-word shingles alike to 0.8 or more."""
-    groups = ngram_jaccard_groups(docs, k=5, percent=80)
-    gone = materialize(groups.filter("component_id <> doc_id").select("doc_id"), "near-duplicates")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each group with five-word shingles alike to 0.8 or more; rows without a word are no copies of each other.
+
+    The row with the smallest doc_id stays (nulls last, then the row's key). Rows that repeat and rows with null ids are
+    copies like any other, and a row is not dropped for what another row of the same doc_id holds.
+    """
+    rows = keyed(docs, "near-duplicate-input")
+    groups = ngram_jaccard_groups(rows.select(F.col(KEY).alias("doc_id"), "text"), k=5, percent=80)
+    groups = materialize(groups.select(F.col("doc_id").alias(KEY), "component_id"), "near-duplicates")
+    many = groups.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component_id")
+    alike = materialize(groups.join(many, "component_id").join(rows.select(KEY, "doc_id"), KEY), "near-duplicate-rows")
+    first = alike.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", KEY)).alias("first"))
+    gone = alike.join(first, "component_id").filter(F.col(KEY) != F.col(f"first.{KEY}")).select(KEY)
+    return rows.join(gone, KEY, "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    return without_leaks(docs, table(spark, sf_dir, "benchmark"))
+    """Rows whose own text holds no benchmark item, whatever their doc_id."""
+    rows = keyed(docs, "decontamination-input")
+    found = find_leaks(rows.select(F.col(KEY).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    leaks = materialize(found.select(F.col("doc_id").alias(KEY)).distinct(), "leaks")
+    return rows.join(leaks, KEY, "left_anti").select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -72,3 +72,21 @@ def test_run_and_names(spark, sf_dir):
     assert got and {"doc_id", "piece", "sequence_id", "offset"} <= set(got[0].asDict())
     leaks = decontam.find_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).collect()
     assert {(r.doc_id, r.item_id) for r in leaks} == {(300, 0)}
+
+
+def test_rows_are_kept_and_dropped_by_row(spark, sf_dir):
+    """Repeated rows, null ids and two rows of one doc_id: exactly one row of a group stays and clean rows all do."""
+    rng = random.Random(3)
+    fresh = lambda: " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(40))
+    a, b, c, d, clean, other = (fresh() for _ in range(6))
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").filter("item_id = 0").first().text
+    leak = fresh() + " " + item + " " + fresh()
+    rows = [(1, a), (1, a), (5, a), (5, clean), (7, b), (7, b), (None, c), (None, c), (9, d), (None, d), (9, other), (20, ""), (20, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in P.ngram_jaccard_join(spark, docs, sf_dir).collect()]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(kept, key=key) == sorted([(1, a), (5, clean), (7, b), (None, c), (9, d), (9, other), (20, ""), (20, "")], key=key)
+
+    docs = spark.createDataFrame([(1, leak), (1, clean), (None, leak), (None, other), (2, d)], "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in P.decontamination(spark, docs, sf_dir).collect()]
+    assert sorted(kept, key=key) == sorted([(1, clean), (None, other), (2, d)], key=key)
