@@ -97,3 +97,33 @@ def test_top_k_equals_brute_force(spark, shard_chars):
             want += [(q, r + 1, d, -s) for r, (s, d) in enumerate(sorted(scored)[:5])]
     key = lambda r: (r[0], r[1], -1 if r[2] is None else r[2], round(r[3], 4))
     assert sorted(map(key, got)) == sorted(map(key, want))
+
+
+def test_short_items_match_as_word_sequences(spark):
+    items = [(1, "Who? Me."), (2, "zebra"), (3, "one two three four"), (4, "zebra!"), (5, None), (6, "?!"), *[(100 + i, t) for i, t in ITEMS]]
+    rows = [(1, "so: who? ME, of course"), (2, "who was me"), (3, "Zebra"), (4, "zebras one two three five four"), (5, text(50) + " One, two;\nthree four. " + text(50)), (6, None), (None, "a zebra zebra"), (7, "one two three"), (8, ITEMS[4][1] + " zebra")]
+    docs, table = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {(d, i) for d, t in rows for i, x in items if words(x) and f" {' '.join(words(x))} " in f" {' '.join(words(t))} "}
+    assert {(1, 1), (3, 2), (None, 4), (5, 3), (8, 2), (8, 104)} <= want and (4, 2) not in want
+    for chars in (32_000_000, 1500):
+        got = D.find_leaks(docs, table, shard_chars=chars).collect()
+        assert len(got) == len(want) and {(r.doc_id, r.item_id) for r in got} == want
+        assert all(r.score > 0 for r in got)
+
+
+def test_least_scores_of_items_decide_which_blocks_are_visited(monkeypatch):
+    long = [" ".join(words(x)) for _, x in ITEMS]
+    items = D.build_items([i for i, _ in ITEMS], *[long] * 2, [""] * len(ITEMS), len(ITEMS), None, None)
+    index, visited = items.index, []
+    plain = type(index).scores
+    monkeypatch.setattr(type(index), "scores", lambda self, e, w, some: visited.append(int(some.sum())) or plain(self, e, w, some))
+    least, steps = 0.7 * items.own, 0
+    for x in long:
+        terms = index.terms[[t in set(D.word_hashes(*D.string_buffers(pa.array([x])))[0].tolist()) for t in index.terms.tolist()]]
+        weights = items.idf[[index.terms.tolist().index(t) for t in terms.tolist()]]
+        every, score = index.search(terms, weights)
+        visited.clear()
+        hits, _ = index.search_each(terms, weights, least, index.block_least(least))
+        assert set(hits.tolist()) == set(every[score >= least[every]].tolist()) and len(hits)
+        steps += sum(visited)
+    assert steps < len(ITEMS) * -(-len(ITEMS) // index.block)

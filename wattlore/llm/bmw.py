@@ -115,3 +115,15 @@ class BlockMaxIndex:
             a, step = z, step * 2
         best = np.lexsort((ids[found] if ids is not None else found, -np.round(score, 6)))
         return found[best], score[best]
+
+    def search_each(self, terms: np.ndarray, weights: np.ndarray, least: np.ndarray, block_least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Texts that score at least their own of ``least``. Only blocks whose bound reaches block_least are visited."""
+        e, w = self.entries(terms, weights)
+        bound = np.bincount(self.of[e], self.most[e] * w, len(block_least)) * (1 + 1e-9)
+        hit, score = self.scores(e, w, (bound > 0) & (bound >= block_least))
+        some = score >= least[hit]
+        return hit[some], score[some]
+
+    def block_least(self, least: np.ndarray) -> np.ndarray:
+        """The smallest of least in each block of texts."""
+        return np.minimum.reduceat(least, np.arange(0, self.texts, self.block)) if self.texts else np.zeros(0)

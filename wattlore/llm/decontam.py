@@ -3,8 +3,10 @@
 The test items make a BM25 index. Every training document is cut into overlapping passages, and every passage queries the
 index for all items whose score is at least a share of the item's own score (its score for its whole text). Before the
 block-max search a whole batch of passages is bounded at once, item by item, from the terms that few items have; passages
-that no item can pass are done. Items found are verified against the passage: enough of the question's and of the answer's
-word triples have to be there.
+that no item can pass are done; for the rest only blocks of items are visited whose block maxima reach the least score asked
+of one of their items. Items found are verified against the passage: enough of the question's and of the answer's word
+triples have to be there. Items of fewer than min_words words stand beside the index: a document holds one if its words
+hold the item's words, all and in a row.
 """
 
 from __future__ import annotations
@@ -53,6 +55,44 @@ class Items:
     stride: int
 
 
+@dataclass
+class Short:
+    """Items of a few words by the hash of their whole word sequence, in order of (length, hash)."""
+
+    ids: list
+    score: np.ndarray
+    runs: dict[int, np.ndarray]  # number of words: sorted hashes
+    first: dict[int, int]  # number of words: place of the first of them in ids
+
+
+def build_short(ids: list, texts: list[str], n: int, df: dict[int, int], mean_length: float | None) -> Short:
+    """An item's score is its own BM25 score by the statistics of the indexed items; a word that they lack counts as new."""
+    h, bounds = word_hashes(*string_buffers(pa.array(texts, pa.string())))
+    length = np.diff(bounds)
+    text, term, tf = term_counts(h, bounds)
+    weight = idf(n, np.array([df.get(t, 0) for t in term.tolist()], np.float64))
+    own = np.bincount(text, weight * impacts(tf, length[text], mean_length or float(length.mean()) if len(length) else 1.0), len(ids))
+    run = np.array([shingles(h[a:z], np.array([0, z - a]), int(z - a))[0][0] for a, z in zip(bounds[:-1], bounds[1:])], np.uint64)
+    order = np.lexsort((run, length))
+    sizes = np.unique(length).tolist()
+    first = {k: int(np.searchsorted(length[order], k)) for k in sizes}
+    return Short([ids[i] for i in order.tolist()], own[order], {k: run[order][length[order] == k] for k in sizes}, first)
+
+
+def scan_short(short: Short, doc_ids: list, texts: pa.Array) -> list[tuple]:
+    """One match for each document and short item whose words it holds in a row."""
+    h, bounds = word_hashes(*string_buffers(texts))
+    found, n = [], np.diff(bounds)
+    for k, runs in short.runs.items():
+        g, b = shingles(h, bounds, k)
+        doc = np.repeat(np.arange(len(doc_ids)), np.diff(b))
+        lo, hi = np.searchsorted(runs, g), np.searchsorted(runs, g, "right")
+        for i in np.flatnonzero((hi > lo) & (n[doc] >= k)).tolist():
+            for j in range(short.first[k] + int(lo[i]), short.first[k] + int(hi[i])):
+                found.append((doc_ids[int(doc[i])], short.ids[j], float(short.score[j]), 1.0, 1.0))
+    return found
+
+
 def build_items(ids: list, texts: list[str], questions: list[str], answers: list[str], n: int, df: dict[int, int] | None, mean_length: float | None, common: float = 0.1) -> Items:
     hashed = [word_hashes(*string_buffers(pa.array(x, pa.string()))) for x in (texts, questions, answers)]
     h, bounds = hashed[0]
@@ -95,6 +135,8 @@ def scan(items: Items, doc_ids: list, texts: pa.Array, share: float, overlap: fl
     segment = base[doc] + (np.arange(len(h)) - bounds[doc]) // items.stride
     owner = np.repeat(np.arange(len(n)), segments)
     count = len(items.ids)
+    least = share * items.own
+    block_least = index.block_least(least)
     for a in range(0, int(base[-1]), max(1, words // items.stride)):
         z = min(int(base[-1]), a + max(1, words // items.stride) + 1)  # one more: passages are two segments
         lo, hi = np.searchsorted(segment, [a, z])
@@ -111,10 +153,7 @@ def scan(items: Items, doc_ids: list, texts: pa.Array, share: float, overlap: fl
             end = min(begin + 2 * items.stride, int(bounds[d + 1]))
             terms = np.unique(h[begin:end][known[begin:end]])
             i = np.searchsorted(index.terms, terms)
-            hits, score = index.search(terms, items.idf[i])
-            hits, score = hits[score >= share * items.own[hits]], score[score >= share * items.own[hits]]
-            if not len(hits):
-                continue
+            hits, score = index.search_each(terms, items.idf[i], least, block_least)
             for item, value in zip(hits.tolist(), score.tolist()):
                 q, r = contained(items.question[item], h[begin:end]), contained(items.answer[item], h[begin:end])
                 if q >= overlap and r >= overlap:
@@ -128,33 +167,36 @@ def find_leaks(docs: DataFrame, items: DataFrame, share: float = 0.7, overlap: f
 
     items: item_id, text (and question, answer). The index of one shard of items goes to every task; a shard is at most
     about shard_chars characters, and a larger set of items makes several shards over which idf and mean length are
-    counted together. Null texts are empty; items of fewer than min_words words are no evidence and match nothing;
-    repeated rows match each; an empty table gives an empty result; other columns are ignored.
+    counted together. Null texts are empty; items of fewer than min_words words match documents that hold all their words
+    in a row, and items without a word match nothing; repeated rows match each; an empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
-    prepared = question_answer(items).withColumn("words", F.filter(F.split("text", " "), lambda w: w != "")).filter(F.size("words") >= min_words)
-    total = prepared.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"), F.avg(F.size("words")).alias("mean")).first()
+    prepared = question_answer(items).withColumn("words", F.filter(F.split("text", " "), lambda w: w != "")).filter(F.size("words") > 0)
+    indexed = F.size("words") >= min_words
+    total = prepared.agg(F.count_if(indexed).alias("n"), F.sum(F.length("text")).alias("chars"), F.avg(F.when(indexed, F.size("words"))).alias("mean")).first()
     shards = max(1, -(-int(total["chars"] or 0) // shard_chars))
-    frequency = prepared.select("item_id", F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    frequency = prepared.filter(indexed).select("item_id", F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), plain(text_col(docs)).alias("text"))
     out = None
     for s in range(shards):
         part = prepared.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards))).filter(F.col("shard") == s).orderBy("item_id", "text")
         own = part.collect()  # at most about shard_chars characters
-        words = frequency.join(part.select(F.explode("words").alias("w")).distinct(), "w").collect() if shards > 1 else None
-        df = None
-        if words is not None:
-            h, _ = word_hashes(*string_buffers(pa.array([r["w"] for r in words], pa.string())))
-            df = dict(zip(h.tolist(), (r["df"] for r in words)))
-        held = build_items([r["item_id"] for r in own], [r["text"] for r in own], [r["question"] for r in own], [r["answer"] for r in own], total["n"], df, total["mean"])
-        shared = spark.sparkContext.broadcast(held)
+        few = [r for r in own if len(r["words"]) < min_words]
+        own = [r for r in own if len(r["words"]) >= min_words]
+        words = frequency.join(part.select(F.explode("words").alias("w")).distinct(), "w").collect() if shards > 1 or few else []
+        h, _ = word_hashes(*string_buffers(pa.array([r["w"] for r in words], pa.string())))
+        df = dict(zip(h.tolist(), (r["df"] for r in words)))
+        held = build_items([r["item_id"] for r in own], [r["text"] for r in own], [r["question"] for r in own], [r["answer"] for r in own], total["n"], df if shards > 1 else None, total["mean"])
+        shared = spark.sparkContext.broadcast((held, build_short([r["item_id"] for r in few], [r["text"] for r in few], total["n"], df, total["mean"])))
 
         def run(frames: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            long, short = shared.value
             for f in frames:
                 step = max(1, int(f.num_rows * 4_000_000 // max(1, f.column("text").nbytes)))
                 for a in range(0, f.num_rows, step):
                     part = f.slice(a, step)
-                    got = scan(shared.value, part.column("doc_id").to_pylist(), part.column("text"), share, overlap) if shared.value.ids else []
+                    ids, texts = part.column("doc_id").to_pylist(), part.column("text")
+                    got = (scan(long, ids, texts, share, overlap) if long.ids else []) + (scan_short(short, ids, texts) if short.ids else [])
                     kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
                     columns = list(zip(*got)) or [()] * 5
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
