@@ -116,3 +116,31 @@ def test_pagerank_equals_plain_iteration(spark):
         now = {h: 0.15 * seed.get(h, 0) + 0.85 * sum(now[a] / len(out[a]) for a, b in edges if b == h) for h in hosts}
     for h in hosts:
         assert got.get(h, 0) == pytest.approx(now[h], abs=1e-9)
+
+
+def test_mass_reaches_the_end_of_a_chain(spark):
+    """A chain of 16 hosts from a trusted one to a blocked one, against the solution of the linear system."""
+    import numpy as np
+
+    hosts = [f"c{i}.org" for i in range(16)]
+    links = {a: [b] for a, b in zip(hosts, hosts[1:])}
+    links["c3.org"] = ["c4.org", "c6.org"]
+    links["c15.org"] = ["bad.com"]
+    rows = [(i, f"http://{h}/", "".join(f'<a href="http://{x}/">' for x in links[h])) for i, h in enumerate(hosts)]
+    rows += [(100, "http://bad.com/", ""), (101, "http://good.net/", '<a href="http://c0.org/">')]
+    links |= {"good.net": ["c0.org"]}
+    got = {r.host: r for r in U.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), [("block", "bad.com", ""), ("allow", "good.net", "")]).collect()}
+    every = [*hosts, "bad.com", "good.net"]
+    at = {h: i for i, h in enumerate(every)}
+    n = np.zeros((len(every), len(every)))
+    for a, bs in links.items():
+        for b in bs:
+            n[at[a], at[b]] += 1
+    for kind, seed, m in (("trust", "good.net", n), ("distrust", "bad.com", n.T)):
+        out = m / np.maximum(m.sum(1, keepdims=True), 1)
+        want = np.linalg.solve(np.eye(len(every)) - 0.85 * out.T, 0.15 * np.eye(len(every))[at[seed]])
+        for h in every:
+            assert getattr(got[h], kind) == pytest.approx(want[at[h]], abs=1e-11)
+        assert (want > 0).all()
+    assert got["c0.org"].distrust > 0 and got["c15.org"].trust > 0
+    assert all(r.verdict == ("block" if r.host == "bad.com" or r.distrust > r.trust and r.rule is None else "allow") for r in got.values())

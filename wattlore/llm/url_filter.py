@@ -42,28 +42,36 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 10) -> DataFrame:
-    """Personalised PageRank: kind, host, mass after ``rounds`` rounds, or fewer where nothing changes any more.
+#: Propagation ends where a round moves less mass than this in all (L1) and reaches no host that had none.
+TOLERANCE = 1e-12
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
+    """Personalised PageRank: kind, host, mass when a round's L1 change is below ``tolerance`` and no new host is reached.
 
     edges: kind, src, dst, share. seeds: kind, host, weight (sum 1 for each kind). Mass at a host without links is lost.
     Every round is written, so no lineage grows; a hub brings one row of mass to its edges, and the edges can be split.
+    A number of ``rounds`` ends it earlier. The change falls by damping each round at least, so it ends.
     """
     start = seeds.select("kind", "host", ((1 - damping) * F.col("weight")).alias("mass"))
     now = materialize(start, "rank-0")
     if not edges.head(1):
         return now
-    for i in range(rounds):
+    i = 0
+    while rounds is None or i < rounds:
+        i += 1
         moved = edges.join(now.select("kind", F.col("host").alias("src"), "mass"), ["kind", "src"])
         moved = moved.groupBy("kind", "dst").agg((damping * F.sum(F.col("mass") * F.col("share"))).alias("mass"))
         parts = start.select("kind", "host", "mass", F.lit(0.0).alias("old")).unionByName(moved.select("kind", F.col("dst").alias("host"), "mass", F.lit(0.0).alias("old")))
         parts = parts.unionByName(now.select("kind", "host", F.lit(0.0).alias("mass"), F.col("mass").alias("old")))
-        now = materialize(parts.groupBy("kind", "host").agg(F.sum("mass").alias("mass"), F.sum("old").alias("old")), f"rank-{i + 1}")
-        if not now.filter(F.abs(F.col("mass") - F.col("old")) > 1e-12).head(1):
+        now = materialize(parts.groupBy("kind", "host").agg(F.sum("mass").alias("mass"), F.sum("old").alias("old")), f"rank-{i}")
+        change = now.agg(F.sum(F.abs(F.col("mass") - F.col("old"))).alias("l1"), F.count_if((F.col("old") == 0) & (F.col("mass") > 0)).alias("new")).first()
+        if (change["l1"] or 0.0) < tolerance and not change["new"]:
             break
     return now.select("kind", "host", "mass")
 
 
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], ratio: float = 1.0, damping: float = 0.85, rounds: int = 10) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], ratio: float = 1.0, damping: float = 0.85, rounds: int | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict (allow or block), trust and distrust of the host.
 
     pages: page_id, url, html. Seeds weigh as their host's share of all pages that allow rules (trust) or block rules
