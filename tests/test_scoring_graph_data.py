@@ -283,3 +283,11 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(60)
     assert {r.k: r.H2_elevated for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {1: True, 2: None}
     assert math.isfinite(1.0)
+
+
+def test_permutation_query_makes_all_permutations(spark, tmp_path):
+    from wattlore.plans import queries
+
+    spark.createDataFrame([(i, 51.0 + i) for i in range(40)], "event_id long, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    row = queries.QUERIES["permutation_test"](spark, str(tmp_path)).first()
+    assert row.n == 40 and row.mean_diff == pytest.approx(20.5) and row.p == pytest.approx(1 / 20001)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -36,29 +37,31 @@ def paired_permutation(df: DataFrame, a: str, b: str, n: int = 20_000, seed: int
     """mean difference and sign-flip p = (count + 1) / (n + 1).
 
     Permutation batches run over partitions of rows: each batch's signs are made from (seed, batch, row block), the blocks'
-    sums are added in Spark, so neither the rows nor the permutations sit in one place.
+    sums are added in Spark, so neither the rows nor the permutations sit in one place. Groups of batches read the rows
+    for themselves, so a table of one partition still keeps many tasks busy.
     """
-    each = -(-n // batches)
+    each, groups = -(-n // batches), min(batches, 16)
     diffs = df.select((F.col(a) - F.col(b)).cast("double").alias("d")).filter("d is not null")
 
-    def run(frames):
+    def run(frames, own: range):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        total, signed = 0.0, np.zeros((batches, each))
+        total, signed = 0.0, np.zeros((len(own), each))
         count, i = 0, 0
         for pdf in frames:
             d = pdf["d"].to_numpy()
             total, count = total + d.sum(), count + len(d)
             for at in range(0, len(d), 2048):
                 x = d[at : at + 2048]
-                for k in range(batches):
+                for at_k, k in enumerate(own):
                     rng = np.random.default_rng([seed, k, part, i])
-                    signed[k] += (rng.integers(0, 2, (each, len(x)), np.int8) * 2 - 1) @ x
+                    signed[at_k] += (rng.integers(0, 2, (each, len(x)), np.int8) * 2 - 1) @ x
                 i += 1
-        yield pd.DataFrame({"k": np.repeat(np.arange(batches), each), "j": np.tile(np.arange(each), batches), "s": signed.ravel(), "t": total, "c": count})
+        yield pd.DataFrame({"k": np.repeat(np.array(own), each), "j": np.tile(np.arange(each), len(own)), "s": signed.ravel(), "t": total, "c": count})
 
-    sums = diffs.mapInPandas(run, "k long, j long, s double, t double, c long").groupBy("k", "j").agg(F.sum("s").alias("s"), F.sum("t").alias("t"), F.sum("c").alias("c"))
+    parts = [diffs.mapInPandas(partial(run, own=range(g, batches, groups)), "k long, j long, s double, t double, c long") for g in range(groups)]
+    sums = reduce(DataFrame.unionByName, parts).groupBy("k", "j").agg(F.sum("s").alias("s"), F.sum("t").alias("t"), F.sum("c").alias("c"))
     kept = sums.filter(F.col("k") * each + F.col("j") < n)
     hits = F.sum((F.abs("s") >= F.abs("t") - 1e-12).cast("long"))
     return kept.agg(F.max("c").alias("n"), (F.max("t") / F.max("c")).alias("mean_diff"), ((hits + 1) / (F.count(F.lit(1)) + 1)).alias("p"))

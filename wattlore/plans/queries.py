@@ -621,4 +621,4 @@ def detection(spark, sf_dir):
 @query()
 def permutation_test(spark, sf_dir):
     rows = table(spark, sf_dir, "events").withColumn("a", F.col("value") * 1.0)
-    return policy.paired_permutation(rows.withColumn("b", F.lit(50.0)), "a", "b", n=200, batches=2)
+    return policy.paired_permutation(rows.withColumn("b", F.lit(50.0)), "a", "b")
