@@ -196,3 +196,45 @@ def test_params_round_trip(spark, tmp_path):
     got = files.read_params(spark, path, defaults)
     assert {r["class"]: r.w for r in got["weights"].collect()} == {"a": 1.0} and got["t"].first().t == pytest.approx(1.2)
     assert {r.symptom: r.source for r in got["cpt"].collect()} == {"s": "learned", "t": "learned"}
+
+
+def test_queries_over_the_whole_job(spark, tmp_path):
+    """All lines as hits, a sub-chunk layer that is indexed, and a history of calls, where the registered ones take less."""
+    import datetime
+    import re
+
+    from wattlore.plans import queries
+
+    d = str(tmp_path)
+    words = ["apple", "bear", "cedar", "dune", "ember", "fjord", "grove", "heath"]
+    body = lambda i: "\n".join(f"{words[i % 8]} is near line {'ab' * (j % 3 + 1)}." * 3 for j in range(7))
+    docs = [(i, body(i)) for i in range(1, 8)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(0, "apple dune"), (1, "fjord")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    got = [(r.qid, r.item_id, r.from_id) for r in queries.QUERIES["neighbour_units_all"](spark, d).collect()]
+    want = [(i, f"{i}-{b}", f"{i}-{a}") for i, t in docs for a in range(len(t.split("\n"))) for b in (a - 1, a + 1) if 0 <= b < len(t.split("\n"))]
+    assert sorted(got) == sorted(want) and len(want) == 7 * 12
+
+    fused = {(r.qid, r.item_id): r.score for r in queries.QUERIES["rank_fusion_subchunks"](spark, d).collect()}
+    ranks = {(r.qid, r.item_id): r["rank"] for r in queries.benchmark_ranks(spark, d).collect()}
+    subs = [(f"{i}-s{k:03d}", i, x) for i, t in docs for k, x in enumerate(textindex.sub_chunks(t, 100, 150))]
+    tokens = spark.createDataFrame([(s, re.findall(r"[a-z]{2,}", x.lower())) for s, _, x in subs], "item_id string, tokens array<string>")
+    index = textindex.bm25_index(tokens, "item_id", "tokens", "sub")
+    asked = spark.createDataFrame([(0, ["apple", "dune"]), (1, ["fjord"])], "qid long, tokens array<string>")
+    best = {}
+    for r in retrieval.bm25_topk(asked, index, "sub", 30).collect():
+        key = (r.qid, dict((s, i) for s, i, _ in subs)[r.item_id])
+        best[key] = min(best.get(key, 99), r["rank"])
+    place = {}
+    for q in (0, 1):
+        for n, key in enumerate(sorted((k for k in best if k[0] == q), key=lambda k: (best[k], k[1])), 1):
+            place[key] = n
+    assert place and any(i % 2 for _, i in place)
+    for key in ranks.keys() | place.keys():
+        assert fused[key] == pytest.approx((1 / (60 + ranks[key]) if key in ranks else 0) + (1.2 / (60 + place[key]) if key in place else 0), abs=1e-8)
+    assert fused.keys() == ranks.keys() | place.keys()
+
+    day = lambda n: datetime.datetime(2024, 1, n)
+    events = [(1, day(2), 1, "a"), (2, day(20), 1, "a"), (3, day(20), 1, "b"), (4, day(21), 1, "b"), (5, day(16), 2, "a"), (6, day(15), 3, "a"), (7, day(15), 3, "a")]
+    spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string").write.parquet(f"{d}/events.parquet")
+    assert {(r.event_id, r.reason) for r in queries.QUERIES["repeated_calls_made"](spark, d).collect()} == {(2, "made"), (4, "repeated")}

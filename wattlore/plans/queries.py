@@ -178,6 +178,17 @@ def rank_fusion(spark, sf_dir):
     return fused.select("qid", "item_id", F.round("score", 9).alias("score"))
 
 
+@query()
+def rank_fusion_subchunks(spark, sf_dir):
+    """BM25 over documents fused with BM25 over an index of their sub-chunks, each document at its best sub-chunk's place."""
+    benchmark = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), words("text").alias("tokens"))
+    subs = textindex.split_subchunks(table(spark, sf_dir, "documents"), "doc_id", "text")
+    index = textindex.bm25_index(subs.select("sub_id", words("body").alias("tokens")), "sub_id", "tokens", "sub")
+    parents = subs.select(F.col("sub_id").alias("item_id"), "parent_id")
+    fused = retrieval.rrf_fuse({"bm25": benchmark_ranks(spark, sf_dir), "sub": retrieval.subchunk_channel(benchmark, index, parents)})
+    return fused.select("qid", "item_id", F.round("score", 9).alias("score"))
+
+
 @query(r"""WITH t AS (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}]{2,}')) AS term FROM documents)
 SELECT term, count(*)::BIGINT AS freq, row_number() OVER (ORDER BY count(*) DESC, term)::INTEGER AS rank FROM t GROUP BY term QUALIFY rank <= 40""")
 def vocabulary_top(spark, sf_dir):
@@ -200,6 +211,14 @@ def neighbour_units(spark, sf_dir):
     return retrieval.neighbors(hits, rows, 1, same_section=False)
 
 
+@query(f"""WITH {UNITS_SQL} SELECT a.doc_id AS qid, a.doc_id || '-' || b."order" AS item_id, a.doc_id || '-' || a."order" AS from_id FROM u a JOIN u b ON a.doc_id = b.doc_id AND abs(a."order" - b."order") = 1""")
+def neighbour_units_all(spark, sf_dir):
+    """Every line is a hit; neighbour_units takes each fifth, as its SQL does."""
+    rows = units(spark, sf_dir).select("doc_id", F.col("order").alias("seq"), F.col("unit_id").alias("chunk_id"), F.array().cast("array<string>").alias("section_path"))
+    hits = rows.select(F.col("doc_id").alias("qid"), F.col("chunk_id").alias("item_id"))
+    return retrieval.neighbors(hits, rows, 1, same_section=False)
+
+
 @query(f"WITH {UNITS_SQL} SELECT doc_id, sum(length(text))::BIGINT AS chars FROM n WHERE reason IS NULL AND regexp_matches(text, '[^ ]') GROUP BY doc_id")
 def subchunk_chars(spark, sf_dir):
     """Sub-chunks of all lines lose no character of their sentences."""
@@ -584,6 +603,15 @@ def repeated_calls(spark, sf_dir):
     return logs.duplicate_calls(rows.limit(0), rows, "user_id", "at")[1].select("event_id", "reason")
 
 
+@query("""WITH h AS (SELECT DISTINCT user_id, event_type FROM events WHERE ts < TIMESTAMP '2024-01-16'), p AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS r FROM events WHERE ts >= TIMESTAMP '2024-01-16')
+SELECT event_id, CASE WHEN h.user_id IS NOT NULL THEN 'made' ELSE 'repeated' END AS reason FROM p LEFT JOIN h USING (user_id, event_type) WHERE h.user_id IS NOT NULL OR r > 1""")
+def repeated_calls_made(spark, sf_dir):
+    """The second half of the month against the first, the calls already made; repeated_calls has no history, as its SQL."""
+    rows = table(spark, sf_dir, "events").withColumns({"signature": F.col("event_type"), "at": F.struct("ts", "event_id")})
+    since = F.lit("2024-01-16 00:00:00").cast(rows.schema["ts"].dataType)
+    return logs.duplicate_calls(rows.filter(F.col("ts") < since), rows.filter(F.col("ts") >= since), "user_id", "at")[1].select("event_id", "reason")
+
+
 VIOLATED = "CASE WHEN l_returnflag = 'R' AND l_discount > 0.08 THEN 'DATA' WHEN l_returnflag = 'A' AND l_tax > 0.07 THEN 'EVIDENCE' END"
 
 
