@@ -291,3 +291,31 @@ def test_permutation_query_makes_all_permutations(spark, tmp_path):
     spark.createDataFrame([(i, 51.0 + i) for i in range(40)], "event_id long, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     row = queries.QUERIES["permutation_test"](spark, str(tmp_path)).first()
     assert row.n == 40 and row.mean_diff == pytest.approx(20.5) and row.p == pytest.approx(1 / 20001)
+
+
+def test_leaking_texts_equal_all_pairs_of_whole_turns(spark, tmp_path):
+    from wattlore.functions import determinism
+    from wattlore.plans import queries
+
+    rng = random.Random(9)
+    fresh = lambda n: "".join(rng.choices("abcdefghijklmno ", k=n))
+    same, opening = fresh(300), fresh(60)
+    rows = [(c, 0, "user", same if c % 3 == 0 else opening + fresh(240)) for c in range(24)]
+    rows += [(c, 1, "assistant", fresh(5) + same[5:] if c % 4 == 0 else fresh(80)) for c in range(24)]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    df.write.parquet(f"{tmp_path}/conversations.parquet")
+    side = {r.conv_id: r.split for r in determinism.split_by_group(df, "conv_id", [("train", 0.8), ("test", 0.2)], "leaks").collect()}
+
+    def grams(t):
+        t = "".join(t.lower().split())
+        return {t[i : i + 2] for i in range(len(t) - 1)}
+
+    want = {}
+    for a in rows:
+        for b in rows:
+            x, y = grams(a[3]), grams(b[3])
+            if side[a[0]] == "train" and side[b[0]] == "test" and len(x & y) / len(x | y) > 0.9:
+                want[a[0], a[1], b[0], b[1]] = len(x & y) / len(x | y)
+    got = {(r.train_conv_id, r.train_turn, r.test_conv_id, r.test_turn): r.jaccard for r in queries.QUERIES["leaking_texts"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+    assert any((a - c) % 2 == 0 for a, _, c, _ in want) and any(t == 1 for _, t, _, _ in want)

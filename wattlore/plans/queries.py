@@ -575,6 +575,19 @@ def leaking_openings(spark, sf_dir):
     return datasets.near_duplicate_leaks(train, test, thr=0.7).select("train_id", "test_id")
 
 
+@query()
+def leaking_texts(spark, sf_dir):
+    """Whole turns of training conversations that are alike to turns of test conversations, a fifth, to more than 0.9.
+
+    leaking_openings compares the first forty characters of user turns of even and odd conversations only, as its SQL does;
+    all pairs of whole texts are too many for SQL.
+    """
+    rows = D.split_by_group(table(spark, sf_dir, "conversations"), "conv_id", [("train", 0.8), ("test", 0.2)], "leaks")
+    side = lambda name: rows.filter(F.col("split") == name).select(F.struct("conv_id", "turn").alias(f"{name}_id"), "text")
+    leaks = datasets.near_duplicate_leaks(side("train"), side("test"))
+    return leaks.select(*[F.col(f"{s}_id.{c}").alias(f"{s}_{c}") for s in ("train", "test") for c in ("conv_id", "turn")], F.round("jaccard", 6).alias("jaccard"))
+
+
 @query("""SELECT l_orderkey, max(struct_pack(s := l_discount, i := l_linenumber)).i AS chosen, min(struct_pack(s := l_discount, i := l_linenumber)).i AS rejected, round((max(l_discount) - min(l_discount))::DOUBLE, 6) AS gap FROM lineitem GROUP BY l_orderkey HAVING round((max(l_discount) - min(l_discount))::DOUBLE, 6) >= 0.05""")
 def preference(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_discount").cast("double").alias("score"), F.col("l_linenumber").alias("candidate_id"))
