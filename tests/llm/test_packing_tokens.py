@@ -10,6 +10,7 @@ from tokenizers import Tokenizer
 from wattlore.llm import packing as P
 from wattlore.llm import token_files as T
 from wattlore.llm.common import materialize
+from wattlore.llm.memo_tokens import MemoTokenizer
 
 TEXTS = ["", None, "the cat sat on the mat. " * 700, "a", "Ünïcode é\x1c x  \n y 中 <|endoftext|>", "the cat sat on the mat. " * 3, "  ", "x" * 9000, "the\tcat", "the cat sat on the mat. " * 3]
 
@@ -68,17 +69,64 @@ def test_pack_empty(spark):
     assert P.pack_documents(empty, public_tokenizers.path("word_bpe_49k.json")).count() == 0
 
 
+def expanded(symbols, rules, first):
+    return T.Expander(rules, T.expansion_lengths(rules, first), first).ids(symbols)
+
+
 @pytest.mark.parametrize("high", [3, 300, 70000])
 def test_grammar_round_trip(high):
     rng = np.random.default_rng(high)
+    first = max(high, T.FIRST_NONTERMINAL)
     for n in (0, 1, 5, 30000):
         ids = (rng.zipf(1.3, n) % high).astype(np.uint32)
-        symbols, rules = T.grammar(ids, least=4)
-        assert (T.expand(symbols, T.FIRST_NONTERMINAL, T.expansions(rules, T.FIRST_NONTERMINAL)) == ids).all()
+        symbols, rules = T.grammar(ids, first, least=4)
+        assert (expanded(symbols, rules, first) == ids).all()
+        left = np.unique(np.stack([symbols[:-1], symbols[1:]], 1)[(symbols[:-1] != 0) & (symbols[1:] != 0) & (symbols[:-1] != symbols[1:])], axis=0, return_counts=True)[1]
+        assert left.max(initial=0) < 4  # no pair is frequent any more
         if n == 30000 and high == 300:
             assert len(symbols) < 0.8 * n
 
 
+def test_grammar_folds_runs_and_long_repeats():
+    run = np.full(1 << 18, 7, np.uint32)
+    symbols, rules = T.grammar(run)
+    assert len(symbols) < 128 and len(rules) >= 12 and (expanded(symbols, rules, T.FIRST_NONTERMINAL) == run).all()
+    odd = np.full(1001, 7, np.uint32)
+    symbols, rules = T.grammar(odd, least=2)
+    assert (expanded(symbols, rules, T.FIRST_NONTERMINAL) == odd).all()
+    repeat = np.tile(np.arange(1, 257, dtype=np.uint32), 1000)
+    symbols, rules = T.grammar(repeat)
+    assert len(symbols) <= 1000 and (expanded(symbols, rules, T.FIRST_NONTERMINAL) == repeat).all()
+
+
+def test_symbols_may_need_more_than_16_bits():
+    ids = [np.tile(np.arange(1, 20000, dtype="<u4"), 2).tobytes(), np.array([5, 1 << 20], "<u4").tobytes()]
+    parts, n, _ = T.encode_shard([1, None], ids, least=2)
+    shard = T.Shard(b"".join(parts))
+    assert n == 2 * 19999 + 2 + 2 and len(shard.rules) + shard.first > 1 << 16
+    assert [shard.document(i).astype("<u4").tobytes() for i in (0, 1)] == [x + b"\0\0\0\0" for x in ids]
+
+
+def test_ids_equal_the_library():
+    rnd = random.Random(1)
+    pool = list("aBéßİıſ²½ªº1٣中日の क्😀\u200b\u200d\xad\u0301\u2003 \n\t\x1c\x1f\x85\xa0\u3000'’_-<>Ǆǅŏ\x00\x7fµÅÅﬁΩ") + ["  ", "\r\n", "'s", "'LL", "...", "<|endoftext|>", "<|startoftext|>", "word", "don't", "I'M"]
+    texts = ["".join(rnd.choice(pool) for _ in range(rnd.randint(0, 30))) for _ in range(4000)] + ["中" * 5000, "x" * 5000]
+    for name, strip in (("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)):
+        m = MemoTokenizer(public_tokenizers.path(name), strip)
+        m.memo.most = 20_000  # emptied many times on the way
+        want = [np.array(e.ids, "<u4").tobytes() for e in m.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert m.encode(texts) == want
+        assert m.memo.held < 21_000 and max(map(len, m.memo)) <= 64
+        m.release()
+        assert not m.memo
+
+
+def test_no_documents(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, path string")
+    manifest = materialize(T.write_token_files(empty, public_tokenizers.path("byte_bpe_50k.json")), "m")
+    assert manifest.count() == 0 and T.read_token_files(manifest).count() == 0
+
+
 def test_token_files(docs):
     path = public_tokenizers.path("byte_bpe_50k.json")
     manifest = materialize(T.write_token_files(docs, path, shard_ids=500), "m")
@@ -96,6 +144,6 @@ def test_token_files(docs):
     one = manifest.filter("docs > 1").first()
     fs, local = open_fs(one["path"])
     shard = T.Shard(fs.open_input_file(local).read())
-    whole = T.expand(shard.symbols, shard.first, shard.table)
+    whole = shard.all_ids()
     for i in range(len(shard.doc_ids)):
         assert (shard.document(i) == whole[shard.starts[i] : shard.starts[i + 1]]).all()

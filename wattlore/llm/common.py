@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import sys
 import uuid
 
 import numpy as np
@@ -11,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder that the driver and all executors share.
+    """A new folder that the driver and all executors share, with its scheme, so that Spark and tasks mean the same place.
 
     Lies in the folder the cluster names in ``spark.checkpoint.dir``; only where that is unset (a local session) the
     session's warehouse folder is used.
@@ -20,7 +19,13 @@ def work_dir(spark: SparkSession, name: str) -> str:
     if not base:
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/wattlore-work"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path, fs = _hadoop(spark, base)
+    return f"{fs.makeQualified(path).toString().rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _hadoop(spark: SparkSession, uri: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -28,18 +33,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = work_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.step_path = path
+    return out
+
+
+def discard(*steps: DataFrame) -> None:
+    """Delete steps that materialize has written and nothing reads any more; what was read from them must be written itself."""
+    for step in steps:
+        path, fs = _hadoop(step.sparkSession, step.step_path)
+        fs.delete(path, True)
 
 
 def open_fs(uri: str):
-    """(filesystem, path) of a shared folder, usable in tasks."""
+    """(filesystem, path) of a folder that work_dir has named, usable in tasks."""
     from pyarrow import fs
 
-    if "://" in uri or uri.startswith("file:"):
-        if uri.startswith("file:") and not uri.startswith("file://"):
-            uri = "file://" + uri[len("file:"):]
-        return fs.FileSystem.from_uri(uri)
-    return fs.LocalFileSystem(), uri
+    scheme, _, rest = uri.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    if scheme in ("s3a", "s3n"):
+        return fs.FileSystem.from_uri("s3:" + rest)
+    if not rest:
+        raise ValueError(f"{uri} names no file system: take a folder from work_dir")
+    return fs.FileSystem.from_uri(uri)
 
 
 def write_bytes(uri: str, parts: list[bytes]) -> None:
@@ -69,12 +86,7 @@ def shuffle_parts(spark: SparkSession, least: int = 1) -> int:
 
 
 def string_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of an Arrow string or binary column without a copy; nulls have length 0.
-
-    Operators that read texts this way don't tokenise, so a memo that an earlier job left in the worker is emptied.
-    """
-    if memo := sys.modules.get("wattlore.llm.memo_tokens"):
-        memo.release()
+    """(bytes, offsets) of an Arrow string or binary column without a copy; nulls have length 0."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks() if col.num_chunks != 1 else col.chunk(0)
         if isinstance(col, pa.ChunkedArray):

@@ -1,10 +1,11 @@
-"""Whole-text tokenisation by a public tokenizer file, each distinct piece of text encoded once per worker.
-
-The pre-tokenizers of the supported files never join characters across the start of a run of white space, so a text's ids
-are the ids of its chunks one after another. A chunk of Latin characters is cut into the file's pre-tokens here and each
-new pre-token goes to the file's BPE model; every other chunk goes through the whole tokenizer. Texts with control
-separators that the two notions of white space see differently are encoded whole. Both memos are bounded: a full one is
-emptied, which costs time and changes nothing.
+"""Whole-text tokenisation by a public tokenizer file, each distinct piece of text encoded once.
+
+A text of Latin characters is cut into the file's pre-tokens here, and each pre-token that isn't known yet goes to the
+file's BPE model. The pre-tokenizers of the supported files never join characters across the start of a run of white space,
+so any other text is cut there and its chunks take the same way where they are Latin; the rest of them goes through the whole
+tokenizer, many chunks in one call. Texts with control separators that the two notions of white space see differently are
+encoded whole. The memo is bounded in bytes and holds short pieces only: a full one is emptied, which costs time and changes
+nothing. Tasks release it at their end, because workers outlive a job and the next one may need the memory.
 """
 
 from __future__ import annotations
@@ -14,52 +15,63 @@ import re
 from array import array
 from collections.abc import Iterable
 
-import regex
-
 #: Characters Python counts as white space and the tokenizer files do not.
 ODD = re.compile("[\x1c-\x1f]")
 CHUNK = re.compile(r"\s*\S+|\s+")
-#: Characters whose case, normal form and class are the same in every Unicode version at hand.
-LATIN = re.compile("[\x00-įı-ɏ]*")
-MEMO_CHUNKS, MEMO_PIECES = 700_000, 700_000
-#: The pre-token patterns that the two files state.
-WORD_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-BYTE_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Characters whose case, normal form and class are the same in every Unicode version at hand; without the numbers that
+#: Python's \w takes for letters.
+LATIN = re.compile("[\x00-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ]*")
+#: The pre-token patterns that the two files state, with [^\W\d_] for a letter and \d for a number.
+WORD_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+BYTE_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: Bytes that a memo may take, by the estimate of _COST bytes an entry besides its characters and ids, and the longest piece it keeps.
+MEMO_BYTES, MEMO_PIECE, _COST = 96_000_000, 64, 200
 
 
-def _byte_letters() -> dict[int, str]:
+def _byte_letters() -> list[str]:
     """Byte-level BPE writes each byte as a printable character: itself where it is one, else the next from U+0100."""
     own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
     rest = [b for b in range(256) if b not in own]
-    return {b: chr(0x100 + rest.index(b)) for b in rest}
+    return [chr(b) if b in own else chr(0x100 + rest.index(b)) for b in range(256)]
 
 
 LETTERS = _byte_letters()
 
 
 class _Memo(dict):
-    """Chunk -> ids; what is missing is encoded, so a chunk that is known costs one look-up."""
+    """Piece -> ids; what is missing is encoded, so a piece that is known costs one look-up."""
 
-    def __init__(self, encode):
+    def __init__(self, model, most: int = MEMO_BYTES):
         super().__init__()
-        self.encode = encode
-
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= MEMO_CHUNKS:
-            self.clear()
-        ids = self[chunk] = self.encode(chunk)
+        self.model, self.most, self.held = model, most, 0
+
+    def __missing__(self, piece: str) -> bytes:
+        if piece.isascii() and piece[1:].isalpha():  # a word, perhaps after a space: only the space is written otherwise
+            said = LETTERS[32] + piece[1:] if piece[0] == " " else piece
+        else:
+            said = "".join([LETTERS[b] for b in piece.encode()])
+        ids = array("I", [t.id for t in self.model.tokenize(said)]).tobytes()
+        if len(piece) <= MEMO_PIECE:
+            if self.held >= self.most:
+                self.release()
+            self.held += _COST + 2 * len(piece) + len(ids)
+            self[piece] = ids
         return ids
 
+    def release(self) -> None:
+        self.clear()
+        self.held = 0
+
 
 class MemoTokenizer:
     def __init__(self, path: str, strip_space: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.strip, self.pieces = Tokenizer.from_file(path), strip_space, {}
-        self.model = self.tokenizer.model
+        self.tokenizer, self.strip = Tokenizer.from_file(path), strip_space
+        self.pieces = (WORD_PIECES if strip_space else BYTE_PIECES).findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo = _Memo(self._chunk)
+        self.memo = _Memo(self.tokenizer.model)
 
     @staticmethod
     def of(path: str, strip_space: bool) -> "MemoTokenizer":
@@ -69,44 +81,43 @@ class MemoTokenizer:
             _open[key] = MemoTokenizer(*key)
         return _open[key]
 
-    def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            if piece.isascii() and piece[1:].isalpha():  # a word, perhaps after a space: only the space is written otherwise
-                said = LETTERS[32] + piece[1:] if piece[0] == " " else piece
-            else:
-                said = piece.encode().decode("latin-1")
-            if len(self.pieces) >= MEMO_PIECES:
-                self.pieces.clear()
-            ids = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(said.translate(LETTERS))]).tobytes()
-        return ids
+    def _latin(self, text: str) -> bool:
+        return (text.isascii() or LATIN.fullmatch(text) is not None) and not ("<" in text and any(s in text for s in self.special))
 
-    def _chunk(self, chunk: str) -> bytes:
-        if (chunk.isascii() or LATIN.fullmatch(chunk)) and not ODD.search(chunk) and not ("<" in chunk and any(s in chunk for s in self.special)):
-            if self.strip:
-                low = chunk.lower()
-                return self._piece(low) if low.isalpha() else b"".join(map(self._piece, WORD_PIECES.findall(low)))
-            if chunk[:1] == " " and chunk[1:].isalpha():
-                return self._piece(chunk)
-            return b"".join(map(self._piece, BYTE_PIECES.findall(chunk)))
-        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+    def _known(self, text: str) -> bytes:
+        return b"".join(map(self.memo.__getitem__, self.pieces(text.lower() if self.strip else text)))
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        get, cut = self.memo.__getitem__, (str.split if self.strip else CHUNK.findall)
-        return [b"".join(map(get, [t] if ODD.search(t) else cut(t))) for t in texts]
+        out: list[list[bytes]] = []
+        rest, places = [], []
+        for i, t in enumerate(texts):
+            odd = ODD.search(t)
+            if not odd and self._latin(t):
+                out.append([self._known(t)])
+                continue
+            parts = []
+            for chunk in [t] if odd else CHUNK.findall(t):
+                if not odd and self._latin(chunk):
+                    parts.append(self._known(chunk))
+                else:
+                    rest.append(chunk)
+                    places.append((i, len(parts)))
+                    parts.append(b"")
+            out.append(parts)
+        for a in range(0, len(rest), 4096):
+            got = self.tokenizer.encode_batch(rest[a : a + 4096], add_special_tokens=False)
+            for (i, k), e in zip(places[a : a + 4096], got):
+                out[i][k] = array("I", e.ids).tobytes()
+        return [b"".join(x) for x in out]
+
+    def release(self) -> None:
+        self.memo.release()
 
 
 _open: dict[tuple[str, bool], MemoTokenizer] = {}
 
 
-def release() -> None:
-    """Empty all memos: workers outlive a job, and the next one may need the memory."""
-    for t in _open.values():
-        t.memo.clear()
-        t.pieces.clear()
-
-
 def batches(texts: list[str], chars: int = 2_000_000) -> Iterable[tuple[int, int]]:
     """Index ranges of about chars characters each."""
     a = n = 0

@@ -104,26 +104,29 @@ def best_fit_moves(histogram: dict[int, int], capacity: int) -> np.ndarray:
 
 def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """Token pieces of every document: only documents longer than capacity are cut, every capacity tokens."""
+    end = int(end_id).to_bytes(4, "little")
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
 
     def cut(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, task, seen = MemoTokenizer.of(tokenizer_path, True), TaskContext.get().partitionId(), {}
-        end = int(end_id).to_bytes(4, "little")
-        for frame in frames:
-            ids, texts = frame.column("doc_id").to_pylist(), frame.column("text").to_pylist()
-            rows: list[tuple] = []
-            for a, b in batches(texts):
-                for doc, got in zip(ids[a:b], tokenizer.encode(texts[a:b])):
-                    got += end
-                    for piece, at in enumerate(range(0, len(got), 4 * capacity)):
-                        part = got[at : at + 4 * capacity]
-                        n = len(part) // 4
-                        nth = seen.get(n, 0)
-                        seen[n] = nth + 1
-                        rows.append((doc, piece, at // 4, n, zlib.crc32(part), task, nth))
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"]
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-            columns = list(zip(*rows)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+        try:
+            for frame in frames:
+                ids, texts = frame.column("doc_id").to_pylist(), frame.column("text").to_pylist()
+                rows: list[tuple] = []
+                for a, b in batches(texts):
+                    for doc, got in zip(ids[a:b], tokenizer.encode(texts[a:b])):
+                        got += end
+                        for piece, at in enumerate(range(0, len(got), 4 * capacity)):
+                            part = got[at : at + 4 * capacity]
+                            n = len(part) // 4
+                            nth = seen.get(n, 0)
+                            seen[n] = nth + 1
+                            rows.append((doc, piece, at // 4, n, zlib.crc32(part), task, nth))
+                columns = list(zip(*rows)) or [()] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+        finally:
+            tokenizer.release()
 
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
     return texts.mapInArrow(cut, PIECES)
