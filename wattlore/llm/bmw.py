@@ -127,3 +127,89 @@ class BlockMaxIndex:
     def block_least(self, least: np.ndarray) -> np.ndarray:
         """The smallest of least in each block of texts."""
         return np.minimum.reduceat(least, np.arange(0, self.texts, self.block)) if self.texts else np.zeros(0)
+
+
+class PrunedShard:
+    """One shard of a search: postings of rare terms are walked, common terms are asked for only where block maxima allow it.
+
+    Texts lie in blocks of consecutive numbers, the same for all terms, so the pivot test of block-max WAND is one sum for each
+    block. A batch of queries takes it at once: the maxima of the common terms in every block, times the queries' weights, are
+    a matrix product. The rare terms' part is exact for each text; where it and the block's bound together miss the query's
+    threshold, the text is skipped. What is left gets its common part from a matrix product over the batch's texts, in single
+    precision, and everything within rounding of the k best is scored again in double precision.
+    """
+
+    BLOCK, BATCH, SLACK = 16, 64, 1e-4
+
+    def __init__(self, file: dict[str, np.ndarray], mean_length: float, common: float = 1 / 16):
+        self.ids, self.terms, self.start, self.text, self.length = (file[x] for x in ("ids", "terms", "start", "text", "length"))
+        self.mean, n, df = mean_length, len(self.ids), np.diff(self.start)
+        self.impact = impacts(file["tf"].astype(np.float64), self.length[self.text], mean_length)
+        often = np.flatnonzero(df >= max(8, common * n))
+        self.column = np.full(len(df), -1, np.int32)
+        self.column[often] = np.arange(len(often))
+        column = np.repeat(self.column, df)
+        here = np.flatnonzero(column >= 0)
+        self.dense, self.tf = np.zeros((n, len(often)), np.float32), np.zeros((n, len(often)), file["tf"].dtype)
+        self.dense[self.text[here], column[here]] = self.impact[here]
+        self.tf[self.text[here], column[here]] = file["tf"][here]
+        self.most = np.maximum.reduceat(self.dense, np.arange(0, n, self.BLOCK)) if n else np.zeros((0, len(often)), np.float32)
+
+    def rare_part(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        size = self.start[terms + 1] - self.start[terms]
+        p = np.repeat(self.start[terms] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        return np.bincount(self.text[p], self.impact[p] * np.repeat(weights, size), len(self.ids))
+
+    def search(self, terms: np.ndarray, weights: np.ndarray, start: np.ndarray, k: int, best: list[tuple[np.ndarray, np.ndarray]]) -> int:
+        """Merge this shard's texts into best: for each query (terms start[i]:start[i + 1]) ids and scores of its k best.
+
+        Returns the number of texts whose common part was computed, over all batches.
+        """
+        n, visited = len(self.ids), 0
+        if not len(self.terms):
+            return 0
+        i = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        here = self.terms[i] == terms
+        some = min(n, 2 * k)
+        for a in range(0, len(best), self.BATCH):
+            batch = range(a, min(len(best), a + self.BATCH))
+            common, rare = np.zeros((len(batch), self.dense.shape[1])), np.zeros((len(batch), n))
+            for row, q in enumerate(batch):
+                mine = slice(start[q], start[q + 1])
+                t, w = i[mine][here[mine]], weights[mine][here[mine]]
+                c = self.column[t]
+                common[row, c[c >= 0]] = w[c >= 0]
+                rare[row] = self.rare_part(t[c < 0], w[c < 0])
+            common32, rare32 = common.astype(np.float32), rare.astype(np.float32)
+            bound = np.repeat(common32 @ self.most.T, self.BLOCK, axis=1)[:, :n] + rare32
+            floor = np.array([x[1].min() if len(x[1]) >= k else 0.0 for x in (best[q] for q in batch)])
+            # the texts with the highest bounds set a threshold first
+            seed = np.argpartition(bound, n - some, axis=1)[:, n - some :]
+            tried = (self.dense[seed] @ common32[:, :, None])[:, :, 0] + np.take_along_axis(rare32, seed, 1)
+            if some >= k:
+                floor = np.maximum(floor, np.partition(tried, some - k, axis=1)[:, some - k] * (1 - self.SLACK))
+            floor = np.maximum(floor * (1 - self.SLACK), 1e-30).astype(np.float32)  # a bound of zero shares no word
+            texts = np.flatnonzero((bound >= floor[:, None]).any(0))
+            visited += len(texts)
+            if not len(texts):
+                continue
+            if 2 * len(texts) > n:
+                texts = np.arange(n)
+                score = common32 @ self.dense.T
+                score += rare32
+            else:
+                score = common32 @ self.dense[texts].T + rare32[:, texts]
+            for row, q in enumerate(batch):
+                s = score[row]
+                pick = np.flatnonzero(s >= floor[row])
+                if len(pick) > k:
+                    close = s[pick]
+                    pick = pick[close >= np.partition(close, len(pick) - k)[len(pick) - k] * (1 - 2 * self.SLACK)]
+                if len(pick):
+                    pick = texts[pick]
+                    c = np.flatnonzero(common[row])
+                    exact = rare[row, pick] + impacts(self.tf[pick[:, None], c].astype(np.float64), self.length[pick, None], self.mean) @ common[row, c]
+                    found, value = np.concatenate([best[q][0], self.ids[pick]]), np.concatenate([best[q][1], exact])
+                    order = np.lexsort((found, -np.round(value, 6)))[:k]
+                    best[q] = found[order], value[order]
+        return visited
