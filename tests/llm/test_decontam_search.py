@@ -68,6 +68,31 @@ def test_bound_prunes_no_match():
     assert want <= got and len(got) <= len(want) + 2
 
 
+def test_many_items_take_bounded_memory_and_give_the_same(monkeypatch):
+    """Segments by items that don't fit into the table are summed by sorting."""
+    long = [" ".join(words(x)) for _, x in ITEMS]
+    items = D.build_items([i for i, _ in ITEMS], long, long, [""] * len(ITEMS), len(ITEMS), None, None)
+    docs = [" ".join(words(t)) for _, t in leak_corpus()]
+    want = D.scan(items, list(range(len(docs))), pa.array(docs), 0.5, 0.0)
+    monkeypatch.setattr(D, "CELLS", 40)
+    assert len(want) > 60 and sorted(D.scan(items, list(range(len(docs))), pa.array(docs), 0.5, 0.0)) == sorted(want)
+
+
+def test_a_hundred_thousand_items():
+    import tracemalloc
+
+    rnd = random.Random(2)
+    vocabulary = ["".join(rnd.choices("abcdefghijklmnop", k=7)) for _ in range(60_000)]
+    texts = [" ".join(rnd.choices(vocabulary, k=8)) for _ in range(100_000)]
+    items = D.build_items(list(range(len(texts))), texts, texts, [""] * len(texts), len(texts), None, None)
+    docs = [" ".join(rnd.choices(vocabulary, k=20)) + " " + texts[i] + " " + " ".join(rnd.choices(vocabulary, k=20)) for i in range(300)]
+    tracemalloc.start()
+    got = D.scan(items, list(range(300)), pa.array(docs), 0.7, 0.6)
+    assert tracemalloc.get_traced_memory()[1] < 200_000_000
+    tracemalloc.stop()
+    assert {(i, i) for i in range(300)} == {(d, i) for d, i, *_ in got}
+
+
 def test_no_items(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     assert D.find_leaks(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0

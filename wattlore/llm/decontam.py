@@ -11,6 +11,9 @@ hold the item's words, all and in a row.
 
 from __future__ import annotations
 
+import math
+import pickle
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bmw import BlockMaxIndex, idf, impacts, term_counts
-from .common import string_buffers, text_col
+from .common import materialize, open_fs, string_buffers, text_col, work_dir, write_bytes
 from .words import segment_sum, shingles, word_hashes
 
 RESULT = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
@@ -79,9 +82,8 @@ def build_short(ids: list, texts: list[str], n: int, df: dict[int, int], mean_le
     return Short([ids[i] for i in order.tolist()], own[order], {k: run[order][length[order] == k] for k in sizes}, first)
 
 
-def scan_short(short: Short, doc_ids: list, texts: pa.Array) -> list[tuple]:
+def scan_short(short: Short, doc_ids: list, h: np.ndarray, bounds: np.ndarray) -> list[tuple]:
     """One match for each document and short item whose words it holds in a row."""
-    h, bounds = word_hashes(*string_buffers(texts))
     found, n = [], np.diff(bounds)
     for k, runs in short.runs.items():
         g, b = shingles(h, bounds, k)
@@ -121,9 +123,37 @@ def contained(part: tuple[int, np.ndarray], words: np.ndarray) -> float:
     return float(np.isin(runs, shingles(words, np.array([0, len(words)]), k)[0]).mean()) if k else 1.0
 
 
+#: Cells of a table of segments by items that is held at once; more items than a step has room for are summed by sorting.
+CELLS = 2_000_000
+
+
+def _survivors(items: Items, segment: np.ndarray, term: np.ndarray, owner: np.ndarray, share: float) -> np.ndarray:
+    """Numbers of the segments whose passage (it and the next of its document) some item may pass.
+
+    segment and term: one for each known word, by rising segment; owner: the document of every segment.
+    """
+    count, total = len(items.ids), len(owner)
+    if (items.rest >= share - 1e-9).any():
+        return np.arange(total)
+    size = items.first[term + 1] - items.first[term]
+    p = np.repeat(items.first[term] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    s, item, part = np.repeat(segment, size), items.gate_item[p], items.gate_share[p]
+    if total * count <= 2 * CELLS:
+        bound = np.bincount(s * count + item, part, total * count).reshape(total, count)
+        bound[:-1] += np.where((owner[:-1] == owner[1:])[:, None], bound[1:], 0)  # from the top down: each adds the next one's own
+        return np.flatnonzero((bound + items.rest >= share - 1e-9).any(1))
+    before = np.flatnonzero((s > 0) & (owner[s - 1] == owner[s]))
+    key, back = np.unique(np.concatenate([s * count + item, (s[before] - 1) * count + item[before]]), return_inverse=True)
+    joined = np.bincount(back, np.concatenate([part, part[before]]), len(key))
+    return np.unique(key[joined + items.rest[key % count] >= share - 1e-9] // count)
+
+
 def scan(items: Items, doc_ids: list, texts: pa.Array, share: float, overlap: float, words: int = 200_000) -> list[tuple]:
     """Matches of a batch of documents, one for each document and item: the passage that covers the question best."""
-    h, bounds = word_hashes(*string_buffers(texts))
+    return scan_words(items, doc_ids, *word_hashes(*string_buffers(texts)), share, overlap, words)
+
+
+def scan_words(items: Items, doc_ids: list, h: np.ndarray, bounds: np.ndarray, share: float, overlap: float, words: int = 200_000) -> list[tuple]:
     index, found = items.index, {}
     at = np.searchsorted(index.terms, h)
     at[at == len(index.terms)] = 0
@@ -134,20 +164,15 @@ def scan(items: Items, doc_ids: list, texts: pa.Array, share: float, overlap: fl
     doc = np.repeat(np.arange(len(n)), n)
     segment = base[doc] + (np.arange(len(h)) - bounds[doc]) // items.stride
     owner = np.repeat(np.arange(len(n)), segments)
-    count = len(items.ids)
     least = share * items.own
     block_least = index.block_least(least)
-    for a in range(0, int(base[-1]), max(1, words // items.stride)):
-        z = min(int(base[-1]), a + max(1, words // items.stride) + 1)  # one more: passages are two segments
+    count = max(1, len(items.ids))
+    step = max(1, min(words // items.stride, max(64, CELLS // count)))
+    for a in range(0, int(base[-1]), step):
+        z = min(int(base[-1]), a + step + 1)  # one more: passages are two segments
         lo, hi = np.searchsorted(segment, [a, z])
         w = np.flatnonzero(known[lo:hi]) + lo
-        t = at[w]
-        size = items.first[t + 1] - items.first[t]
-        p = np.repeat(items.first[t] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        bound = np.bincount((np.repeat(segment[w], size) - a) * count + items.gate_item[p], items.gate_share[p], (z - a) * count).reshape(z - a, count)
-        joined = bound.copy()
-        joined[:-1] += np.where((owner[a : z - 1] == owner[a + 1 : z])[:, None], bound[1:], 0)
-        for s in np.flatnonzero((joined + items.rest >= share - 1e-9).any(1)).tolist():
+        for s in _survivors(items, segment[w] - a, at[w], owner[a:z], share).tolist():
             d = int(owner[a + s])
             begin = int(bounds[d]) + (a + s - int(base[d])) * items.stride
             end = min(begin + 2 * items.stride, int(bounds[d + 1]))
@@ -162,53 +187,77 @@ def scan(items: Items, doc_ids: list, texts: pa.Array, share: float, overlap: fl
     return [(doc_ids[d], items.ids[i], v, q, r) for (d, i), (q, r, v) in found.items()]
 
 
+def write_items(prepared: DataFrame, folder: str, n: int, mean: float | None, min_words: int, shard_chars: int) -> DataFrame:
+    """Index files of the items, one for each length class and about shard_chars characters of it; returns path, to be committed.
+
+    A class spans a factor of eight in words, so that a very long item does not widen the passages of short ones.
+    """
+    size = F.size("words")
+    kind = F.when(size < min_words, -1).otherwise(F.greatest(F.lit(0), F.ceil(F.log(size / F.lit(64.0)) / math.log(8)).cast("int")))
+    sized = prepared.withColumn("kind", kind)
+    chars = {r["kind"]: int(r["chars"]) for r in sized.groupBy("kind").agg(F.sum(F.length("text")).alias("chars")).collect()}  # a few classes
+    parts = F.lit(1)
+    for k, total in chars.items():
+        parts = F.when(F.col("kind") == k, max(1, -(-total // shard_chars))).otherwise(parts)
+    shards = sized.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), parts).cast("int"))
+    frequency = prepared.filter(size >= min_words).select("item_id", F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    needed = shards.select(F.col("kind").alias("of_kind"), F.col("part").alias("of_part"), F.explode("words").alias("w")).distinct().join(frequency, "w")
+
+    def build(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = sorted(left.select(["item_id", "text", "question", "answer"]).to_pylist(), key=lambda r: (r["item_id"] is not None, r["item_id"], r["text"]))
+        h, _ = word_hashes(*string_buffers(right["w"]))
+        df = dict(zip(h.tolist(), right["df"].to_pylist()))
+        ids, texts, questions, answers = ([r[c] for r in rows] for c in ("item_id", "text", "question", "answer"))
+        if not rows:
+            return pa.table({"path": pa.array([], pa.string())})
+        short = left["kind"][0].as_py() < 0
+        held = build_short(ids, texts, n, df, mean) if short else build_items(ids, texts, questions, answers, n, df, mean)
+        path = f"{folder}/{uuid.uuid4().hex}.items"
+        write_bytes(path, [pickle.dumps(held)])
+        return pa.table({"path": [path]})
+
+    kept = shards.select("kind", "part", "item_id", "text", "question", "answer")
+    return kept.groupBy("kind", "part").cogroup(needed.groupBy("of_kind", "of_part")).applyInArrow(build, "path string")
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, share: float = 0.7, overlap: float = 0.6, min_words: int = 5, shard_chars: int = 32_000_000) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap of every document (doc_id, text) that holds an item.
 
-    items: item_id, text (and question, answer). The index of one shard of items goes to every task; a shard is at most
-    about shard_chars characters, and a larger set of items makes several shards over which idf and mean length are
-    counted together. Null texts are empty; items of fewer than min_words words match documents that hold all their words
-    in a row, and items without a word match nothing; repeated rows match each; an empty table gives an empty result; other columns are ignored.
+    items: item_id, text (and question, answer). Their index lies in files of at most about shard_chars characters of items
+    of like length, with idf and mean length counted over all of them; documents are read and cut into words once, whatever
+    the number of files, and a task holds one file at a time. Null texts are empty; items of fewer than min_words words
+    match documents that hold all their words in a row, and items without a word match nothing; repeated rows match each;
+    an empty table gives an empty result; very long texts are cut into passages like any other; other columns are ignored.
     """
     spark = docs.sparkSession
     prepared = question_answer(items).withColumn("words", F.filter(F.split("text", " "), lambda w: w != "")).filter(F.size("words") > 0)
+    prepared = materialize(prepared, "items")
     indexed = F.size("words") >= min_words
-    total = prepared.agg(F.count_if(indexed).alias("n"), F.sum(F.length("text")).alias("chars"), F.avg(F.when(indexed, F.size("words"))).alias("mean")).first()
-    shards = max(1, -(-int(total["chars"] or 0) // shard_chars))
-    frequency = prepared.filter(indexed).select("item_id", F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    total = prepared.agg(F.count_if(indexed).alias("n"), F.avg(F.when(indexed, F.size("words"))).alias("mean")).first()
+    written = materialize(write_items(prepared, work_dir(spark, "item-index"), total["n"], total["mean"], min_words, shard_chars), "item-files")
+    paths = sorted(r["path"] for r in written.collect())  # one for each 32 MB of items
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), plain(text_col(docs)).alias("text"))
-    out = None
-    for s in range(shards):
-        part = prepared.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards))).filter(F.col("shard") == s).orderBy("item_id", "text")
-        own = part.collect()  # at most about shard_chars characters
-        few = [r for r in own if len(r["words"]) < min_words]
-        own = [r for r in own if len(r["words"]) >= min_words]
-        words = frequency.join(part.select(F.explode("words").alias("w")).distinct(), "w").collect() if shards > 1 or few else []
-        h, _ = word_hashes(*string_buffers(pa.array([r["w"] for r in words], pa.string())))
-        df = dict(zip(h.tolist(), (r["df"] for r in words)))
-        held = build_items([r["item_id"] for r in own], [r["text"] for r in own], [r["question"] for r in own], [r["answer"] for r in own], total["n"], df if shards > 1 else None, total["mean"])
-        shared = spark.sparkContext.broadcast((held, build_short([r["item_id"] for r in few], [r["text"] for r in few], total["n"], df, total["mean"])))
-
-        def run(frames: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            long, short = shared.value
-            for f in frames:
-                step = max(1, int(f.num_rows * 4_000_000 // max(1, f.column("text").nbytes)))
-                for a in range(0, f.num_rows, step):
-                    part = f.slice(a, step)
-                    ids, texts = part.column("doc_id").to_pylist(), part.column("text")
-                    got = (scan(long, ids, texts, share, overlap) if long.ids else []) + (scan_short(short, ids, texts) if short.ids else [])
-                    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple = ("", None)
+        for f in frames:
+            step = max(1, int(f.num_rows * 4_000_000 // max(1, f.column("text").nbytes)))
+            cut = [(part.column("doc_id").to_pylist(), *word_hashes(*string_buffers(part.column("text")))) for part in (f.slice(a, step) for a in range(0, f.num_rows, step))]
+            for path in paths:
+                if held[0] != path:
+                    fs, local = open_fs(path)
+                    with fs.open_input_file(local) as file:
+                        held = path, pickle.loads(file.read())
+                for ids, h, bounds in cut:
+                    got = scan_short(held[1], ids, h, bounds) if isinstance(held[1], Short) else scan_words(held[1], ids, h, bounds, share, overlap)
                     columns = list(zip(*got)) or [()] * 5
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-        got = rows.mapInArrow(run, RESULT)
-        out = got if out is None else out.unionByName(got)
-    return out
+    return rows.mapInArrow(run, RESULT)
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """The documents that hold no item, with their own columns. A document is known by its doc_id; null ids are kept."""
-    from .common import materialize
-
     leaks = materialize(find_leaks(docs, items, **how).select("doc_id").distinct(), "leaks")
     return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
