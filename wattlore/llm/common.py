@@ -70,6 +70,14 @@ def write_bytes(uri: str, parts: list[bytes]) -> None:
     fs.move(temp, path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores in front until no column of df is called so, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def text_col(df: DataFrame, text: str = "text") -> Column:
     """The text column with null as the empty text."""
     return F.coalesce(df[text].cast("string"), F.lit(""))

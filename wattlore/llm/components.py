@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool, name: str) -> DataFrame:
-    """One round over edges (u, v), u > v: every larger (or smaller) neighbour of a node is tied to its least neighbour.
+    """One round over written edges (u, v), u > v, which it deletes in the end: every larger (or smaller) neighbour of a node is tied to its least neighbour.
 
     The least neighbours are aggregated first and written, so the join that follows has a row per node on one side and
     Spark can split a node with very many edges on the other.
@@ -23,7 +23,9 @@ def _star(edges: DataFrame, large: bool, name: str) -> DataFrame:
         out = tied.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = tied.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return materialize(out.filter("u <> v").distinct(), name)
+    new = materialize(out.filter("u <> v").distinct(), name)
+    discard(least, edges)
+    return new
 
 
 def _sum(edges: DataFrame) -> tuple:

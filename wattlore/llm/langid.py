@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import string_buffers
+from .common import free_name, string_buffers
 from .words import M1, M2, M3, hash_spans, spans
 
 UNKNOWN = "und"
@@ -247,16 +247,19 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """docs' columns with lang_pred and lang_score added; lang, source and doc_id play no part.
 
     Null texts and texts without a letter are ``und`` with score 0; a model that has learned one language or none gives
-    that language or ``und``. Columns that are already called lang_pred or lang_score are replaced.
+    that language or ``und``; ties go to the language that is first in the alphabet. Rows that repeat are labelled each, an
+    empty table stays empty, and a long text is one chain, however long. Columns that are already called lang_pred or
+    lang_score are replaced; all others stay, whatever they are called.
     """
     spark = docs.sparkSession
     kept = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
     shared = spark.sparkContext.broadcast(model)  # 2 ** BITS weights for each language and a lexicon of the bounded sample
-    rows = docs.select(*kept).withColumn("_letters", letters_only(docs["text"]))
+    letters = free_name(docs, "letters")
+    rows = docs.select(*kept, letters_only(docs["text"]).alias(letters))
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for f in frames:
-            names, score = label_texts(shared.value, f.column("_letters")) if shared.value.languages else ([UNKNOWN] * f.num_rows, np.zeros(f.num_rows))
+            names, score = label_texts(shared.value, f.column(letters)) if shared.value.languages else ([UNKNOWN] * f.num_rows, np.zeros(f.num_rows))
             columns = [f.column(c) for c in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], [*kept, "lang_pred", "lang_score"])
 

@@ -144,7 +144,7 @@ def candidates(docs: DataFrame, k: int, percent: int):
         told_df = sorted((u, d) for u, d in zip(right["bucket"].to_pylist(), right["df"].to_pylist()) if u is not None)
         df = np.frombuffer(b"".join(d for _, d in told_df), "<u2")
         h = np.unique(g[g <= edge])
-        out: dict[str, list] = {c: [] for c in ("node", "n", "alone", "keys", "at", "parity", "text")}
+        out: dict[str, list] = {c: [] for c in ("node", "n", "alone", "keys", "at", "parity", "bits", "text")}
         text = left["text"]
         for r, node, a, z in zip(rows, nodes, b[:-1].tolist(), b[1:].tolist()):
             s = g[a:z]
@@ -159,20 +159,35 @@ def candidates(docs: DataFrame, k: int, percent: int):
                 keys, often = np.concatenate([keys, more]), np.concatenate([often, np.full(len(more), 65535, "<u2")])
             shared = np.flatnonzero(often > 1)
             if len(shared):
-                for c, v in zip(out, (node, n, int((d == 1).sum()), keys[shared].view(np.int64), shared.astype(np.int32), parity(s), text[r])):
+                bitmap = parity(s)
+                bits = np.bitwise_xor.reduce(np.frombuffer(bitmap, "<i8").reshape(-1, PARITY_BITS // 64))  # folded to the smallest size
+                for c, v in zip(out, (node, n, int((d == 1).sum()), keys[shared].view(np.int64), shared.astype(np.int32), bitmap, bits, text[r])):
                     out[c].append(v)
-        kinds = {"node": pa.int64(), "n": pa.int64(), "alone": pa.int64(), "keys": pa.list_(pa.int64()), "at": pa.list_(pa.int32()), "parity": pa.binary(), "text": pa.string()}
+        kinds = {"node": pa.int64(), "n": pa.int64(), "alone": pa.int64(), "keys": pa.list_(pa.int64()), "at": pa.list_(pa.int32()), "parity": pa.binary(), "bits": pa.list_(pa.int64()), "text": pa.string()}
         return pa.table({c: pa.array(v, kinds[c]) for c, v in out.items()})
 
     nothing = lambda kind: F.lit(None).cast(kind)
     right = able.select("block", "doc_id", "p", "node", nothing("int").alias("bucket"), nothing("binary").alias("df")).unionByName(
         counted.select("block", nothing("long").alias("doc_id"), nothing("long").alias("p"), nothing("long").alias("node"), "bucket", "df")
     )
-    found = texts.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(prefix, "node long, n long, alone long, keys array<long>, at array<int>, parity binary, text string")
+    found = texts.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(prefix, "node long, n long, alone long, keys array<long>, at array<int>, parity binary, bits array<long>, text string")
     return signed, classes, materialize(found, "candidates")
 
 
-def verify(pairs: DataFrame, found: DataFrame, k: int, percent: int, group: int = 256) -> DataFrame:
+def suffix_filter(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (hub, node) those whose smallest parity bitmaps differ in no more bits than linked sets may have elements apart.
+
+    Bitmaps go along as eight numbers; texts only follow the pairs that are left.
+    """
+    words = range(PARITY_BITS // 64)
+    side = lambda of: found.select(F.col("node").alias(of), F.col("n").alias(f"{of}_n"), *(F.col("bits")[i].alias(f"{of}_{i}") for i in words))
+    both = F.col("hub_n") + F.col("node_n")
+    apart = sum((F.bit_count(F.col(f"hub_{i}").bitwiseXOR(F.col(f"node_{i}"))) for i in words), F.lit(0))
+    least = F.ceil(percent * both / F.lit(100 + percent) - 1e-9)  # elements that linked sets of these sizes share
+    return pairs.join(side("node"), "node").join(side("hub"), "hub").filter(apart <= both - 2 * least).select("hub", "node")
+
+
+def verify(pairs: DataFrame, found: DataFrame, k: int, percent: int, group: int = 64) -> DataFrame:
     """Of pairs (hub, node), each distinct, those that link: (a, b). A hub's pairs are dealt to groups of about ``group``."""
     sizes = materialize(pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("salts")), "hubs")
     text = found.select("node", "text")
@@ -206,9 +221,9 @@ def _first_round(found: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     return materialize(met.select("hub", "node").distinct(), "pivot-pairs"), pivots.select("key")
 
 
-def _left_pairs(found: DataFrame, postings: DataFrame, labels: DataFrame, percent: int, rows: int = 512, columns: int = 2048) -> DataFrame:
-    """Pairs (hub, node) of different groups that share a prefix shingle and pass every filter, each once."""
-    grouped = materialize(found.drop("text").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+def _left_pairs(found: DataFrame, postings: DataFrame, labels: DataFrame, seen: DataFrame, percent: int, rows: int = 512, columns: int = 2048) -> DataFrame:
+    """Pairs (hub, node) of different groups that share a prefix shingle, pass every filter and have not met before, each once."""
+    grouped = materialize(found.drop("text", "bits").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
     entries = grouped.select("node", "label", F.explode("keys").alias("key")).join(postings, "key")
     by_label = entries.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     of_key = by_label.groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("most"))
@@ -252,7 +267,8 @@ def _left_pairs(found: DataFrame, postings: DataFrame, labels: DataFrame, percen
         return pa.table({"hub": pa.array(hub), "node": pa.array(other)})
 
     met = outside.select(*columns_).unionByName(everyone.select(*columns_)).groupBy("key", "i", "j").applyInArrow(meet, "hub long, node long")
-    return materialize(met, "left-pairs")
+    met = met.select(F.greatest("hub", "node").alias("hub"), F.least("hub", "node").alias("node"))
+    return materialize(met.join(seen.select(F.greatest("hub", "node").alias("hub"), F.least("hub", "node").alias("node")), ["hub", "node"], "left_anti"), "left-pairs")
 
 
 def ngram_jaccard_groups(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
@@ -265,9 +281,10 @@ def ngram_jaccard_groups(docs: DataFrame, k: int = 3, percent: int = 90) -> Data
     """
     signed, classes, found = candidates(docs, k, percent)
     pairs, postings = _first_round(found, percent)
-    links = materialize(verify(pairs, found, k, percent), "links-1")
+    close = materialize(suffix_filter(pairs, found, percent), "close-pairs")
+    links = materialize(verify(close, found, k, percent), "links-1")
     labels = materialize(components(links), "labels-1")
-    left = _left_pairs(found, postings, labels, percent)
+    left = _left_pairs(found, postings, labels, pairs, percent)
     more = materialize(verify(left, found, k, percent), "links-2")
     if more.head(1):
         labels = materialize(components(links.unionByName(more)), "labels-2")
