@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wattlore.llm.common import materialize
+from wattlore.llm.common import free_name, materialize
 from wattlore.llm.decontam import find_leaks
 from wattlore.llm.langid import UNKNOWN, fit, identify
 from wattlore.llm.ngram_join import ngram_jaccard_groups
@@ -17,47 +17,63 @@ from wattlore.llm.queries import table, tokenizer_file
 #: A document whose best language has a smaller mean word probability is rejected; one of no letters always is.
 LEAST_LANGUAGE = 0.4
 
-#: A row's own key within a stage: doc_id may be null or repeat, so decisions about rows are never applied by it.
-KEY = "_row_key"
+def keyed(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """(the rows with a key each, written so that the key stays the same for all that reads it; the key's column).
 
-
-def keyed(docs: DataFrame, name: str) -> DataFrame:
-    """The rows with a key each, written so that the key stays the same for all that reads it."""
-    return materialize(docs.withColumn(KEY, F.monotonically_increasing_id()), name)
+    doc_id may be null or repeat, so decisions about rows are never applied by it.
+    """
+    key = free_name(docs, "row_key")
+    return materialize(docs.withColumn(key, F.monotonically_increasing_id()), name), key
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the conditional random field knows; it is fitted on a bounded sample of them."""
-    kept = identify(docs, fit(docs)).filter((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= LEAST_LANGUAGE))
-    return kept.select(docs.columns)
+    """Documents in a language that the conditional random field knows; it is fitted on a bounded sample of them.
+
+    Null texts and texts without a letter are rejected; rows that repeat are judged alike and all stay or go; an empty
+    table stays empty; columns called lang_pred or lang_score are the input's own in the result.
+    """
+    own = {c: free_name(docs, f"input_{c}") for c in docs.columns if c.lower() in ("lang_pred", "lang_score")}
+    found = identify(docs.withColumnsRenamed(own), fit(docs))
+    kept = found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= LEAST_LANGUAGE))
+    return kept.drop("lang_pred", "lang_score").withColumnsRenamed({v: k for k, v in own.items()}).select(docs.columns)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group with five-word shingles alike to 0.8 or more; rows without a word are no copies of each other.
 
     The row with the smallest doc_id stays (nulls last, then the row's key). Rows that repeat and rows with null ids are
-    copies like any other, and a row is not dropped for what another row of the same doc_id holds.
+    copies like any other, and a row is not dropped for what another row of the same doc_id holds. Null texts have no word
+    and stay; an empty table stays empty; other columns go along, whatever they are called.
     """
-    rows = keyed(docs, "near-duplicate-input")
-    groups = ngram_jaccard_groups(rows.select(F.col(KEY).alias("doc_id"), "text"), k=5, percent=80)
-    groups = materialize(groups.select(F.col("doc_id").alias(KEY), "component_id"), "near-duplicates")
+    rows, key = keyed(docs, "near-duplicate-input")
+    groups = ngram_jaccard_groups(rows.select(F.col(key).alias("doc_id"), "text"), k=5, percent=80)
+    groups = materialize(groups.select(F.col("doc_id").alias("row"), "component_id"), "near-duplicates")
     many = groups.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component_id")
-    alike = materialize(groups.join(many, "component_id").join(rows.select(KEY, "doc_id"), KEY), "near-duplicate-rows")
-    first = alike.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", KEY)).alias("first"))
-    gone = alike.join(first, "component_id").filter(F.col(KEY) != F.col(f"first.{KEY}")).select(KEY)
-    return rows.join(gone, KEY, "left_anti").select(docs.columns)
+    ids = rows.select(F.col(key).alias("row"), "doc_id")
+    alike = materialize(groups.join(many, "component_id").join(ids, "row"), "near-duplicate-rows")
+    first = alike.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+    gone = alike.join(first, "component_id").filter(F.col("row") != F.col("first.row")).select(F.col("row").alias(key))
+    return rows.join(gone, key, "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose own text holds no benchmark item, whatever their doc_id."""
-    rows = keyed(docs, "decontamination-input")
-    found = find_leaks(rows.select(F.col(KEY).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    leaks = materialize(found.select(F.col("doc_id").alias(KEY)).distinct(), "leaks")
-    return rows.join(leaks, KEY, "left_anti").select(docs.columns)
+    """Rows whose own text holds no benchmark item, whatever their doc_id.
+
+    Null texts hold nothing and stay; rows that repeat are judged each; with no document or no item nothing is dropped;
+    other columns go along, whatever they are called.
+    """
+    rows, key = keyed(docs, "decontamination-input")
+    found = find_leaks(rows.select(F.col(key).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    leaks = materialize(found.select(F.col("doc_id").alias(key)).distinct(), "leaks")
+    return rows.join(leaks, key, "left_anti").select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packed pieces of all documents that are left."""
+    """The packed pieces of all documents that are left: pack_documents' columns.
+
+    A null text is the end id alone, a null doc_id stays null, rows that repeat are packed each, an empty table gives an
+    empty result, and documents over 4096 tokens are cut; other columns end here.
+    """
     return pack_documents(docs, tokenizer_file("word_bpe_49k.json"))
 
 
