@@ -192,7 +192,7 @@ def train(texts: list[str], langs: list[str], epochs: int = 4, words_per_step: i
     return model
 
 
-def label_texts(model: Model, texts: pa.Array, chars: int = 1_500_000) -> tuple[list[str], np.ndarray]:
+def label_texts(model: Model, texts: pa.Array, chars: int = 600_000) -> tuple[list[str], np.ndarray]:
     """(language or und, mean probability of that language over the words) of letters_only texts."""
     data, offs = string_buffers(texts)
     size = np.diff(offs)

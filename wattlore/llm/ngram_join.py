@@ -26,6 +26,8 @@ from .words import M1, M3, mix, segment_sum, shingles, slices, word_hashes
 
 #: Bits of the smallest parity bitmap; a larger set has at least half as many bits as elements.
 PARITY_BITS = 512
+#: Numbers of 64 bits that the bitmaps of the first filter are folded to.
+PARITY_WORDS = 4
 
 
 def sets_of(texts: pa.Array, k: int, step: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +162,7 @@ def candidates(docs: DataFrame, k: int, percent: int):
             shared = np.flatnonzero(often > 1)
             if len(shared):
                 bitmap = parity(s)
-                bits = np.bitwise_xor.reduce(np.frombuffer(bitmap, "<i8").reshape(-1, PARITY_BITS // 64))  # folded to the smallest size
+                bits = np.bitwise_xor.reduce(np.frombuffer(bitmap, "<i8").reshape(-1, PARITY_WORDS))
                 for c, v in zip(out, (node, n, int((d == 1).sum()), keys[shared].view(np.int64), shared.astype(np.int32), bitmap, bits, text[r])):
                     out[c].append(v)
         kinds = {"node": pa.int64(), "n": pa.int64(), "alone": pa.int64(), "keys": pa.list_(pa.int64()), "at": pa.list_(pa.int32()), "parity": pa.binary(), "bits": pa.list_(pa.int64()), "text": pa.string()}
@@ -175,11 +177,11 @@ def candidates(docs: DataFrame, k: int, percent: int):
 
 
 def suffix_filter(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (hub, node) those whose smallest parity bitmaps differ in no more bits than linked sets may have elements apart.
+    """Of pairs (hub, node) those whose folded parity bitmaps differ in no more bits than linked sets may have elements apart.
 
-    Bitmaps go along as eight numbers; texts only follow the pairs that are left.
+    Bitmaps go along as a few numbers; texts only follow the pairs that are left.
     """
-    words = range(PARITY_BITS // 64)
+    words = range(PARITY_WORDS)
     side = lambda of: found.select(F.col("node").alias(of), F.col("n").alias(f"{of}_n"), *(F.col("bits")[i].alias(f"{of}_{i}") for i in words))
     both = F.col("hub_n") + F.col("node_n")
     apart = sum((F.bit_count(F.col(f"hub_{i}").bitwiseXOR(F.col(f"node_{i}"))) for i in words), F.lit(0))
@@ -211,13 +213,18 @@ def verify(pairs: DataFrame, found: DataFrame, k: int, percent: int, group: int
 
 def _first_round(found: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(pairs of every class with one pivot of each posting, postings with more than one class)."""
-    entries = found.select("node", "n", "alone", F.explode(F.arrays_zip("keys", "at")).alias("k")).select("node", "n", "alone", F.col("k.keys").alias("key"), F.col("k.at").alias("at"))
-    pivots = entries.groupBy("key").agg(F.min(F.struct("alone", "node", "n", "at")).alias("pivot"), F.count(F.lit(1)).alias("many"))
-    pivots = materialize(pivots.filter("many > 1").select("key", F.col("pivot.node").alias("hub"), F.col("pivot.n").alias("hub_n"), F.col("pivot.at").alias("hub_at")), "pivots")
+    # one number tells the set's size and the shingle's place; a set with fewer shingles of its own makes the better pivot
+    sized = found.select("node", "alone", F.shiftleft(F.col("n"), 32).alias("n"), F.explode(F.arrays_zip("keys", "at")).alias("k"))
+    entries = sized.select("node", F.col("k.keys").alias("key"), F.col("n").bitwiseOR(F.col("k.at").cast("long")).alias("sized"))
+    ranked = sized.select(F.col("k.keys").alias("key"), F.struct("alone", "node", F.col("n").bitwiseOR(F.col("k.at").cast("long")).alias("sized")).alias("pivot"))
+    pivots = ranked.groupBy("key").agg(F.min("pivot").alias("pivot"), F.count(F.lit(1)).alias("many"))
+    hub = [F.shiftright("pivot.sized", 32).alias("hub_n"), F.col("pivot.sized").bitwiseAND(F.lit((1 << 32) - 1)).alias("hub_at")]
+    pivots = materialize(pivots.filter("many > 1").select("key", F.col("pivot.node").alias("hub"), *hub), "pivots")
+    own = [F.shiftright("sized", 32).alias("n"), F.col("sized").bitwiseAND(F.lit((1 << 32) - 1)).alias("at")]
     share = F.ceil(percent * (F.col("n") + F.col("hub_n")) / F.lit(100 + percent) - 1e-9)
     at_most = F.least("at", "hub_at") + F.least(F.col("n") - F.col("at"), F.col("hub_n") - F.col("hub_at"))  # shared before and from this shingle on
     near = (F.col("node") != F.col("hub")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")) & (at_most >= share)
-    met = entries.join(pivots, "key").filter(near)
+    met = entries.join(pivots, "key").select("node", "hub", "hub_n", "hub_at", *own).filter(near)
     return materialize(met.select("hub", "node").distinct(), "pivot-pairs"), pivots.select("key")
 
 
@@ -231,8 +238,11 @@ def _left_pairs(found: DataFrame, postings: DataFrame, labels: DataFrame, seen:
         "key", F.col("most.label").alias("main"), F.ceil((F.col("all") - F.col("most.n")) / rows).cast("int").alias("ri"), F.ceil(F.col("all") / columns).cast("int").alias("rj")
     )
     grid = materialize(grid, "left-postings")
-    zipped = grouped.select("node", "label", "n", "parity", "keys", F.posexplode(F.arrays_zip("keys", "at")).alias("place", "k"))
-    full = zipped.select("node", "label", "n", "parity", F.col("k.keys").alias("key"), F.col("k.at").alias("at"), F.slice("keys", F.lit(1), F.col("place")).alias("before")).join(grid, "key")
+    # slim rows meet the postings that are left; bitmaps and earlier shingles only go along with what remains
+    slim = grouped.select("node", "label", F.posexplode(F.arrays_zip("keys", "at")).alias("place", "k"))
+    slim = slim.select("node", "label", "place", F.col("k.keys").alias("key"), F.col("k.at").alias("at")).join(grid, "key")
+    full = slim.join(grouped.select("node", "n", "parity", "keys"), "node").withColumn("before", F.slice("keys", F.lit(1), F.col("place"))).drop("keys", "place")
+    full = materialize(full, "left-rows")
     i, j = (F.pmod(F.xxhash64("node", F.lit(s)), F.col(c)).cast("int") for s, c in ((1, "ri"), (2, "rj")))
     outside = full.filter("label <> main").withColumn("i", i).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("rj") - 1))).withColumn("outside", F.lit(True))
     everyone = full.withColumn("j", j).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ri") - 1))).withColumn("outside", F.lit(False))
