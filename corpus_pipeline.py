@@ -18,10 +18,14 @@ from wattlore.llm.queries import table, tokenizer_file
 LEAST_LANGUAGE = 0.4
 
 def keyed(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """(the rows with a key each, written so that the key stays the same for all that reads it; the key's column).
+    """(the rows, the column that tells them apart).
 
-    doc_id may be null or repeat, so decisions about rows are never applied by it.
+    That is doc_id where no row lacks it and no two rows share it. Else decisions about rows can't be applied by it, and rows
+    get a key each, written so that the key stays the same for all that reads it.
     """
+    shared = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null")
+    if not shared.head(1):
+        return docs, "doc_id"
     key = free_name(docs, "row_key")
     return materialize(docs.withColumn(key, F.monotonically_increasing_id()), name), key
 
@@ -49,8 +53,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     groups = ngram_jaccard_groups(rows.select(F.col(key).alias("doc_id"), "text"), k=5, percent=80)
     groups = materialize(groups.select(F.col("doc_id").alias("row"), "component_id"), "near-duplicates")
     many = groups.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component_id")
-    ids = rows.select(F.col(key).alias("row"), "doc_id")
-    alike = materialize(groups.join(many, "component_id").join(ids, "row"), "near-duplicate-rows")
+    alike = materialize(groups.join(many, "component_id").join(rows.select(F.col(key).alias("row"), "doc_id"), "row"), "near-duplicate-rows")
     first = alike.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
     gone = alike.join(first, "component_id").filter(F.col("row") != F.col("first.row")).select(F.col("row").alias(key))
     return rows.join(gone, key, "left_anti").select(docs.columns)
