@@ -71,7 +71,9 @@ def test_split_and_cuts():
             n = sum(lengths[a:z]) + z - a - 1
             if n > max_len and z - a > 1:
                 return float("inf")
-            total += 2 * (1 - alpha) * (abs(n - target) / target * (2 if n < min_len else 0.5 if n <= target else 1.5) + (5 if n > max_len else 0)) + (2 * alpha * glue[z - 1] if z < len(lengths) else 0)
+            # too short: twice the missing share of the least length; up to the target: half the distance; beyond: one and a half, and 5 more over the maximum
+            size = (min_len - n) / min_len * 2 if n < min_len else (target - n) / target * 0.5 if n <= target else (n - target) / target * 1.5
+            total += 2 * (1 - alpha) * (size + (5 if n > max_len else 0)) + (2 * alpha * glue[z - 1] if z < len(lengths) else 0)
             a = z
         return total
 
@@ -211,11 +213,11 @@ def test_queries_over_the_whole_job(spark, tmp_path):
     docs = [(i, body(i)) for i in range(1, 8)]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(0, "apple dune"), (1, "fjord")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
-    got = [(r.qid, r.item_id, r.from_id) for r in queries.QUERIES["neighbour_units_all"](spark, d).collect()]
+    got = [(r.qid, r.item_id, r.from_id) for r in queries.QUERIES["neighbour_units"](spark, d).collect()]
     want = [(i, f"{i}-{b}", f"{i}-{a}") for i, t in docs for a in range(len(t.split("\n"))) for b in (a - 1, a + 1) if 0 <= b < len(t.split("\n"))]
     assert sorted(got) == sorted(want) and len(want) == 7 * 12
 
-    fused = {(r.qid, r.item_id): r.score for r in queries.QUERIES["rank_fusion_subchunks"](spark, d).collect()}
+    fused = {(r.qid, r.item_id): r.score for r in queries.QUERIES["rank_fusion"](spark, d).collect()}
     ranks = {(r.qid, r.item_id): r["rank"] for r in queries.benchmark_ranks(spark, d).collect()}
     subs = [(f"{i}-s{k:03d}", i, x) for i, t in docs for k, x in enumerate(textindex.sub_chunks(t, 100, 150))]
     tokens = spark.createDataFrame([(s, re.findall(r"[a-z]{2,}", x.lower())) for s, _, x in subs], "item_id string, tokens array<string>")
@@ -237,4 +239,4 @@ def test_queries_over_the_whole_job(spark, tmp_path):
     day = lambda n: datetime.datetime(2024, 1, n)
     events = [(1, day(2), 1, "a"), (2, day(20), 1, "a"), (3, day(20), 1, "b"), (4, day(21), 1, "b"), (5, day(16), 2, "a"), (6, day(15), 3, "a"), (7, day(15), 3, "a")]
     spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string").write.parquet(f"{d}/events.parquet")
-    assert {(r.event_id, r.reason) for r in queries.QUERIES["repeated_calls_made"](spark, d).collect()} == {(2, "made"), (4, "repeated")}
+    assert {(r.event_id, r.reason) for r in queries.QUERIES["repeated_calls"](spark, d).collect()} == {(2, "made"), (4, "repeated")}

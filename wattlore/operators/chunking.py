@@ -9,8 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 SENTENCE = re.compile(r"(?<=[。！？；.!?;])")
-#: Costs of a cut next to an anchor, within a list, after a colon, elsewhere.
-GLUE = {"anchor_before": 3.0, "anchor_after": 3.0, "anchor_pair": 1.5, "list": 2.0, "colon": 2.5, "else": 0.6}
+#: Costs of a cut between an anchor and a paragraph that speaks of it, next to any other anchor, before a list
+#: item, after a colon, elsewhere; how a paragraph after an anchor begins, and how one before it ends, when it speaks of it.
+GLUE = {"anchor_said": 3.0, "anchor": 1.5, "list": 2.0, "colon": 2.5, "else": 0.6}
+SAYS_AFTER = r"^(由表|由图|从表|从图|表\s*\d|图\s*\d|如表|如图|上表|上图|式中|其中)"
+SAYS_BEFORE = r"(如下表|见表|如表|如下图|见图|如图|列于表|示于图)[^。]*$"
 ANCHORS = ("table", "image", "equation")
 
 
@@ -48,11 +51,13 @@ def section_runs(units: DataFrame, doc: str = "doc_id", order: str = "order") ->
 def glue_cost(units: DataFrame, costs: dict[str, float] = GLUE) -> DataFrame:
     """Add glue: what a cut after a unit costs; null for a run's last unit."""
     w = Window.partitionBy("doc_id", "run_id").orderBy("order")
-    nxt, here = F.lead("type").over(w), F.col("type")
+    nxt, here, after = F.lead("type").over(w), F.col("type"), F.lead("text").over(w)
     anchor = lambda c: c.isin(*ANCHORS)
+    tail = F.col("text").substr(F.greatest(F.length("text") - 39, F.lit(1)), F.lit(40))
+    said = (anchor(here) & (nxt == "paragraph") & after.rlike(SAYS_AFTER)) | (anchor(nxt) & (here == "paragraph") & tail.rlike(SAYS_BEFORE))
     cost = (
-        F.when(nxt.isNull(), None).when(anchor(here) & anchor(nxt), costs["anchor_pair"]).when(anchor(nxt), costs["anchor_before"]).when(anchor(here), costs["anchor_after"])
-        .when((here == "list") | (nxt == "list"), costs["list"]).when(F.col("text").rlike(r"[:：]\s*$"), costs["colon"]).otherwise(costs["else"])
+        F.when(nxt.isNull(), None).when(said, costs["anchor_said"]).when(anchor(here) | anchor(nxt), costs["anchor"])
+        .when(here.isin("list", "paragraph") & (nxt == "list"), costs["list"]).when((here == "paragraph") & F.col("text").rlike("[:：]$"), costs["colon"]).otherwise(costs["else"])
     )
     return units.withColumn("glue", cost)
 
@@ -60,8 +65,9 @@ def glue_cost(units: DataFrame, costs: dict[str, float] = GLUE) -> DataFrame:
 def best_cuts(lengths: Sequence[int], glue: Sequence[float], target: int, max_len: int, min_len: int, alpha: float) -> list[int]:
     """Ends of the segments of least cost. Ties keep the start that is tried first, from the nearest backwards."""
     def cost(n: int) -> float:
-        off = abs(n - target) / target
-        return off * (2.0 if n < min_len else 0.5 if n <= target else 1.5) + (5.0 if n > max_len else 0.0)
+        if n < min_len:
+            return (min_len - n) / min_len * 2.0
+        return abs(n - target) / target * (0.5 if n <= target else 1.5) + (5.0 if n > max_len else 0.0)
 
     n = len(lengths)
     best, back = [0.0] + [float("inf")] * n, [0] * (n + 1)
@@ -83,14 +89,23 @@ def best_cuts(lengths: Sequence[int], glue: Sequence[float], target: int, max_le
 
 
 def dp_segment(runs: DataFrame, target: int = 400, max_len: int = 700, min_len: int = 120, alpha: float = 0.5) -> DataFrame:
-    """Add seg: the number of each unit's segment within its run (doc_id, run_id, order, text, glue). A run is a group."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("order").reset_index(drop=True)
-        ends = best_cuts(pdf["text"].str.len().tolist(), pdf["glue"].fillna(0.0).tolist(), target, max_len, min_len, alpha)
-        pdf["seg"] = [k for k, (a, z) in enumerate(zip([0, *ends], ends)) for _ in range(z - a)]
-        return pdf
+    """Add seg: the number of each unit's segment within its run (doc_id, run_id, order, text, glue).
 
-    return runs.groupBy("doc_id", "run_id").applyInPandas(run, T.StructType([*runs.schema.fields, T.StructField("seg", T.IntegerType())]))
+    Only lengths and costs of a run's units go through Python, as one row for each run; texts stay where they are.
+    """
+    def run(texts: pd.Series, glue: pd.Series) -> pd.Series:
+        found = []
+        for n, g in zip(texts, glue):
+            ends = best_cuts(n.tolist(), g.tolist(), target, max_len, min_len, alpha)
+            found.append([k for k, (a, z) in enumerate(zip([0, *ends], ends)) for _ in range(z - a)])
+        return pd.Series(found)
+
+    cut = F.pandas_udf(run, "array<int>")
+    each = F.array_sort(F.collect_list(F.struct("order", F.length("text").alias("n"), F.coalesce("glue", F.lit(0.0)).alias("g"))))
+    rows = runs.groupBy("doc_id", "run_id").agg(each.alias("u"))
+    rows = rows.select("doc_id", "run_id", F.transform("u", lambda x: x["order"]).alias("order"), cut(F.transform("u", lambda x: F.coalesce(x["n"], F.lit(0))), F.transform("u", lambda x: x["g"])).alias("seg"))
+    segments = rows.select("doc_id", "run_id", F.explode(F.arrays_zip("order", "seg")).alias("x")).select("doc_id", "run_id", "x.order", "x.seg")
+    return runs.join(segments, ["doc_id", "run_id", "order"])
 
 
 def _joined(runs: DataFrame) -> DataFrame:
@@ -109,7 +124,9 @@ def fixed_window_segment(runs: DataFrame, window: int = 512, overlap: int = 128)
     step = window - overlap
     rows = _joined(runs).withColumn("n", F.length("body")).filter("n > 0")
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.col("n") - window) / step) * step).cast("int"), F.lit(step))
-    ends = F.transform(F.sequence(F.lit(1), F.size("u")), lambda i: F.aggregate(F.slice("u", 1, i), F.lit(0), lambda a, x: a + F.length(x["text"]) + 1))
+    none = F.array().cast("array<int>")
+    running = F.aggregate("u", F.struct(F.lit(0).alias("at"), none.alias("ends")), lambda a, x: F.struct((a["at"] + F.length(x["text"]) + 1).alias("at"), F.concat(a["ends"], F.array(a["at"] + F.length(x["text"]) + 1)).alias("ends")))
+    ends = running["ends"]
     out = rows.withColumn("ends", ends).select("*", F.posexplode(starts).alias("seg", "at"))
     touches = lambda x, i: ((F.col("ends")[i] - 1) > F.col("at")) & ((F.col("ends")[i] - 1 - F.length(x["text"])) < F.col("at") + window)
     return out.select("doc_id", "run_id", "seg", F.substring("body", F.col("at") + 1, F.lit(window)).alias("body"), F.transform(F.filter("u", touches), lambda x: x["unit_id"]).alias("unit_ids"))

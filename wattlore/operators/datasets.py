@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -104,25 +106,44 @@ def grams(text: Column) -> Column:
     return F.when(F.length(t) < 8, F.array_distinct(F.split(t, ""))).otherwise(bigrams(text))
 
 
+def _part_keys(sets: pd.Series, thr: float) -> pd.Series:
+    """For each set of hashes, by size class: the xor of the hashes that fall on each of the class's parts."""
+    out = []
+    for h in sets:
+        h = np.asarray(h, np.int64)
+        own = math.floor(math.log(len(h)) / -math.log(thr) + 1e-9)
+        keys = []
+        for c in (own, own + 1):
+            parts = math.floor((1 - thr) / (1 + thr) * 2 * thr ** -(c + 1)) + 1
+            xor = np.zeros(parts, np.int64)
+            np.bitwise_xor.at(xor, (h.view(np.uint64) % np.uint64(parts)).astype(np.int64), h)
+            keys.append({"c": c, "keys": xor.tolist()})
+        out.append(keys)
+    return pd.Series(out)
+
+
 def near_duplicate_leaks(train: DataFrame, test: DataFrame, text: str = "text", train_id: str = "train_id", test_id: str = "test_id", thr: float = 0.9) -> DataFrame:
     """train_id, test_id, jaccard above thr, without comparing all pairs.
 
-    Pairs above thr share one of the floor((1 - thr) * n) + 1 rarest grams of either; equal texts are taken once. Rarity is
-    counted over distinct texts, and sizes must be within thr of each other before the sets are compared.
+    Sets of sizes up to h that are alike to more than thr differ in fewer than (1 - thr) / (1 + thr) * 2h elements. With
+    their elements dealt to as many parts by hash, one part at least is the same in both, so texts meet on equal parts only,
+    within classes of sizes that thr allows. Equal texts are taken once; every pair that meets is compared exactly.
     """
     def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select(F.col(text).alias("t")).distinct().select("t", F.filter(grams(F.col("t")), lambda g: g != "").alias("g")).filter(F.size("g") > 0).withColumn("side", F.lit(name))
-
-    both = side(train, "a").unionByName(side(test, "b"))
-    freq = both.select(F.explode("g").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("f"))
-    long = both.select("side", "t", F.size("g").alias("n"), F.explode("g").alias("x")).join(freq, "x")
-    w = Window.partitionBy("side", "t").orderBy("f", "x")
-    prefix = long.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= F.floor((1 - thr) * F.col("n") + 1e-9) + 1).select("side", "t", "n", "x")
-    a, b = (prefix.filter(F.col("side") == s).select(F.col("t").alias(f"t{s}"), F.col("n").alias(f"n{s}"), "x") for s in "ab")
-    met = a.join(b, "x").filter((F.least("na", "nb") > thr * F.greatest("na", "nb"))).select("ta", "tb").distinct()
-    j = met.withColumns({"ga": grams(F.col("ta")), "gb": grams(F.col("tb"))}).withColumn("i", F.size(F.array_intersect("ga", "gb")))
-    alike = j.withColumn("jaccard", F.col("i") / (F.size("ga") + F.size("gb") - F.col("i"))).filter(F.col("jaccard") > thr).select("ta", "tb", "jaccard")
-    return alike.join(train.select(F.col(train_id), F.col(text).alias("ta")), "ta").join(test.select(F.col(test_id), F.col(text).alias("tb")), "tb").select(train_id, test_id, "jaccard")
+        rows = df.select(F.col(text).alias("t")).distinct().select(F.md5("t").alias(name), F.filter(grams(F.col("t")), lambda g: g != "").alias("g"))
+        return rows.filter(F.size("g") > 0).select(name, F.transform("g", lambda g: F.xxhash64(g)).alias(f"g{name}"))
+
+    cut = F.pandas_udf(lambda s: _part_keys(s, thr), "array<struct<c:int,keys:array<bigint>>>")
+
+    def parts(rows: DataFrame, name: str) -> DataFrame:
+        classes = rows.select(name, F.size(f"g{name}").alias(f"n{name}"), F.explode(cut(f"g{name}")).alias("x"))
+        return classes.select(name, f"n{name}", "x.c", F.posexplode("x.keys").alias("part", "key"))
+
+    a, b = side(train, "a"), side(test, "b")
+    met = parts(a, "a").join(parts(b, "b"), ["c", "part", "key"]).filter(F.least("na", "nb") > thr * F.greatest("na", "nb")).select("a", "b").distinct()
+    i = F.size(F.array_intersect("ga", "gb"))
+    alike = met.join(a, "a").join(b, "b").withColumn("jaccard", i / (F.size("ga") + F.size("gb") - i)).filter(F.col("jaccard") > thr).select("a", "b", "jaccard")
+    return alike.join(train.select(F.col(train_id), F.md5(text).alias("a")), "a").join(test.select(F.col(test_id), F.md5(text).alias("b")), "b").select(train_id, test_id, "jaccard")
 
 
 def distribution_report(df: DataFrame, dims: Sequence[str]) -> DataFrame:

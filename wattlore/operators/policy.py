@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import partial, reduce
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,10 +19,23 @@ def stop_index(snaps: DataFrame, tau: float = 0.8, eps: float = 0.02, max_querie
     return out.select(by, F.coalesce("s.q", "last").alias("q"), F.coalesce("s.reason", F.lit("exhausted")).alias("reason"))
 
 
-def adaptive_report(snaps: DataFrame, stops: DataFrame, labels: DataFrame, by: str = "traj_id", group: str = "level") -> DataFrame:
-    """Accuracy, mean queries and cost, reasons, at the stop point, for each group and ALL. labels: by, group, label."""
+def adaptive_report(snaps: DataFrame, stops: DataFrame, labels: DataFrame, by: str = "traj_id", group: str = "level", bins: int = 15) -> DataFrame:
+    """Accuracy, mean queries and cost, reasons, at the stop point, for each group and ALL. labels: by, group, label.
+
+    Where snaps has posterior (map of class to probability): also NLL (probabilities of at least 1e-12), hit at 2 (ties in
+    order of class) and ECE over ``bins`` equal bins of the largest probability, each weighted by its share of the rows.
+    """
     rows = snaps.join(stops, [by, "q"]).join(labels, by)
-    out = rows.rollup(group).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("top1") == F.col("label")).cast("double")).alias("accuracy"), F.avg("n_queries").alias("queries"), F.avg("cost").alias("cost"), *[F.count_if(F.col("reason") == r).alias(f"stop_{r}") for r in ("entropy", "no_candidates", "voi", "budget", "exhausted")])
+    more = []
+    if "posterior" in snaps.columns:
+        ranked = F.array_sort(F.transform(F.map_entries("posterior"), lambda e: F.struct((-e["value"]).alias("p"), e["key"].alias("k"))))
+        rows = rows.withColumn("_r", ranked).withColumns({"_conf": -F.col("_r")[0]["p"], "_own": F.greatest(F.coalesce(F.col("posterior")[F.col("label")], F.lit(0.0)), F.lit(1e-12))})
+        right = (F.col("_r")[0]["k"] == F.col("label")).cast("double")
+        rows = rows.withColumns({"_bin": F.least(F.floor(F.col("_conf") * bins), F.lit(bins - 1)), "_gap": F.col("_conf") - right})
+        in_bin = [F.abs(F.sum(F.when(F.col("_bin") == i, F.col("_gap")).otherwise(0.0))) for i in range(bins)]
+        two = F.exists(F.slice("_r", 1, 2), lambda e: e["k"] == F.col("label")).cast("double")
+        more = [F.avg(-F.log("_own")).alias("nll"), F.avg(two).alias("hit_2"), (reduce(lambda x, y: x + y, in_bin) / F.count(F.lit(1))).alias("ece")]
+    out = rows.rollup(group).agg(*more, F.count(F.lit(1)).alias("n"), F.avg((F.col("top1") == F.col("label")).cast("double")).alias("accuracy"), F.avg("n_queries").alias("queries"), F.avg("cost").alias("cost"), *[F.count_if(F.col("reason") == r).alias(f"stop_{r}") for r in ("entropy", "no_candidates", "voi", "budget", "exhausted")])
     return out.withColumn(group, F.coalesce(F.col(group).cast("string"), F.lit("ALL")))
 
 
@@ -33,38 +46,42 @@ def budget_curve(snaps: DataFrame, labels: DataFrame, budgets: Sequence[int], by
     return last.join(labels, by).groupBy("budget").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("s.top1") == F.col("label")).cast("double")).alias("accuracy"), F.avg("s.cost").alias("cost"))
 
 
-def paired_permutation(df: DataFrame, a: str, b: str, n: int = 20_000, seed: int = 0, batches: int = 64) -> DataFrame:
-    """mean difference and sign-flip p = (count + 1) / (n + 1).
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser: every bit of the result depends on every bit of x."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    Permutation batches run over partitions of rows: each batch's signs are made from (seed, batch, row block), the blocks'
-    sums are added in Spark, so neither the rows nor the permutations sit in one place. Groups of batches read the rows
-    for themselves, so a table of one partition still keeps many tasks busy.
-    """
-    each, groups = -(-n // batches), min(batches, 16)
-    diffs = df.select((F.col(a) - F.col(b)).cast("double").alias("d")).filter("d is not null")
 
-    def run(frames, own: range):
-        from pyspark import TaskContext
+def paired_permutation(df: DataFrame, a: str, b: str, n: int = 20_000, seed: int = 0, run: int = 10_000) -> DataFrame:
+    """mean difference and sign-flip p = (count + 1) / (n + 1).
 
-        part = TaskContext.get().partitionId()
-        total, signed = 0.0, np.zeros((len(own), each))
-        count, i = 0, 0
+    A row's sign in a permutation comes from its difference, its number among rows of the same difference, the permutation
+    and the seed, so the result does not depend on how rows are laid out. Equal differences are counted first and dealt out
+    again in runs of ``run``, so neither the rows, nor a value that very many share, nor the permutations sit in one place.
+    """
+    d = (F.col(a) - F.col(b)).cast("double").alias("d")
+    counted = df.select(d).filter("d is not null").groupBy("d").agg(F.count(F.lit(1)).alias("c"))
+    runs = counted.select("d", "c", F.explode(F.sequence(F.lit(0), F.floor((F.col("c") - 1) / run))).alias("run"))
+    spread = runs.repartition(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "d", "run")
+    rows = spread.select("d", F.explode(F.sequence(F.col("run") * run, F.least((F.col("run") + 1) * run, F.col("c")) - 1)).alias("i"))
+    keyed = rows.select("d", F.xxhash64("d", "i", F.lit(seed)).alias("key"))
+    words = -(-n // 64)
+
+    def signed(frames):
+        total, count, sums = 0.0, 0, np.zeros(words * 64)
+        each = _mixed(np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         for pdf in frames:
-            d = pdf["d"].to_numpy()
-            total, count = total + d.sum(), count + len(d)
-            for at in range(0, len(d), 2048):
-                x = d[at : at + 2048]
-                for at_k, k in enumerate(own):
-                    rng = np.random.default_rng([seed, k, part, i])
-                    signed[at_k] += (rng.integers(0, 2, (each, len(x)), np.int8) * 2 - 1) @ x
-                i += 1
-        yield pd.DataFrame({"k": np.repeat(np.array(own), each), "j": np.tile(np.arange(each), len(own)), "s": signed.ravel(), "t": total, "c": count})
-
-    parts = [diffs.mapInPandas(partial(run, own=range(g, batches, groups)), "k long, j long, s double, t double, c long") for g in range(groups)]
-    sums = reduce(DataFrame.unionByName, parts).groupBy("k", "j").agg(F.sum("s").alias("s"), F.sum("t").alias("t"), F.sum("c").alias("c"))
-    kept = sums.filter(F.col("k") * each + F.col("j") < n)
-    hits = F.sum((F.abs("s") >= F.abs("t") - 1e-12).cast("long"))
-    return kept.agg(F.max("c").alias("n"), (F.max("t") / F.max("c")).alias("mean_diff"), ((hits + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
+            x, keys = pdf["d"].to_numpy(), pdf["key"].to_numpy().view(np.uint64)
+            total, count = total + x.sum(), count + len(x)
+            for at in range(0, len(x), 1024):
+                bits = np.unpackbits(_mixed(keys[at : at + 1024, None] ^ each).astype("<u8").view(np.uint8), axis=1)
+                sums += 2.0 * (x[at : at + 1024] @ bits)
+        yield pd.DataFrame({"j": np.arange(n), "s": sums[:n] - total, "t": total, "c": count})
+
+    sums = keyed.mapInPandas(signed, "j long, s double, t double, c long").groupBy("j").agg(F.sum("s").alias("s"), F.sum("t").alias("t"), F.sum("c").alias("c"))
+    hits = F.sum((F.abs("s") >= F.abs("t") - 1e-9).cast("long"))
+    return sums.agg(F.max("c").alias("n"), (F.max("t") / F.max("c")).alias("mean_diff"), ((hits + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
 
 
 def binomial_two_sided(b: int, c: int) -> float:

@@ -171,15 +171,8 @@ def retrieval_eval(spark, sf_dir):
     return m.select("lang", "n", *[F.round(c, 6).alias(c) for c in ("recall_1", "recall_3", "recall_5", "recall_10", "mrr")])
 
 
-@query(f"WITH {BM25_SQL} SELECT k.qid, k.item_id, round(1.0 / (60 + k.rank) + coalesce(0.3 / (60 + b.rank), 0), 9) AS score FROM k LEFT JOIN (SELECT qid, item_id, rank FROM k WHERE item_id % 2 = 0) b USING (qid, item_id)")
-def rank_fusion(spark, sf_dir):
-    ranks = benchmark_ranks(spark, sf_dir)
-    fused = retrieval.rrf_fuse({"bm25": ranks, "summary": ranks.filter("item_id % 2 = 0")})
-    return fused.select("qid", "item_id", F.round("score", 9).alias("score"))
-
-
 @query()
-def rank_fusion_subchunks(spark, sf_dir):
+def rank_fusion(spark, sf_dir):
     """BM25 over documents fused with BM25 over an index of their sub-chunks, each document at its best sub-chunk's place."""
     benchmark = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), words("text").alias("tokens"))
     subs = textindex.split_subchunks(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -204,16 +197,9 @@ def dense_top5(spark, sf_dir):
     return top.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "item_id"))).filter("rank <= 5")
 
 
-@query(f"""WITH {UNITS_SQL} SELECT a.doc_id AS qid, a.doc_id || '-' || b."order" AS item_id, a.doc_id || '-' || a."order" AS from_id FROM u a JOIN u b ON a.doc_id = b.doc_id AND abs(a."order" - b."order") = 1 WHERE a."order" % 5 = 0""")
-def neighbour_units(spark, sf_dir):
-    rows = units(spark, sf_dir).select("doc_id", F.col("order").alias("seq"), F.col("unit_id").alias("chunk_id"), F.array().cast("array<string>").alias("section_path"))
-    hits = rows.filter("seq % 5 = 0").select(F.col("doc_id").alias("qid"), F.col("chunk_id").alias("item_id"))
-    return retrieval.neighbors(hits, rows, 1, same_section=False)
-
-
 @query(f"""WITH {UNITS_SQL} SELECT a.doc_id AS qid, a.doc_id || '-' || b."order" AS item_id, a.doc_id || '-' || a."order" AS from_id FROM u a JOIN u b ON a.doc_id = b.doc_id AND abs(a."order" - b."order") = 1""")
-def neighbour_units_all(spark, sf_dir):
-    """Every line is a hit; neighbour_units takes each fifth, as its SQL does."""
+def neighbour_units(spark, sf_dir):
+    """Every line is a hit."""
     rows = units(spark, sf_dir).select("doc_id", F.col("order").alias("seq"), F.col("unit_id").alias("chunk_id"), F.array().cast("array<string>").alias("section_path"))
     hits = rows.select(F.col("doc_id").alias("qid"), F.col("chunk_id").alias("item_id"))
     return retrieval.neighbors(hits, rows, 1, same_section=False)
@@ -560,27 +546,11 @@ def chat_export_errors(spark, sf_dir):
     return rows.select("conv_id", "turn", F.size("errors").alias("n_errors"))
 
 
-_GRAMS = "list_distinct(CASE WHEN length(t) < 8 THEN string_split(t, '') ELSE list_transform(range(1, length(t)), lambda i: substr(t, i, 2)) END)"
-
-
-@query(f"""WITH c AS (SELECT conv_id, turn, regexp_replace(lower(substr(text, 1, 40)), '\\s', '', 'g') AS t FROM conversations WHERE role = 'user'), g AS (SELECT conv_id, turn, t, {_GRAMS} AS g FROM c WHERE t <> ''),
-a AS (SELECT DISTINCT t, g FROM g WHERE conv_id % 2 = 0), b AS (SELECT DISTINCT t, g FROM g WHERE conv_id % 2 = 1),
-m AS (SELECT a.t AS ta, b.t AS tb, len(list_intersect(a.g, b.g)) AS i, len(a.g) AS na, len(b.g) AS nb FROM a, b WHERE least(len(a.g), len(b.g)) > 0.7 * greatest(len(a.g), len(b.g))),
-x AS (SELECT ta, tb FROM m WHERE i / (na + nb - i) > 0.7)
-SELECT p.conv_id * 100 + p.turn AS train_id, q.conv_id * 100 + q.turn AS test_id FROM x JOIN c p ON p.t = x.ta AND p.conv_id % 2 = 0 JOIN c q ON q.t = x.tb AND q.conv_id % 2 = 1""")
-def leaking_openings(spark, sf_dir):
-    """User turns of even and odd conversations whose first forty characters are alike."""
-    rows = table(spark, sf_dir, "conversations").filter("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), (F.col("conv_id") % 2).alias("odd"), F.regexp_replace(F.lower(F.substring("text", 1, 40)), r"\s", "").alias("text"))
-    train, test = rows.filter("odd = 0").withColumnRenamed("id", "train_id"), rows.filter("odd = 1").withColumnRenamed("id", "test_id")
-    return datasets.near_duplicate_leaks(train, test, thr=0.7).select("train_id", "test_id")
-
-
 @query()
 def leaking_texts(spark, sf_dir):
     """Whole turns of training conversations that are alike to turns of test conversations, a fifth, to more than 0.9.
 
-    leaking_openings compares the first forty characters of user turns of even and odd conversations only, as its SQL does;
-    all pairs of whole texts are too many for SQL.
+    All pairs of whole texts are too many for SQL; tests hold it against brute force.
     """
     rows = D.split_by_group(table(spark, sf_dir, "conversations"), "conv_id", [("train", 0.8), ("test", 0.2)], "leaks")
     side = lambda name: rows.filter(F.col("split") == name).select(F.struct("conv_id", "turn").alias(f"{name}_id"), "text")
@@ -610,16 +580,10 @@ def metric_summary(spark, sf_dir):
     return logs.summarize(rows, ["large", "cheap"], "l_linestatus").select("l_linestatus", "n", F.round("large", 6).alias("large"), F.round("cheap", 6).alias("cheap"), "n_cheap")
 
 
-@query("SELECT event_id, 'repeated' AS reason FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS r FROM events) WHERE r > 1")
-def repeated_calls(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").withColumns({"signature": F.col("event_type"), "at": F.struct("ts", "event_id")})
-    return logs.duplicate_calls(rows.limit(0), rows, "user_id", "at")[1].select("event_id", "reason")
-
-
 @query("""WITH h AS (SELECT DISTINCT user_id, event_type FROM events WHERE ts < TIMESTAMP '2024-01-16'), p AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS r FROM events WHERE ts >= TIMESTAMP '2024-01-16')
 SELECT event_id, CASE WHEN h.user_id IS NOT NULL THEN 'made' ELSE 'repeated' END AS reason FROM p LEFT JOIN h USING (user_id, event_type) WHERE h.user_id IS NOT NULL OR r > 1""")
-def repeated_calls_made(spark, sf_dir):
-    """The second half of the month against the first, the calls already made; repeated_calls has no history, as its SQL."""
+def repeated_calls(spark, sf_dir):
+    """The second half of the month against the first, the calls already made."""
     rows = table(spark, sf_dir, "events").withColumns({"signature": F.col("event_type"), "at": F.struct("ts", "event_id")})
     since = F.lit("2024-01-16 00:00:00").cast(rows.schema["ts"].dataType)
     return logs.duplicate_calls(rows.filter(F.col("ts") < since), rows.filter(F.col("ts") >= since), "user_id", "at")[1].select("event_id", "reason")
