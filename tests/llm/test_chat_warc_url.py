@@ -76,13 +76,15 @@ def test_archives_round_trip(spark):
     raw = fs.open_input_file(local).read()
     whole = zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True).read()
     assert len(whole) == sum(d for _, _, d in table)
+    ids = [line for path in {r.path for r in index.collect()} for line in zstandard.ZstdDecompressor().stream_reader(open_fs(path)[0].open_input_file(open_fs(path)[1]).read(), read_across_frames=True).read().split(b"\r\n") if line.startswith(b"WARC-Record-ID")]
+    assert len(ids) == len(set(ids)) == len(pages())  # repeated and missing page_ids too
     assert W.archive_pages(df.limit(0)).count() == 0
 
 
 def test_damage_is_noticed():
-    raw = W.record(1, "u", b"payload", hashlib.sha1(b"payload").hexdigest(), None, "2024-01-01T00:00:00Z")
+    raw = W.record("a#0.0", 1, "u", b"payload", hashlib.sha1(b"payload").hexdigest(), None, None, "2024-01-01T00:00:00Z")
     assert W.parse(raw)["payload"] == b"payload"
-    assert W.parse(W.record(2, "u", b"payload", "00" * 20, 1, "d"))["payload"] == b""
+    assert W.parse(W.record("a#0.9", 2, "u", b"payload", "00" * 20, 1, "v", "d"))["payload"] == b""
 
 
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/")]

@@ -27,37 +27,39 @@ INDEX = "page_id long, path string, frame int, at long, size long"
 
 
 def choose_originals(pages: DataFrame, least: int = 1000) -> DataFrame:
-    """page_id, url, html, sha1, payload_bytes, refers_to: the page that a revisit refers to, else null.
+    """page_id, url, html, sha1, payload_bytes, refers_to and refers_to_url: the page that a revisit refers to, else null.
 
-    Of rows with one payload of at least ``least`` bytes the largest page_id is the original; further rows with that very
-    page_id are originals too. Null html is empty. Digests are counted before the join, so a payload that a third of all
-    rows share brings one row to it, and the join's own side can be split.
+    Of rows with one payload of at least ``least`` bytes the largest page_id is the original (then the largest url); further
+    rows with that very page_id are originals too. Null html is empty, null urls are empty, null page_ids are never referred
+    to unless no other has the payload. Digests are counted before the join, so a payload that a third of all rows share
+    brings one row to it, and the join's own side can be split; smaller payloads meet nothing there and are spread.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), html.alias("html"), F.sha1(html).alias("sha1"), F.octet_length(html).cast("long").alias("payload_bytes"))
-    large = rows.filter(F.col("payload_bytes") >= least).groupBy("sha1").agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("n"))
-    copied = materialize(large.filter("n > 1").select("sha1", "original"), "warc-originals")
-    joined = rows.join(copied, "sha1", "left")
-    refers = F.when(F.col("original") != F.col("page_id"), F.col("original"))
-    return joined.select("page_id", "url", "html", "sha1", "payload_bytes", refers.alias("refers_to"))
+    large = rows.filter(F.col("payload_bytes") >= least).groupBy("sha1").agg(F.max(F.struct("page_id", "url")).alias("o"), F.count(F.lit(1)).alias("n"))
+    copied = materialize(large.filter("n > 1").select(F.col("sha1").alias("met"), F.col("o.page_id").alias("original"), F.col("o.url").alias("original_url")), "warc-originals")
+    met = F.when(F.col("payload_bytes") >= least, F.col("sha1")).otherwise(F.concat(F.lit("small "), F.xxhash64("page_id", "url").cast("string")))
+    joined = rows.withColumn("met", met).join(copied, "met", "left")
+    other = F.col("original") != F.col("page_id")
+    return joined.select("page_id", "url", "html", "sha1", "payload_bytes", F.when(other, F.col("original")).alias("refers_to"), F.when(other, F.col("original_url")).alias("refers_to_url"))
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+def record(place: str, page_id: int | None, url: str, payload: bytes, sha1: str, refers_to: int | None, refers_to_url: str | None, date: str) -> bytes:
+    """One WARC/1.1 record. A revisit keeps the HTTP head with the payload's length and digest, and no payload.
 
-
-def record(page_id: int | None, url: str, payload: bytes, sha1: str, refers_to: int | None, date: str) -> bytes:
-    """One WARC/1.1 record. A revisit keeps the HTTP head with the payload's length and digest, and no payload."""
-    url = url.replace("\r", "%0D").replace("\n", "%0A")
+    place (bundle, frame and offset) makes the record's id, so pages that share a page_id have ids of their own; a revisit
+    names the record it refers to by target and date.
+    """
+    line = lambda u: u.replace("\r", "%0D").replace("\n", "%0A")
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     body = http if refers_to is not None else http + payload
     head = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {date}",
-        f"WARC-Target-URI: {url}", f"X-Page-ID: {'' if page_id is None else page_id}", f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(sha1)).decode()}",
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, place)}>", f"WARC-Date: {date}",
+        f"WARC-Target-URI: {line(url)}", f"X-Page-ID: {'' if page_id is None else page_id}", f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(sha1)).decode()}",
         "Content-Type: application/http;msgtype=response", f"Content-Length: {len(body)}",
     ]
     if refers_to is not None:
-        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page: {refers_to}"]
+        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To-Target-URI: {line(refers_to_url or '')}", f"WARC-Refers-To-Date: {date}", f"X-Refers-To-Page: {refers_to}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
@@ -126,8 +128,8 @@ def write_archives(originals: DataFrame, folder: str, frame_bytes: int = 256_000
             return made
 
         for frame in frames:
-            for page_id, url, html, sha1, refers in zip(*(frame.column(c).to_pylist() for c in ("page_id", "url", "html", "sha1", "refers_to"))):
-                raw = record(page_id, url, html.encode(), sha1, refers, date)
+            for page_id, url, html, sha1, refers, refers_url in zip(*(frame.column(c).to_pylist() for c in ("page_id", "url", "html", "sha1", "refers_to", "refers_to_url"))):
+                raw = record(f"{path}#{len(sizes)}.{held}", page_id, url, html.encode(), sha1, refers, refers_url, date)
                 index.append((page_id, path, len(sizes), held, len(raw)))
                 now.append(raw)
                 held += len(raw)
@@ -138,7 +140,7 @@ def write_archives(originals: DataFrame, folder: str, frame_bytes: int = 256_000
         if index:
             yield close_bundle()
 
-    return originals.select("page_id", "url", "html", "sha1", "refers_to").mapInArrow(write, INDEX)
+    return originals.select("page_id", "url", "html", "sha1", "refers_to", "refers_to_url").mapInArrow(write, INDEX)
 
 
 def read_archives(index: DataFrame) -> DataFrame:
@@ -180,6 +182,11 @@ def read_archives(index: DataFrame) -> DataFrame:
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None) -> DataFrame:
-    """Write pages (page_id, url, html) as WARC bundles and return their committed index."""
+    """Write pages (page_id, url, html) as WARC bundles and return their committed index.
+
+    Null html and urls are empty, a null page_id stays null, rows that repeat are records each with ids of their own, ties for
+    the original go to the larger url, a very long page is one record in a frame of its own; an empty table makes no bundle and
+    an empty index; other columns, whatever they are called, are ignored.
+    """
     folder = folder or work_dir(pages.sparkSession, "warc")
     return materialize(write_archives(choose_originals(pages), folder), "warc-index")
