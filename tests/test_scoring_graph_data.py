@@ -116,7 +116,14 @@ def test_policy(spark):
     assert policy.adaptive_report(snaps, stops, labels).filter("level = 'ALL'").first().accuracy == 1
     assert {r.budget: r.accuracy for r in policy.budget_curve(snaps, labels, [0, 1, 9]).collect()} == {0: 0, 1: 1, 9: 0}
     d = spark.createDataFrame([(float(x), 0.0) for x in range(1, 11)], "a double, b double")
-    row = policy.paired_permutation(d, "a", "b", 2000, batches=4).first()
+    row = policy.paired_permutation(d, "a", "b", 2000).first()
+    assert policy.paired_permutation(d.repartition(7), "a", "b", 2000, run=1).first() == row  # whatever the layout
+    seen = spark.createDataFrame([("t", 0, {"a": 0.5, "b": 0.3, "c": 0.2}, "a"), ("u", 0, {"a": 0.1, "b": 0.2, "c": 0.7}, "c"), ("v", 0, {"a": 0.4, "b": 0.6}, "b")], "traj_id string, q int, posterior map<string,double>, top1 string").withColumns({"n_queries": F.lit(0), "cost": F.lit(0.0)})
+    ends = seen.select("traj_id", "q", F.lit("voi").alias("reason"))
+    marks = spark.createDataFrame([("t", "x", "b"), ("u", "x", "c"), ("v", "y", "c")], "traj_id string, level string, label string")
+    all_ = policy.adaptive_report(seen, ends, marks).filter("level = 'ALL'").first()
+    assert all_.nll == pytest.approx(-(math.log(0.3) + math.log(0.7) + math.log(1e-12)) / 3) and all_.hit_2 == pytest.approx(2 / 3)
+    assert all_.ece == pytest.approx((0.5 + 0.3 + 0.6) / 3)
     assert row.n == 10 and row.p < 0.02
     assert policy.paired_permutation(spark.createDataFrame([(1.0, 0.0), (-1.0, 0.0)] * 5, "a double, b double"), "a", "b", 500, batches=4).first().p == 1
 

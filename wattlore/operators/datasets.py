@@ -224,15 +224,41 @@ def decision_prefixes(turns: DataFrame, id_col: str = "conv_id", order: str = "t
     return rows.select(id_col, order, "decision_index", "messages", F.col("text").alias("target"))
 
 
+def _with_calls(every: Column) -> Column:
+    """Messages with calls as chat records say them: ids by message and place, arguments as text, tool results by their call's id."""
+    has = lambda j: F.coalesce(F.size(every[j]["tool_calls"]), F.lit(0)) > 0
+    call_id = lambda j, k: F.concat(F.lit("call_"), j.cast("string"), F.lit("_"), k.cast("string"))
+
+    def one(m: Column, i: Column) -> Column:
+        calls = F.transform(m["tool_calls"], lambda c, k: F.struct(call_id(i, k).alias("id"), F.lit("function").alias("type"), F.struct(c["name"].alias("name"), F.coalesce(c["arguments"], F.lit("{}")).alias("arguments")).alias("function")))
+        asked = F.array_max(F.filter(F.sequence(F.lit(0), i), has))  # the last message with calls; a result's place after it tells which
+        own = F.when(m["role"] == "tool", call_id(asked, i - asked - 1))
+        return F.struct(m["role"].alias("role"), F.coalesce(m["text"], F.lit("")).alias("content"), F.when(F.size(m["tool_calls"]) > 0, calls).alias("tool_calls"), own.alias("tool_call_id"))
+
+    return F.transform(every, one)
+
+
 def export_chat(samples: DataFrame, fmt: str = "messages", keep_splits: Sequence[str] = ("train", "dev")) -> DataFrame:
-    """record: JSON text of a sample (messages array<struct<role, text>>, target[, split]) as messages or conversations."""
+    """record: JSON text of a sample (messages array<struct<role, text[, tool_calls array<struct<name, arguments>>]>>, target[,
+    split]) as messages or conversations.
+
+    A message's calls get ids and stringified arguments; the tool messages after it answer its calls one after another. In
+    conversations a call is a function_call turn with its JSON, a tool's result an observation.
+    """
     rows = samples.filter(F.col("split").isin(*keep_splits)) if "split" in samples.columns else samples
-    every = F.concat("messages", F.array(F.struct(F.lit("assistant").alias("role"), F.col("target").alias("text"))))
+    kind = samples.schema["messages"].dataType.elementType
+    tools = "tool_calls" in kind.fieldNames()
+    last = [F.lit("assistant").alias("role"), F.col("target").alias("text")]
+    if tools:
+        last.append(F.lit(None).cast(kind["tool_calls"].dataType).alias("tool_calls"))
+    every = F.concat("messages", F.array(F.struct(*last)))
     if fmt == "messages":
-        body = F.struct(F.transform(every, lambda m: F.struct(m["role"].alias("role"), F.coalesce(m["text"], F.lit("")).alias("content"))).alias("messages"))
-    else:
-        name = lambda m: F.when(m["role"] == "user", "human").when(m["role"] == "assistant", "gpt").otherwise(m["role"])
-        body = F.struct(F.transform(every, lambda m: F.struct(name(m).alias("from"), F.coalesce(m["text"], F.lit("")).alias("value"))).alias("conversations"))
+        said = _with_calls(every) if tools else F.transform(every, lambda m: F.struct(m["role"].alias("role"), F.coalesce(m["text"], F.lit("")).alias("content")))
+        return rows.withColumn("record", F.to_json(F.struct(said.alias("messages"))))
+    called = (lambda m: F.coalesce(F.size(m["tool_calls"]), F.lit(0)) > 0) if tools else (lambda m: F.lit(False))
+    name = lambda m: F.when(called(m), "function_call").when(m["role"] == "user", "human").when(m["role"] == "assistant", "gpt").when(m["role"] == "tool", "observation").otherwise(m["role"])
+    value = lambda m: F.when(called(m), F.to_json(m["tool_calls"])).otherwise(F.coalesce(m["text"], F.lit(""))) if tools else F.coalesce(m["text"], F.lit(""))
+    body = F.struct(F.transform(every, lambda m: F.struct(name(m).alias("from"), value(m).alias("value"))).alias("conversations"))
     return rows.withColumn("record", F.to_json(body))
 
 

@@ -540,10 +540,19 @@ def chat_prefixes(spark, sf_dir):
     return rows.select("conv_id", "turn", "decision_index", F.size("messages").alias("n_messages"), chars.alias("chars"), F.md5("target").alias("target"))
 
 
-@query("SELECT conv_id, turn, 0 AS n_errors FROM conversations WHERE role = 'assistant'")
+@query("""WITH a AS (SELECT * FROM conversations WHERE role = 'assistant')
+SELECT conv_id, turn, concat_ws(',', CASE WHEN turn % 5 = 3 THEN 'bad_arguments' END, CASE WHEN turn % 7 = 1 THEN 'bad_order' END, CASE WHEN turn % 3 = 1 THEN 'unknown_function' END, CASE WHEN turn % 7 = 1 THEN 'unmatched_id' END) AS errors FROM a""")
 def chat_export_errors(spark, sf_dir):
-    rows = datasets.validate_chat(datasets.export_chat(datasets.decision_prefixes(table(spark, sf_dir, "conversations"))))
-    return rows.select("conv_id", "turn", F.size("errors").alias("n_errors"))
+    """Each answer after a call and its result, exported and checked. Some calls name no known tool, some have broken arguments,
+    some have two results for one call."""
+    rows = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
+    calls = lambda on: F.when(on, F.array(F.struct(F.when(F.col("turn") % 3 == 1, "gone").otherwise("look").alias("name"), F.when(F.col("turn") % 5 == 3, "{").otherwise('{"q":1}').alias("arguments"))))
+    turn = lambda role, text, c: F.struct(F.lit(role).alias("role"), text.alias("text"), c.alias("tool_calls"))
+    none = calls(F.lit(False))
+    result = turn("tool", F.lit("[]"), none)
+    messages = F.concat(F.array(turn("user", F.lit("?"), none), turn("assistant", F.lit(""), calls(F.lit(True))), result), F.when(F.col("turn") % 7 == 1, F.array(result)).otherwise(F.slice(F.array(result), 1, 0)))
+    out = datasets.validate_chat(datasets.export_chat(rows.select("conv_id", "turn", messages.alias("messages"), F.col("text").alias("target"))), tools=["look"])
+    return out.select("conv_id", "turn", F.array_join("errors", ",").alias("errors"))
 
 
 @query()
