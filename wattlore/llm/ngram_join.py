@@ -211,8 +211,8 @@ def verify(pairs: DataFrame, found: DataFrame, k: int, percent: int, group: int
     return rows.groupBy("hub", "salt").applyInArrow(check, "a long, b long")
 
 
-def _first_round(found: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs of every class with one pivot of each posting, postings with more than one class)."""
+def _first_round(found: DataFrame, percent: int) -> DataFrame:
+    """Pairs of every class with one pivot of each posting."""
     # one number tells the set's size and the shingle's place; a set with fewer shingles of its own makes the better pivot
     sized = found.select("node", "alone", F.shiftleft(F.col("n"), 32).alias("n"), F.explode(F.arrays_zip("keys", "at")).alias("k"))
     entries = sized.select("node", F.col("k.keys").alias("key"), F.col("n").bitwiseOR(F.col("k.at").cast("long")).alias("sized"))
@@ -225,13 +225,13 @@ def _first_round(found: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     at_most = F.least("at", "hub_at") + F.least(F.col("n") - F.col("at"), F.col("hub_n") - F.col("hub_at"))  # shared before and from this shingle on
     near = (F.col("node") != F.col("hub")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")) & (at_most >= share)
     met = entries.join(pivots, "key").select("node", "hub", "hub_n", "hub_at", *own).filter(near)
-    return materialize(met.select("hub", "node").distinct(), "pivot-pairs"), pivots.select("key")
+    return materialize(met.select("hub", "node").distinct(), "pivot-pairs")
 
 
-def _left_pairs(found: DataFrame, postings: DataFrame, labels: DataFrame, seen: DataFrame, percent: int, rows: int = 512, columns: int = 2048) -> DataFrame:
+def _left_pairs(found: DataFrame, labels: DataFrame, seen: DataFrame, percent: int, rows: int = 512, columns: int = 2048) -> DataFrame:
     """Pairs (hub, node) of different groups that share a prefix shingle, pass every filter and have not met before, each once."""
     grouped = materialize(found.drop("text", "bits").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
-    entries = grouped.select("node", "label", F.explode("keys").alias("key")).join(postings, "key")
+    entries = grouped.select("label", F.explode("keys").alias("key"))
     by_label = entries.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     of_key = by_label.groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("most"))
     grid = of_key.filter(F.col("all") > F.col("most.n")).select(
@@ -290,11 +290,11 @@ def ngram_jaccard_groups(docs: DataFrame, k: int = 3, percent: int = 90) -> Data
     never name a group that has another; alone, their component_id is null. Other columns are ignored.
     """
     signed, classes, found = candidates(docs, k, percent)
-    pairs, postings = _first_round(found, percent)
+    pairs = _first_round(found, percent)
     close = materialize(suffix_filter(pairs, found, percent), "close-pairs")
     links = materialize(verify(close, found, k, percent), "links-1")
     labels = materialize(components(links), "labels-1")
-    left = _left_pairs(found, postings, labels, pairs, percent)
+    left = _left_pairs(found, labels, pairs, percent)
     more = materialize(verify(left, found, k, percent), "links-2")
     if more.head(1):
         labels = materialize(components(links.unionByName(more)), "labels-2")
