@@ -30,6 +30,16 @@ def keyed(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
     return materialize(docs.withColumn(key, F.monotonically_increasing_id()), name), key
 
 
+#: Rows to drop are sent to all tasks up to this number (16 bytes each); beyond it the rows are joined by a shuffle.
+SENT_ROWS = 4_000_000
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is not in gone, a written table of keys. Below SENT_ROWS no text is shuffled for it."""
+    few = gone.limit(SENT_ROWS + 1).count() <= SENT_ROWS
+    return rows.join(F.broadcast(gone) if few else gone, key, "left_anti")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the conditional random field knows; it is fitted on a bounded sample of them.
 
@@ -56,7 +66,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     alike = materialize(groups.join(many, "component_id").join(rows.select(F.col(key).alias("row"), "doc_id"), "row"), "near-duplicate-rows")
     first = alike.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
     gone = alike.join(first, "component_id").filter(F.col("row") != F.col("first.row")).select(F.col("row").alias(key))
-    return rows.join(gone, key, "left_anti").select(docs.columns)
+    return without(rows, materialize(gone, "near-duplicates-gone"), key).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +78,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows, key = keyed(docs, "decontamination-input")
     found = find_leaks(rows.select(F.col(key).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     leaks = materialize(found.select(F.col("doc_id").alias(key)).distinct(), "leaks")
-    return rows.join(leaks, key, "left_anti").select(docs.columns)
+    return without(rows, leaks, key).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
