@@ -125,7 +125,7 @@ def test_policy(spark):
     assert all_.nll == pytest.approx(-(math.log(0.3) + math.log(0.7) + math.log(1e-12)) / 3) and all_.hit_2 == pytest.approx(2 / 3)
     assert all_.ece == pytest.approx((0.5 + 0.3 + 0.6) / 3)
     assert row.n == 10 and row.p < 0.02
-    assert policy.paired_permutation(spark.createDataFrame([(1.0, 0.0), (-1.0, 0.0)] * 5, "a double, b double"), "a", "b", 500, batches=4).first().p == 1
+    assert policy.paired_permutation(spark.createDataFrame([(1.0, 0.0), (-1.0, 0.0)] * 5, "a double, b double"), "a", "b", 500).first().p == 1
 
 
 def test_series(spark):
