@@ -3,6 +3,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -82,92 +83,81 @@ def test_code_switching_follows_the_words():
     assert np.mean([b == "en" for b in best[:30]]) > 0.9 and np.mean([b == "fr" for b in best[30:]]) > 0.9
 
 
-def brute_scores(rows, max_depth, symbol_share, context_share, pair_share, pseudo, divergence):
-    """A dictionary version of the suffix tree."""
-    end = "</s>"
+def brute_scores(rows, max_depth, least, pseudo, divergence):
+    """A dictionary version of the suffix tree: (rows, P(word | history), retained contexts, training counts)."""
+    start, end = "<s>", "</s>"
     lower = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
-    seqs = [re.findall(r"[^\x20\x09-\x0D]+", lower(t)) + [end] for _, t in rows]
+    seqs = [[start, *re.findall(r"[^\x20\x09-\x0D]+", lower(t)), end] for _, t in rows]
     train = [s for (d, _), s in zip(rows, seqs) if d is None or zlib.crc32(str(d).encode()) % 7 != 2]
-    count = {}
-    for s in train:
-        for w in s:
-            count[w] = count.get(w, 0) + 1
+    count = Counter(w for s in train for w in s[1:])
     N, V = sum(count.values()), len(count)
-    root = lambda w: (count.get(w, 0) + 1) / (N + V + 1)
-    symbols = {w for w, c in count.items() if c >= max(1, symbol_share * N)}
-    states, level = {}, {(w,): count[w] for w in symbols if count[w] >= max(2, context_share * N)}
+    kept = {}
 
     def prob(w, history):
         for k in range(min(max_depth, len(history)), 0, -1):
-            if (c := tuple(history[-k:])) in states:
-                total, pairs = states[c]
-                below = prob(w, list(c[1:]))
-                kept = sum(pairs.values())
-                return (pairs.get(w, 0) + (total - kept + pseudo) * below) / (total + pseudo)
-        return root(w)
+            if (c := tuple(history[-k:])) in kept:
+                return (kept[c][w] + pseudo * prob(w, c[1:])) / (sum(kept[c].values()) + pseudo)
+        return (count[w] + 1) / (N + V + 1)
 
     for depth in range(1, max_depth + 1):
-        pairs = {c: {} for c in level}
+        follow = {}
         for s in train:
-            full = [end, *s]
-            for i in range(1, len(full)):
-                c = tuple(full[max(0, i - depth) : i])
-                if len(c) == depth and c in pairs and full[i] in symbols:
-                    pairs[c][full[i]] = pairs[c].get(full[i], 0) + 1
-        found, nxt = {}, {}
-        for c, total in level.items():
-            own = {w: n for w, n in pairs[c].items() if n >= max(2, pair_share * N)}
-            kept = sum(own.values())
-            spread = (total - kept + pseudo) / (total + pseudo)
-            kl = (total - kept) / total * math.log(spread)
-            for w, n in own.items():
-                below = prob(w, list(c[1:]))
-                kl += n / total * math.log((n / (total + pseudo) + spread * below) / below)
-                if n >= max(2, context_share * N) and w != end:
-                    nxt[(*c, w)] = n
-            if kl >= divergence:
-                found[c] = (total, own)
-        states.update(found)
-        level = nxt
+            for i in range(depth, len(s)):
+                follow.setdefault(tuple(s[i - depth : i]), Counter())[s[i]] += 1
+        found = {}
+        for c, next_words in follow.items():
+            n = sum(next_words.values())
+            gain = sum(k * math.log((k - 1 + pseudo * prob(w, c[1:])) / (n - 1 + pseudo) / prob(w, c[1:])) for w, k in next_words.items())
+            if n >= least and gain >= divergence * n:
+                found[c] = next_words
+        kept.update(found)
     out = []
     for (d, _), s in zip(rows, seqs):
-        full = [end, *s]
-        base = sum(math.log10(root(w)) for w in s)
-        out.append((d, len(s), sum(w in count for w in s), N, base, sum(math.log10(prob(full[i], full[max(0, i - max_depth) : i])) for i in range(1, len(full)))))
-    return out, states
+        base = sum(math.log10((count[w] + 1) / (N + V + 1)) for w in s[1:])
+        out.append((d, len(s) - 1, sum(w in count for w in s[1:]), N, base, sum(math.log10(prob(s[i], s[max(0, i - max_depth) : i])) for i in range(1, len(s)))))
+    return out, prob, kept, count
 
 
-@pytest.mark.parametrize("depth", [1, 2, 3])
-def test_suffix_tree_equals_brute_force(spark, depth):
-    rng = random.Random(7)
-    chain = {w: rng.choices("abcdefgh", k=3) for w in "abcdefgh"}
-
-    def walk(n):
+def walks(rng, n, words="abcdefgh"):
+    chain = {w: rng.choices(words, k=3) for w in words}
+    for _ in range(n):
         w, out = "a", []
-        for _ in range(n):
+        for _ in range(rng.randint(0, 60)):
             w = rng.choice(chain.get(w, "ab")) if rng.random() < 0.8 else rng.choice("ABCdefghxyz")
             out.append(w)
-        return " ".join(out)
+        yield " ".join(out)
 
-    rows = [(i, walk(rng.randint(0, 60))) for i in range(80)] + [(100, None), (101, ""), (102, "ÀÉ\tunknownword\n\x0b a"), (None, walk(20)), (5, walk(9)), (5, walk(9))]
-    how = dict(max_depth=depth, symbol_share=1e-3, context_share=0.005, pair_share=1e-3, pseudo=2.0, divergence=0.01)
-    want, states = brute_scores(rows, **how)
-    assert {len(c) for c in states} >= set(range(1, min(depth, 2) + 1))
+
+@pytest.mark.parametrize("depth, least", [(1, 2), (3, 2), (4, 5)])
+def test_suffix_tree_equals_brute_force(spark, depth, least):
+    rng = random.Random(7)
+    text = list(walks(rng, 83))
+    rows = [*enumerate(text[:80]), (100, None), (101, ""), (102, "ÀÉ\tunknownword\n\x0b a"), (None, text[80]), (5, text[81]), (5, text[81]), (103, text[82] + " q" * 3000)]
+    how = dict(max_depth=depth, least=least, pseudo=2.0, divergence=0.01)
+    want, prob, kept, count = brute_scores(rows, **how)
+    assert {len(c) for c in kept} == set(range(1, depth + 1))
+    for c in kept:  # every state's distribution sums to 1, the root's share of unknown words included
+        unknown = prob("never seen", c)
+        assert sum(prob(w, c) for w in count) + unknown == pytest.approx(1)
     docs = spark.createDataFrame([(d, t, 0.0, 1) for d, t in rows], "doc_id long, text string, score double, block int")
     got = [(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in S.score_texts(docs, **how).collect()]
-    key = lambda r: (-1 if r[0] is None else r[0], *r[1:4], round(r[4], 6), round(r[5], 6))
-    assert sorted(map(key, got)) == sorted(map(key, want))
-
-
-def test_suffix_tree_distributions_sum_to_one():
-    symbols = np.sort(np.array([5, 9, int(S.END)], np.uint64))
-    tree = S.Tree(symbols, np.array([0.3, 0.3, 0.2]))
-    tree.levels.append(S.new_level(tree, 1, np.array([0, 1]), np.array([50, 40]), np.array([1, 2, 3]), np.array([30, 10, 25]), 5.0, 0.0))
-    for c in (0, 1):
-        s = np.array([c, 0, c, 1, c, 2])
-        r = tree.ratios(s, np.array([0, 2, 4, 6]))[1::2]
-        rest = 10 ** tree.levels[0].spread[c] * 0.2
-        assert (tree.root * 10**r).sum() + rest == pytest.approx(1.0)
+    key = lambda r: (-1 if r[0] is None else r[0], *r[1:4], round(r[4], 3))
+    got, want = sorted(got, key=key), sorted(want, key=key)
+    assert [key(r) for r in got] == [key(r) for r in want]
+    assert [r[4] for r in got] == pytest.approx([r[4] for r in want], abs=1e-8)
+    assert [r[5] for r in got] == pytest.approx([r[5] for r in want], abs=1e-3)
+
+
+def test_what_the_tree_knows_grows_with_the_text(spark):
+    """A text that occurs twice is told from one that occurs once, however much other text there is."""
+    learned = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 7 != 2]
+    for size in (100, 1500):
+        rng = random.Random(size)
+        texts = [" ".join(f"w{rng.randint(0, 300)}" for _ in range(30)) for _ in range(size)]
+        rows = list(zip(learned, [*texts, texts[0]]))
+        got = {r.doc_id: r.score - r.base_score for r in S.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        once = [got[i] for i, _ in rows[1:-1]]
+        assert got[rows[0][0]] == pytest.approx(got[rows[-1][0]]) and got[rows[0][0]] > max(once) + 10
 
 
 def test_nothing_to_learn(spark):

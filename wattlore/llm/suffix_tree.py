@@ -1,255 +1,292 @@
 """Language-model scoring by a probabilistic suffix tree over words.
 
-The root predicts words by their smoothed counts over all training documents. A context (the last one, two, ... words) is a
-candidate if it makes up at least ``context_share`` of the training tokens, so there are at most 1 / context_share of them
-at any depth, and is retained if its next words diverge from what its longest proper suffix predicts. Its distribution keeps
-the next words whose pair with it makes up at least ``pair_share`` of all tokens and spreads the rest by the suffix's
-distribution, so every state's distribution sums to 1. A text's score follows the longest retained suffix at each word.
-
-Word counts stay distributed: blocks of documents ask for the counts of their distinct words, packed by hash bucket, and
-get them back; only candidates' tables, whose size the two shares bound, are broadcast.
+The root predicts words by their smoothed counts over all training documents. The last 1, 2, ... words are a candidate context
+if they occur at least ``least`` times in training, a fixed number, so the tree grows with the text. A context's counts are
+smoothed by what its longest retained proper suffix says, (n(cw) + pseudo * P(w | suffix)) / (n(c) + pseudo), which sums to 1.
+It is retained if its next words diverge from its suffix's: the mean of log(P(w | c) / P(w | suffix)) over c's training
+places, each place left out of the counts that judge it, must reach ``divergence``. A text's score follows the longest
+retained suffix at each word.
+
+No table of the tree is ever in one place. Blocks of documents lie as files in the shared folder, and what is shuffled is
+questions and answers: a block asks for its distinct keys, packed by hash bucket, with what it adds to each, and gets back
+what all blocks together say. A context whose places fill a third of the text is one key a block, like any other.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+import io
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import blocks_for, materialize, shuffle_parts, string_buffers, text_col
-from .words import END, segment_sum, word_hashes
+from .common import discard, materialize, open_fs, shuffle_parts, string_buffers, text_col, work_dir, write_bytes
+from .words import END, M1, mix, segment_sum, word_hashes
+
+#: Hash of the place before a text.
+START = np.uint64(0x57A_27_0F_7E47)
+#: Words of a block, about; a longer text is a block of its own.
+BLOCK_WORDS = 2_000_000
+ASKS = "bucket int, block long, h binary, c binary, s binary"
 
 
 def sequences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(word hashes with one end after every text, bounds)."""
+    """(word hashes with a start before and an end after every text, bounds)."""
     h, b = word_hashes(*string_buffers(texts))
-    return np.insert(h, b[1:], END), b + np.arange(len(b))
+    h = np.insert(h, b[1:], END)
+    return np.insert(h, b[:-1] + np.arange(len(b) - 1), START), b + 2 * np.arange(len(b))
 
 
-def packed(h: np.ndarray, counts: np.ndarray, bits: int) -> Iterator[tuple[int, bytes, bytes]]:
-    """Sorted hashes and their counts by bucket: the hash's first bits."""
-    cut = np.searchsorted((h >> np.uint64(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1))
-    c = counts.astype("<i8")
-    for i in np.flatnonzero(np.diff(cut)).tolist():
-        yield i, h[cut[i] : cut[i + 1]].tobytes(), c[cut[i] : cut[i + 1]].tobytes()
+def save(path: str, **arrays: np.ndarray) -> None:
+    out = io.BytesIO()
+    np.savez(out, **arrays)
+    data = out.getvalue()
+    write_bytes(path, [len(data).to_bytes(8, "little"), pa.compress(data, "zstd", asbytes=True)])
 
 
-def unpack(h: list[bytes], c: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    keys, back = np.unique(np.frombuffer(b"".join(h), "<u8"), return_inverse=True)
-    total = np.zeros(len(keys), np.int64)
-    np.add.at(total, back, np.frombuffer(b"".join(c), "<i8"))
-    return keys, total
+def load(path: str) -> dict[str, np.ndarray]:
+    fs, name = open_fs(path)
+    with fs.open_input_stream(name) as f:
+        data = f.read()
+    return dict(np.load(io.BytesIO(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True))))
 
 
-def sum_packed(rows: DataFrame) -> DataFrame:
-    """bucket, h, c rows of any number for each bucket -> one row for each bucket: bucket, n, v, h, c."""
+def narrow(a: np.ndarray) -> bytes:
+    """Counts in the fewest bytes that hold them all; widen tells the size from the number of counts."""
+    return a.astype(np.min_scalar_type(int(a.max(initial=0)))).tobytes()
 
-    def add(t: pa.Table) -> pa.Table:
-        keys, total = unpack(t["h"].to_pylist(), t["c"].to_pylist())
-        return pa.table({"bucket": t["bucket"][:1], "n": [int(total.sum())], "v": [len(keys)], "h": pa.array([keys.tobytes()], pa.binary()), "c": pa.array([total.tobytes()], pa.binary())})
 
-    return rows.groupBy("bucket").applyInArrow(add, "bucket int, n long, v long, h binary, c binary")
+def widen(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"<u{len(data) // n}" if n else "u1").astype(np.int64)
+
 
+def grams(h: np.ndarray, depth: int) -> np.ndarray:
+    """Hash of the ``depth`` words that end at each place; no use where they begin before the text."""
+    g = h
+    for _ in range(depth - 1):
+        longer = h.copy()
+        longer[1:] = mix((g[:-1] * M1) ^ h[1:])
+        g = longer
+    return g
+
+
+def questions(block: int, keys: np.ndarray, count: np.ndarray, total: np.ndarray | None, buckets: int) -> pa.Table:
+    """One row for each bucket: sorted keys, what the block has of each, and a sum to go with it."""
+    cut = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
+    rows = []
+    for i in np.flatnonzero(np.diff(cut)).tolist():
+        part = slice(cut[i], cut[i + 1])
+        rows.append((i, block, keys[part].tobytes(), narrow(count[part]), b"" if total is None else total[part].tobytes()))
+    types = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.table([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 5, types)], ["bucket", "block", "h", "c", "s"])
 
-def count_packed(texts: DataFrame, bits: int, keys_of) -> DataFrame:
-    """Count the 64-bit keys that keys_of(text column) gives for each batch; returns sum_packed's rows."""
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Ascending with the key."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def answers_of(asks: DataFrame, parts: int, divergence: float | None = None) -> DataFrame:
+    """block, bucket, a (an answer for each key asked), n and v (occurrences and distinct keys with one, in one row a bucket).
+
+    The answer is the key's count over all blocks, or with ``divergence`` whether its sum reaches that for each occurrence.
+    """
+
+    def add(t: pa.Table) -> pa.Table:
+        t = t.sort_by("block")  # sums of floats are taken in one order
+        h = [np.frombuffer(x, "<u8") for x in t["h"].to_pylist()]
+        keys, back = np.unique(np.concatenate(h), return_inverse=True)
+        n = np.bincount(back, np.concatenate([widen(c, len(x)) for c, x in zip(t["c"].to_pylist(), h)]), len(keys)).astype(np.int64)
+        told = n
+        if divergence is not None:
+            s = np.bincount(back, np.frombuffer(b"".join(t["s"].to_pylist()), "<f4"), len(keys))
+            told = ((n > 0) & (s >= divergence * n)).astype(np.int64)
+        cut = np.cumsum([len(x) for x in h])[:-1]
+        once = np.zeros(t.num_rows, np.int64)
+        once[0] = 1
+        return pa.table({
+            "block": t["block"], "bucket": t["bucket"], "a": pa.array([narrow(x) for x in np.split(told[back], cut)], pa.binary()),
+            "n": once * n.sum(), "v": once * np.count_nonzero(n), "k": [len(x) for x in h],
+        })
+
+    return asks.repartition(parts, "bucket").groupBy("bucket").applyInArrow(add, "block long, bucket int, a binary, n long, v long, k long")
+
+
+def told(t: pa.Table) -> np.ndarray:
+    """A block's answers in the order of its sorted keys."""
+    t = t.sort_by("bucket")
+    return np.concatenate([np.zeros(0, np.int64), *(widen(a, k) for a, k in zip(t["a"].to_pylist(), t["k"].to_pylist()))])
+
+
+class Block:
+    """A block's words and what is known of each place after some rounds."""
+
+    def __init__(self, root: str, block: int, version: str | None = None):
+        self.path, self.block = f"{root}/{block}", block
+        own = load(f"{self.path}/words")
+        self.b, self.learned_docs, self.doc_id, self.no_id = own["b"], own["learned"], own["doc_id"], own["no_id"]
+        self.h = own["words"][own["tokens"]]
+        n = np.diff(self.b)
+        self.at = np.arange(len(self.h)) - np.repeat(self.b[:-1], n)
+        self.learned = np.repeat(self.learned_docs, n)
+        self.state = load(f"{self.path}/{version}") if version else {}
+
+    def predicted(self) -> np.ndarray:
+        """Words of the text and its end."""
+        return np.flatnonzero(self.at > 0)
+
+    def candidates(self, depth: int, least: int) -> np.ndarray:
+        """Places whose last ``depth`` words, the start included, are frequent enough in training."""
+        at = np.flatnonzero(self.at >= depth)
+        return at[self.state["count"][at - 1] >= least]
+
+    def ask_pairs(self, at: np.ndarray, depth: int, buckets: int) -> pa.Table:
+        keys, back = np.unique(grams(self.h, depth + 1)[at], return_inverse=True)
+        return questions(self.block, keys, np.bincount(back, self.learned[at], len(keys)).astype(np.int64), None, buckets)
+
+    def sums(self) -> pa.Table:
+        """A row for each document."""
+        s = self.state
+        logp = np.where(self.at > 0, s["logp"], 0).astype(np.float64)
+        return pa.table([pa.array(self.doc_id, mask=self.no_id), pa.array(np.diff(self.b) - 1), pa.array(s["known"]), pa.array(s["base"]), pa.array(np.add.reduceat(logp, self.b[:-1]))], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+
+def write_blocks(rows: DataFrame, root: str) -> DataFrame:
+    """Write the documents (doc_id, text, learned) of each task as block files; the blocks' numbers."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task, made, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal made, held, size
+            block = (task << 32) + made
+            h, n = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+            words, tokens = np.unique(h, return_inverse=True)
+            save(
+                f"{root}/{block}/words", words=words, tokens=tokens.astype(np.uint32), b=np.concatenate([[0], np.cumsum(n)]),
+                learned=np.concatenate([x[2] for x in held]), doc_id=np.concatenate([x[3] for x in held]), no_id=np.concatenate([x[4] for x in held]),
+            )
+            made, held, size = made + 1, [], 0
+            return pa.RecordBatch.from_arrays([pa.array([block])], ["block"])
+
         for f in frames:
-            step = max(1, int(f.num_rows * 16_000_000 // max(1, f.column("text").nbytes)))
+            step = max(1, int(f.num_rows * 8_000_000 // max(1, f.column("text").nbytes)))
             for a in range(0, f.num_rows, step):
-                keys, counts = np.unique(keys_of(f.column("text").slice(a, step)), return_counts=True)
-                rows = list(zip(*packed(keys, counts, bits))) or [()] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], ["bucket", "h", "c"])
-
-    return sum_packed(texts.select("text").mapInArrow(run, "bucket int, h binary, c binary"))
-
-
-@dataclass
-class Level:
-    """Retained contexts of one depth. keys: sorted codes (suffix state's code by _code); base: log10 of what is spread."""
-
-    keys: np.ndarray
-    spread: np.ndarray
-    pairs: np.ndarray  # sorted context index * symbols + symbol
-    ratio: np.ndarray  # log10 P(word | context) / P(word | root)
-
-
-@dataclass
-class Tree:
-    symbols: np.ndarray  # sorted hashes of frequent words
-    root: np.ndarray  # their root probabilities
-    levels: list[Level] = field(default_factory=list)
-
-    def numbers(self, h: np.ndarray) -> np.ndarray:
-        i = np.minimum(np.searchsorted(self.symbols, h), max(0, len(self.symbols) - 1))
-        return np.where(self.symbols[i] == h, i, -1) if len(self.symbols) else np.full(len(h), -1)
-
-    def history(self, s: np.ndarray, bounds: np.ndarray, depth: int) -> np.ndarray:
-        """Code of the last ``depth`` symbols before each place, or -1; the place before a text is an end."""
-        end = int(self.numbers(np.array([END], np.uint64))[0])
-        n, code = np.int64(len(self.symbols)), np.zeros(len(s), np.int64)
-        at = np.arange(len(s)) - np.repeat(bounds[:-1], np.diff(bounds))
-        for k in range(depth, 0, -1):
-            prev = np.full(len(s), -1, np.int64)
-            prev[k:] = s[:-k] if k else s
-            prev[at == k - 1] = end
-            prev[at < k - 1] = -1
-            code = np.where((code < 0) | (prev < 0), -1, code * n + prev)
-        return code
-
-    def ratios(self, s: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """log10 P(word | longest retained suffix) / P(word | root) at every place."""
-        n, out = len(self.symbols), np.zeros(len(s))
-        for depth, level in enumerate(self.levels, 1):
-            if not len(level.keys):
-                continue
-            code = self.history(s, bounds, depth)
-            i = np.minimum(np.searchsorted(level.keys, code), len(level.keys) - 1)
-            here = np.flatnonzero(level.keys[i] == code)
-            i = i[here]
-            value = out[here] + level.spread[i]
-            pair = np.where(s[here] >= 0, i * n + s[here], -1)
-            if len(level.pairs):
-                j = np.minimum(np.searchsorted(level.pairs, pair), len(level.pairs) - 1)
-                value = np.where(level.pairs[j] == pair, level.ratio[j], value)
-            out[here] = value
-        return out
-
-
-def new_level(tree: Tree, depth: int, context: np.ndarray, total: np.ndarray, pairs: np.ndarray, counts: np.ndarray, pseudo: float, divergence: float) -> Level:
-    """Smooth, test and keep contexts. context: sorted codes; pairs: sorted context index * symbols + symbol, with counts."""
-    n = len(tree.symbols)
-    of, w = pairs // n, pairs % n
-    # what the longest retained proper suffix says of each pair: a text of the suffix's symbols and the word
-    suffix = np.zeros((len(pairs), depth), np.int64)
-    code = context[of] % (n ** (depth - 1)) if depth > 1 else np.zeros(len(of), np.int64)
-    for k in range(depth - 1, 0, -1):
-        suffix[:, depth - 1 - k] = code // n ** (k - 1) % n
-    parent = np.zeros(len(pairs))
-    if depth > 1 and len(pairs):
-        s = np.concatenate([suffix[:, : depth - 1], w[:, None]], 1)
-        flat = tree.ratios(s.ravel(), np.arange(len(pairs) + 1) * depth)
-        parent = flat.reshape(len(pairs), depth)[:, -1]
-    below = tree.root[w] * 10**parent
-    kept = np.bincount(of, counts, len(context))
-    spread = (total - kept + pseudo) / (total + pseudo)
-    p = counts / (total + pseudo)[of] + spread[of] * below
-    kl = np.bincount(of, counts / total[of] * np.log(p / below), len(context)) + (total - kept) / total * np.log(spread)
-    keep = kl >= divergence
-    number = np.cumsum(keep) - 1
-    stay = keep[of]
-    return Level(context[keep], np.log10(spread[keep]), number[of[stay]] * n + w[stay], (np.log10(p) - np.log10(tree.root[w]))[stay])
-
-
-def frequent(counted: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of sum_packed's rows with at least ``least`` occurrences, sorted, to the driver: at most total / least."""
-
-    def pick(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for f in frames:
-            for h, c in zip(f.column("h").to_pylist(), f.column("c").to_pylist()):
-                keys, counts = np.frombuffer(h, "<u8"), np.frombuffer(c, "<i8")
-                some = counts >= least
-                yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(counts[some])], ["k", "c"])
+                part = f.slice(a, step)
+                h, b = sequences(part.column("text"))
+                ids = part.column("doc_id")
+                held.append((h, np.diff(b), part.column("learned").to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)))
+                size += len(h)
+                if size >= BLOCK_WORDS:
+                    yield flush()
+        if held:
+            yield flush()
 
-    t = counted.select("h", "c").mapInArrow(pick, "k long, c long").toArrow()
-    keys, counts = t["k"].to_numpy().view(np.uint64), t["c"].to_numpy()
-    order = np.argsort(keys)
-    return keys[order], counts[order]
+    return materialize(rows.mapInArrow(run, "block long"), "blocks")
 
 
 def is_held_out(doc_id, parts: int = 7, kept: int = 2):
     return F.coalesce(F.crc32(doc_id.cast("string")) % parts == kept, F.lit(False))
 
 
-def score_texts(docs: DataFrame, max_depth: int = 2, symbol_share: float = 2e-5, context_share: float = 2e-4, pair_share: float = 1e-6, pseudo: float = 10.0, divergence: float = 0.01) -> DataFrame:
+def score_texts(docs: DataFrame, max_depth: int = 3, least: int = 2, pseudo: float = 5.0, divergence: float = 0.01) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document (doc_id, text).
 
     Held-out documents (crc32 of doc_id's text mod 7 is 2) are scored and not learned from. Null texts are empty and are
     one end token; null ids are learned from; repeated rows count each time; words are kept apart by 64-bit hashes. With
-    nothing to learn from, train_tokens is 0 and both scores are 0. Other columns are ignored.
+    nothing to learn from, train_tokens is 0 and both scores are 0. Other columns are ignored. Contexts of up to
+    ``max_depth`` words are looked at, fewer where none of that length is frequent enough.
     """
     spark = docs.sparkSession
-    blocks = max(blocks_for(docs), shuffle_parts(spark))
-    bits = min(20, max(4, blocks.bit_length() + 1))
+    root = work_dir(spark, "suffix-tree")
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_col(docs).alias("text"))
-    learned = rows.filter(~is_held_out(F.col("doc_id")))
-    counted = materialize(count_packed(learned, bits, lambda t: sequences(t)[0]), "word-counts")
-    totals = counted.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    blocks = write_blocks(rows.withColumn("learned", ~is_held_out(F.col("doc_id"))), root)
+    number = blocks.count()
+    buckets, parts = max(16, 2 * number), max(shuffle_parts(spark), number)
+
+    def each_block(answers: DataFrame, step: Callable[[int, np.ndarray], pa.Table]) -> DataFrame:
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            return step(left["block"][0].as_py(), told(right))
+
+        return blocks.repartition(parts, "block").groupBy("block").cogroup(answers.repartition(parts, "block").groupBy("block")).applyInArrow(run, ASKS)
+
+    def ask_words(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in frames:
+            for i in f.column("block").to_pylist():
+                own = Block(root, i)
+                at = own.predicted()
+                keys, back = np.unique(own.h[at], return_inverse=True)
+                yield from questions(i, keys, np.bincount(back, own.learned[at], len(keys)).astype(np.int64), None, buckets).to_batches()
+
+    answers = materialize(answers_of(blocks.repartition(parts, "block").mapInArrow(ask_words, ASKS), parts), "words-told")
+    totals = answers.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     N, V = int(totals["n"] or 0), int(totals["v"] or 0)
-    tree = Tree(np.zeros(0, np.uint64), np.zeros(0))
-    if N:
-        symbols, seen = frequent(counted, max(1, symbol_share * N))
-        tree = Tree(symbols, (seen + 1) / (N + V + 1))
-        n = len(symbols)
-        often = seen >= max(2, context_share * N)
-        context, total = np.flatnonzero(often), seen[often]
-        for depth in range(1, max_depth + 1):
-            if not len(context) or not n or n ** (depth + 1) >= 1 << 62:
-                break
-
-            def keys_of(texts: pa.Array, tree=tree, context=context, depth=depth) -> np.ndarray:
-                h, b = sequences(texts)
-                s = tree.numbers(h)
-                code = tree.history(s, b, depth)
-                i = np.minimum(np.searchsorted(context, code), len(context) - 1)
-                some = (context[i] == code) & (s >= 0)
-                # the multiplication spreads keys over the buckets and is undone below
-                return (i[some] * len(tree.symbols) + s[some]).astype(np.uint64) * np.uint64(SPREAD)
-
-            pair_counts = materialize(count_packed(learned, bits, keys_of), f"pairs-{depth}")
-            keys, counts = frequent(pair_counts, max(2, pair_share * N))
-            pairs = (keys * np.uint64(pow(SPREAD, -1, 1 << 64))).astype(np.int64)
-            order = np.argsort(pairs)
-            pairs, counts = pairs[order], counts[order]
-            tree.levels.append(new_level(tree, depth, context, total, pairs, counts, pseudo, divergence))
-            longer = counts >= max(2, context_share * N)
-            code = context[pairs[longer] // n] * n + pairs[longer] % n
-            end = int(tree.numbers(np.array([END], np.uint64))[0])
-            inner = pairs[longer] % n != end  # nothing follows an end within a text
-            order = np.argsort(code[inner])
-            context, total = code[inner][order], counts[longer][inner][order]
-    shared = spark.sparkContext.broadcast(tree)
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
-    texts = rows.withColumn("block", block).repartition(max(shuffle_parts(spark), blocks), "block")
-
-    def ask(t: pa.Table) -> pa.Table:
-        h = np.unique(sequences(t["text"])[0])
-        cut = np.searchsorted((h >> np.uint64(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1))
-        some = np.flatnonzero(np.diff(cut)).tolist()
-        return pa.table({"bucket": pa.array(some, pa.int32()), "block": pa.array([t["block"][0].as_py()] * len(some), pa.int32()), "h": pa.array([h[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary())})
-
-    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys = np.frombuffer(right["h"][0].as_py(), "<u8") if right.num_rows else np.zeros(0, np.uint64)
-        counts = np.frombuffer(right["c"][0].as_py(), "<i8") if right.num_rows else np.zeros(0, np.int64)
-        out = []
-        for h in left["h"].to_pylist():
-            h = np.frombuffer(h, "<u8")
-            i = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
-            out.append((np.where(keys[i] == h, counts[i], 0) if len(keys) else np.zeros(len(h), np.int64)).astype("<i8").tobytes())
-        return pa.table({"block": left["block"], "bucket": left["bucket"], "c": pa.array(out, pa.binary())})
-
-    asked = texts.groupBy("block").applyInArrow(ask, "bucket int, block int, h binary")
-    answered = asked.groupBy("bucket").cogroup(counted.select("bucket", "h", "c").groupBy("bucket")).applyInArrow(answer, "block int, bucket int, c binary")
-    names = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
-
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        h, b = sequences(left["text"])
-        c = np.frombuffer(b"".join(x for _, x in sorted(zip(right["bucket"].to_pylist(), right["c"].to_pylist()))), "<i8")
-        _, back = np.unique(h, return_inverse=True)
-        base = np.log10((c + 1) / (N + V + 1))[back]
-        learned_tree = shared.value
-        s = learned_tree.numbers(h)
-        own = base + learned_tree.ratios(s, b)
-        return pa.table([left["doc_id"], pa.array(np.diff(b)), pa.array(segment_sum((c > 0)[back].astype(np.int64), b)), pa.array(np.add.reduceat(base, b[:-1])), pa.array(np.add.reduceat(own, b[:-1]))], names)
-
-    found = texts.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(score, "doc_id long, n_tokens long, n_known long, base_score double, score double")
-    value = lambda c: (F.col(c) if N else F.lit(0.0)).alias(c)
-    return found.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(N).cast("long").alias("train_tokens"), value("base_score"), value("score"))
 
+    def words_told(i: int, count: np.ndarray) -> pa.Table:
+        own = Block(root, i)
+        at = own.predicted()
+        keys, back = np.unique(own.h[at], return_inverse=True)
+        c = np.zeros(len(own.h), np.int64)
+        c[at] = count[back]
+        logp = np.log10((c + 1) / (N + V + 1))
+        base, known = np.add.reduceat(np.where(own.at > 0, logp, 0.0), own.b[:-1]), segment_sum(((c > 0) & (own.at > 0)).astype(np.int64), own.b)
+        c[own.at == 0] = count[np.searchsorted(keys, END)]  # as many starts as ends
+        own.state = dict(count=c, logp=logp.astype(np.float32), base=base, known=known)
+        save(f"{own.path}/level-0", **own.state)
+        return own.ask_pairs(own.candidates(1, least), 1, buckets)
+
+    def pairs_told(depth: int) -> Callable[[int, np.ndarray], pa.Table]:
+        def step(i: int, count: np.ndarray) -> pa.Table:
+            own = Block(root, i, f"level-{depth - 1}")
+            at = own.candidates(depth, least)
+            _, back = np.unique(grams(own.h, depth + 1)[at], return_inverse=True)
+            save(f"{own.path}/pairs-{depth}", count=count[back])
+            learned = own.learned[at]
+            n, pair, below = own.state["count"][at - 1], count[back], 10 ** own.state["logp"][at].astype(np.float64)
+            with np.errstate(divide="ignore", invalid="ignore"):  # places that aren't learned from may have no pair
+                gain = np.where(learned, np.log((pair - 1 + pseudo * below) / (n - 1 + pseudo) / below), 0)
+            keys, back = np.unique(grams(own.h, depth)[at - 1], return_inverse=True)
+            return questions(i, keys, np.bincount(back, learned, len(keys)).astype(np.int64), np.bincount(back, gain, len(keys)).astype("<f4"), buckets)
+
+        return step
+
+    def contexts_told(depth: int) -> Callable[[int, np.ndarray], pa.Table]:
+        def step(i: int, kept: np.ndarray) -> pa.Table:
+            own = Block(root, i, f"level-{depth - 1}")
+            at, pair = own.candidates(depth, least), load(f"{own.path}/pairs-{depth}")["count"]
+            _, back = np.unique(grams(own.h, depth)[at - 1], return_inverse=True)
+            stay = kept[back] > 0
+            n, logp = own.state["count"][at - 1], own.state["logp"]
+            logp[at[stay]] = np.log10((pair + pseudo * 10 ** logp[at].astype(np.float64)) / (n + pseudo))[stay]
+            count = np.zeros(len(own.h), np.int64)
+            count[at] = pair
+            own.state = own.state | dict(count=count, logp=logp)
+            save(f"{own.path}/level-{depth}", **own.state)
+            return own.ask_pairs(own.candidates(depth + 1, least) if depth < max_depth else at[:0], depth + 1, buckets)
+
+        return step
+
+    def round_of(before: DataFrame, step: Callable[[int, np.ndarray], pa.Table], name: str, divergence: float | None = None) -> DataFrame:
+        after = materialize(answers_of(each_block(before, step), parts, divergence), name)
+        discard(before)
+        return after
+
+    reached = 0
+    answers = round_of(answers, words_told, "pairs-told-1")
+    while reached < max_depth and answers.head(1):
+        depth = reached + 1
+        answers = round_of(answers, pairs_told(depth), f"contexts-told-{depth}", divergence)
+        answers = round_of(answers, contexts_told(depth), f"pairs-told-{depth + 1}")
+        reached = depth
+
+    def sums(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in frames:
+            for i in f.column("block").to_pylist():
+                yield from Block(root, i, f"level-{reached}").sums().to_batches()
 
-#: An odd number: multiplying by it is undone by its inverse modulo 2 ** 64.
-SPREAD = 0x9E3779B97F4A7C15
+    found = blocks.repartition(parts, "block").mapInArrow(sums, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    value = lambda c: (F.col(c) if N else F.lit(0.0)).alias(c)
+    return found.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(N).cast("long").alias("train_tokens"), value("base_score"), value("score"))
