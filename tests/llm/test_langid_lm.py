@@ -96,7 +96,8 @@ def brute_scores(rows, max_depth, least, pseudo, divergence):
     def prob(w, history):
         for k in range(min(max_depth, len(history)), 0, -1):
             if (c := tuple(history[-k:])) in kept:
-                return (kept[c][w] + pseudo * prob(w, c[1:])) / (sum(kept[c].values()) + pseudo)
+                n, own = sum(kept[c].values()), {v: k for v, k in kept[c].items() if k >= least}
+                return (own.get(w, 0) + (n - sum(own.values()) + pseudo) * prob(w, c[1:])) / (n + pseudo)
         return (count[w] + 1) / (N + V + 1)
 
     for depth in range(1, max_depth + 1):
@@ -107,7 +108,7 @@ def brute_scores(rows, max_depth, least, pseudo, divergence):
         found = {}
         for c, next_words in follow.items():
             n = sum(next_words.values())
-            gain = sum(k * math.log((k - 1 + pseudo * prob(w, c[1:])) / (n - 1 + pseudo) / prob(w, c[1:])) for w, k in next_words.items())
+            gain = sum(k * math.log(((k if k >= least else 1) - 1 + pseudo * prob(w, c[1:])) / (n - 1 + pseudo) / prob(w, c[1:])) for w, k in next_words.items())
             if n >= least and gain >= divergence * n:
                 found[c] = next_words
         kept.update(found)

@@ -38,11 +38,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def remove(spark: SparkSession, *uris: str) -> None:
+    """Delete folders that work_dir has named and nothing reads any more."""
+    for uri in uris:
+        path, fs = _hadoop(spark, uri)
+        fs.delete(path, True)
+
+
 def discard(*steps: DataFrame) -> None:
     """Delete steps that materialize has written and nothing reads any more; what was read from them must be written itself."""
     for step in steps:
-        path, fs = _hadoop(step.sparkSession, step.step_path)
-        fs.delete(path, True)
+        remove(step.sparkSession, step.step_path)
 
 
 def open_fs(uri: str):

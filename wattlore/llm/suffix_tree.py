@@ -1,11 +1,13 @@
 """Language-model scoring by a probabilistic suffix tree over words.
 
 The root predicts words by their smoothed counts over all training documents. The last 1, 2, ... words are a candidate context
-if they occur at least ``least`` times in training, a fixed number, so the tree grows with the text. A context's counts are
-smoothed by what its longest retained proper suffix says, (n(cw) + pseudo * P(w | suffix)) / (n(c) + pseudo), which sums to 1.
-It is retained if its next words diverge from its suffix's: the mean of log(P(w | c) / P(w | suffix)) over c's training
-places, each place left out of the counts that judge it, must reach ``divergence``. A text's score follows the longest
-retained suffix at each word.
+if they occur at least ``least`` times in training, a fixed number, so the tree grows with the text. A context c keeps the next
+words w seen that often after it; what is left of its places, and ``pseudo`` more, is spread by its longest retained proper
+suffix: P(w | c) = (kept n(cw) + (n(c) - all kept + pseudo) * P(w | suffix)) / (n(c) + pseudo), which sums to 1. It is
+retained if its next words diverge from its suffix's: the mean of log((n(cw) - 1 + pseudo * P(w | suffix)) /
+((n(c) - 1 + pseudo) * P(w | suffix))) over its training places (0 for n(cw) - 1 if w is not kept) must reach
+``divergence``. A text's score follows the longest retained suffix at each word. A pair is asked for only where its context
+and its suffix's pair are frequent; else it can't be.
 
 No table of the tree is ever in one place. Blocks of documents lie as files in the shared folder, and what is shuffled is
 questions and answers: a block asks for its distinct keys, packed by hash bucket, with what it adds to each, and gets back
@@ -21,8 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import discard, materialize, open_fs, shuffle_parts, string_buffers, text_col, work_dir, write_bytes
-from .words import END, M1, mix, segment_sum, word_hashes
+from .common import discard, materialize, open_fs, remove, shuffle_parts, string_buffers, text_col, work_dir, write_bytes
+from .words import END, M1, mix, word_hashes
 
 #: Hash of the place before a text.
 START = np.uint64(0x57A_27_0F_7E47)
@@ -87,10 +89,10 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def answers_of(asks: DataFrame, parts: int, divergence: float | None = None) -> DataFrame:
+def answers_of(asks: DataFrame, parts: int, summed: bool = False) -> DataFrame:
     """block, bucket, a (an answer for each key asked), n and v (occurrences and distinct keys with one, in one row a bucket).
 
-    The answer is the key's count over all blocks, or with ``divergence`` whether its sum reaches that for each occurrence.
+    The answer is the key's count over all blocks; with ``summed`` it is that count and one if its sum isn't negative, else 0.
     """
 
     def add(t: pa.Table) -> pa.Table:
@@ -99,9 +101,8 @@ def answers_of(asks: DataFrame, parts: int, divergence: float | None = None) ->
         keys, back = np.unique(np.concatenate(h), return_inverse=True)
         n = np.bincount(back, np.concatenate([widen(c, len(x)) for c, x in zip(t["c"].to_pylist(), h)]), len(keys)).astype(np.int64)
         told = n
-        if divergence is not None:
-            s = np.bincount(back, np.frombuffer(b"".join(t["s"].to_pylist()), "<f4"), len(keys))
-            told = ((n > 0) & (s >= divergence * n)).astype(np.int64)
+        if summed:
+            told = np.where(np.bincount(back, np.frombuffer(b"".join(t["s"].to_pylist()), "<f4"), len(keys)) >= 0, n + 1, 0)
         cut = np.cumsum([len(x) for x in h])[:-1]
         once = np.zeros(t.num_rows, np.int64)
         once[0] = 1
@@ -120,36 +121,55 @@ def told(t: pa.Table) -> np.ndarray:
 
 
 class Block:
-    """A block's words and what is known of each place after some rounds."""
+    """A block's words and, at some level, what is known of each place: its last words' count and its probability."""
 
-    def __init__(self, root: str, block: int, version: str | None = None):
-        self.path, self.block = f"{root}/{block}", block
-        own = load(f"{self.path}/words")
+    def __init__(self, root: str, block: int, level: int | None = None, total: int = 0):
+        self.root, self.block = root, block
+        own = load(f"{root}/words/{block}")
         self.b, self.learned_docs, self.doc_id, self.no_id = own["b"], own["learned"], own["doc_id"], own["no_id"]
-        self.h = own["words"][own["tokens"]]
+        self.words, self.tokens = own["words"], own["tokens"]
+        self.h = self.words[self.tokens]
         n = np.diff(self.b)
         self.at = np.arange(len(self.h)) - np.repeat(self.b[:-1], n)
         self.learned = np.repeat(self.learned_docs, n)
-        self.state = load(f"{self.path}/{version}") if version else {}
+        if level == 0:  # a word says it all
+            self.count = self.read("level-0")["count"][self.tokens]
+            self.logp = np.log10((self.count + 1) / total)
+        elif level:
+            own = self.read(f"level-{level}")
+            self.count, self.logp = own["count"], own["logp"].astype(np.float64)
 
-    def predicted(self) -> np.ndarray:
-        """Words of the text and its end."""
-        return np.flatnonzero(self.at > 0)
+    def read(self, name: str) -> dict[str, np.ndarray]:
+        return load(f"{self.root}/{name}/{self.block}")
+
+    def save(self, name: str, count: np.ndarray, **arrays: np.ndarray) -> None:
+        save(f"{self.root}/{name}/{self.block}", count=count.astype(np.min_scalar_type(int(count.max(initial=0)))), **arrays)
+
+    def ask_words(self, buckets: int) -> pa.Table:
+        said = self.words != START
+        n = np.bincount(self.tokens, self.learned, len(self.words)).astype(np.int64)
+        return questions(self.block, self.words[said], n[said], None, buckets)
 
     def candidates(self, depth: int, least: int) -> np.ndarray:
         """Places whose last ``depth`` words, the start included, are frequent enough in training."""
         at = np.flatnonzero(self.at >= depth)
-        return at[self.state["count"][at - 1] >= least]
+        return at[self.count[at - 1] >= least]
+
+    def pairs(self, depth: int, least: int) -> np.ndarray:
+        """Those of the candidates whose word is frequent enough after the context's suffix, too."""
+        at = self.candidates(depth, least)
+        return at[self.count[at] >= least]
 
-    def ask_pairs(self, at: np.ndarray, depth: int, buckets: int) -> pa.Table:
+    def ask_pairs(self, depth: int, least: int, buckets: int) -> pa.Table:
+        at = self.pairs(depth, least)
         keys, back = np.unique(grams(self.h, depth + 1)[at], return_inverse=True)
         return questions(self.block, keys, np.bincount(back, self.learned[at], len(keys)).astype(np.int64), None, buckets)
 
     def sums(self) -> pa.Table:
         """A row for each document."""
-        s = self.state
-        logp = np.where(self.at > 0, s["logp"], 0).astype(np.float64)
-        return pa.table([pa.array(self.doc_id, mask=self.no_id), pa.array(np.diff(self.b) - 1), pa.array(s["known"]), pa.array(s["base"]), pa.array(np.add.reduceat(logp, self.b[:-1]))], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+        base = self.read("base")
+        score = np.add.reduceat(np.where(self.at > 0, self.logp, 0), self.b[:-1])
+        return pa.table([pa.array(self.doc_id, mask=self.no_id), pa.array(np.diff(self.b) - 1), pa.array(base["count"].astype(np.int64)), pa.array(base["base"]), pa.array(score)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
 
 def write_blocks(rows: DataFrame, root: str) -> DataFrame:
@@ -166,7 +186,7 @@ def write_blocks(rows: DataFrame, root: str) -> DataFrame:
             h, n = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
             words, tokens = np.unique(h, return_inverse=True)
             save(
-                f"{root}/{block}/words", words=words, tokens=tokens.astype(np.uint32), b=np.concatenate([[0], np.cumsum(n)]),
+                f"{root}/words/{block}", words=words, tokens=tokens.astype(np.uint32), b=np.concatenate([[0], np.cumsum(n)]),
                 learned=np.concatenate([x[2] for x in held]), doc_id=np.concatenate([x[3] for x in held]), no_id=np.concatenate([x[4] for x in held]),
             )
             made, held, size = made + 1, [], 0
@@ -188,6 +208,17 @@ def write_blocks(rows: DataFrame, root: str) -> DataFrame:
     return materialize(rows.mapInArrow(run, "block long"), "blocks")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """materialize, with the shuffles' files deleted when the step is written: nothing reads them again."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        return materialize(df, name)
+    finally:
+        conf.set(key, before) if before else conf.unset(key)
+
+
 def is_held_out(doc_id, parts: int = 7, kept: int = 2):
     return F.coalesce(F.crc32(doc_id.cast("string")) % parts == kept, F.lit(False))
 
@@ -213,80 +244,74 @@ def score_texts(docs: DataFrame, max_depth: int = 3, least: int = 2, pseudo: flo
 
         return blocks.repartition(parts, "block").groupBy("block").cogroup(answers.repartition(parts, "block").groupBy("block")).applyInArrow(run, ASKS)
 
-    def ask_words(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for f in frames:
-            for i in f.column("block").to_pylist():
-                own = Block(root, i)
-                at = own.predicted()
-                keys, back = np.unique(own.h[at], return_inverse=True)
-                yield from questions(i, keys, np.bincount(back, own.learned[at], len(keys)).astype(np.int64), None, buckets).to_batches()
+    def of_blocks(rows_of: Callable[[int], pa.Table], schema: str) -> DataFrame:
+        def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for f in frames:
+                for i in f.column("block").to_pylist():
+                    yield from rows_of(i).to_batches()
+
+        return blocks.repartition(parts, "block").mapInArrow(run, schema)
 
-    answers = materialize(answers_of(blocks.repartition(parts, "block").mapInArrow(ask_words, ASKS), parts), "words-told")
+    answers = written(answers_of(of_blocks(lambda i: Block(root, i).ask_words(buckets), ASKS), parts), "words-told")
     totals = answers.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     N, V = int(totals["n"] or 0), int(totals["v"] or 0)
+    total = N + V + 1
 
     def words_told(i: int, count: np.ndarray) -> pa.Table:
         own = Block(root, i)
-        at = own.predicted()
-        keys, back = np.unique(own.h[at], return_inverse=True)
-        c = np.zeros(len(own.h), np.int64)
-        c[at] = count[back]
-        logp = np.log10((c + 1) / (N + V + 1))
-        base, known = np.add.reduceat(np.where(own.at > 0, logp, 0.0), own.b[:-1]), segment_sum(((c > 0) & (own.at > 0)).astype(np.int64), own.b)
-        c[own.at == 0] = count[np.searchsorted(keys, END)]  # as many starts as ends
-        own.state = dict(count=c, logp=logp.astype(np.float32), base=base, known=known)
-        save(f"{own.path}/level-0", **own.state)
-        return own.ask_pairs(own.candidates(1, least), 1, buckets)
+        c = np.zeros(len(own.words), np.int64)
+        c[own.words != START] = count
+        c[own.words == START] = c[own.words == END]  # as many starts as ends
+        own.save("level-0", c)
+        own.count, said = c[own.tokens], own.at > 0
+        base = np.add.reduceat(np.where(said, np.log10((own.count + 1) / total), 0.0), own.b[:-1])
+        own.save("base", np.add.reduceat(((own.count > 0) & said).astype(np.int64), own.b[:-1]), base=base)
+        return own.ask_pairs(1, least, buckets)
 
     def pairs_told(depth: int) -> Callable[[int, np.ndarray], pa.Table]:
         def step(i: int, count: np.ndarray) -> pa.Table:
-            own = Block(root, i, f"level-{depth - 1}")
+            own = Block(root, i, depth - 1, total)
+            asked, g = own.pairs(depth, least), grams(own.h, depth)
+            longer = np.concatenate([own.h[:1], mix((g[:-1] * M1) ^ own.h[1:])])
+            known = np.zeros(len(own.h), np.int64)
+            known[asked] = count[np.unique(longer[asked], return_inverse=True)[1]]
+            known[known < least] = 0
+            own.save(f"pairs-{depth}", known)
             at = own.candidates(depth, least)
-            _, back = np.unique(grams(own.h, depth + 1)[at], return_inverse=True)
-            save(f"{own.path}/pairs-{depth}", count=count[back])
-            learned = own.learned[at]
-            n, pair, below = own.state["count"][at - 1], count[back], 10 ** own.state["logp"][at].astype(np.float64)
-            with np.errstate(divide="ignore", invalid="ignore"):  # places that aren't learned from may have no pair
-                gain = np.where(learned, np.log((pair - 1 + pseudo * below) / (n - 1 + pseudo) / below), 0)
-            keys, back = np.unique(grams(own.h, depth)[at - 1], return_inverse=True)
-            return questions(i, keys, np.bincount(back, learned, len(keys)).astype(np.int64), np.bincount(back, gain, len(keys)).astype("<f4"), buckets)
+            pair, learned, n, below = known[at], own.learned[at], own.count[at - 1], pseudo * 10 ** own.logp[at]
+            gain = np.where(learned, np.log((np.maximum(pair - 1, 0) + below) * (pseudo / (n - 1 + pseudo)) / below) - divergence, 0)
+            keys, back = np.unique(g[at - 1], return_inverse=True)
+            return questions(i, keys, np.bincount(back, learned & (pair > 0), len(keys)).astype(np.int64), np.bincount(back, gain, len(keys)).astype("<f4"), buckets)
 
         return step
 
     def contexts_told(depth: int) -> Callable[[int, np.ndarray], pa.Table]:
-        def step(i: int, kept: np.ndarray) -> pa.Table:
-            own = Block(root, i, f"level-{depth - 1}")
-            at, pair = own.candidates(depth, least), load(f"{own.path}/pairs-{depth}")["count"]
-            _, back = np.unique(grams(own.h, depth)[at - 1], return_inverse=True)
-            stay = kept[back] > 0
-            n, logp = own.state["count"][at - 1], own.state["logp"]
-            logp[at[stay]] = np.log10((pair + pseudo * 10 ** logp[at].astype(np.float64)) / (n + pseudo))[stay]
-            count = np.zeros(len(own.h), np.int64)
-            count[at] = pair
-            own.state = own.state | dict(count=count, logp=logp)
-            save(f"{own.path}/level-{depth}", **own.state)
-            return own.ask_pairs(own.candidates(depth + 1, least) if depth < max_depth else at[:0], depth + 1, buckets)
+        def step(i: int, count: np.ndarray) -> pa.Table:
+            own = Block(root, i, depth - 1, total)
+            at, pair = own.candidates(depth, least), own.read(f"pairs-{depth}")["count"]
+            kept = count[np.unique(grams(own.h, depth)[at - 1], return_inverse=True)[1]]
+            at, kept = at[kept > 0], kept[kept > 0] - 1
+            n = own.count[at - 1]
+            own.logp[at] = np.log10((pair[at] + (n - kept + pseudo) * 10 ** own.logp[at]) / (n + pseudo))
+            own.count = pair
+            own.save(f"level-{depth}", pair, logp=own.logp.astype(np.float32))
+            return own.ask_pairs(depth + 1, least, buckets) if depth < max_depth else questions(i, own.h[:0], own.h[:0], None, buckets)
 
         return step
 
-    def round_of(before: DataFrame, step: Callable[[int, np.ndarray], pa.Table], name: str, divergence: float | None = None) -> DataFrame:
-        after = materialize(answers_of(each_block(before, step), parts, divergence), name)
+    def round_of(before: DataFrame, step: Callable[[int, np.ndarray], pa.Table], name: str, summed: bool = False) -> DataFrame:
+        after = written(answers_of(each_block(before, step), parts, summed), name)
         discard(before)
         return after
 
-    reached = 0
+    level = 0
     answers = round_of(answers, words_told, "pairs-told-1")
-    while reached < max_depth and answers.head(1):
-        depth = reached + 1
-        answers = round_of(answers, pairs_told(depth), f"contexts-told-{depth}", divergence)
-        answers = round_of(answers, contexts_told(depth), f"pairs-told-{depth + 1}")
-        reached = depth
-
-    def sums(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for f in frames:
-            for i in f.column("block").to_pylist():
-                yield from Block(root, i, f"level-{reached}").sums().to_batches()
+    while level < max_depth and answers.head(1):
+        answers = round_of(answers, pairs_told(level + 1), f"contexts-told-{level + 1}", True)
+        level += 1
+        answers = round_of(answers, contexts_told(level), f"pairs-told-{level + 1}")
+        remove(spark, f"{root}/level-{level - 1}", f"{root}/pairs-{level}")
 
-    found = blocks.repartition(parts, "block").mapInArrow(sums, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    found = of_blocks(lambda i: Block(root, i, level, total).sums(), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     value = lambda c: (F.col(c) if N else F.lit(0.0)).alias(c)
     return found.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(N).cast("long").alias("train_tokens"), value("base_score"), value("score"))
