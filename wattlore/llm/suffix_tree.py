@@ -44,7 +44,7 @@ def save(path: str, **arrays: np.ndarray) -> None:
     out = io.BytesIO()
     np.savez(out, **arrays)
     data = out.getvalue()
-    write_bytes(path, [len(data).to_bytes(8, "little"), pa.compress(data, "zstd", asbytes=True)])
+    write_bytes(path, [len(data).to_bytes(8, "little"), pa.Codec("zstd", compression_level=3).compress(data, asbytes=True)])
 
 
 def load(path: str) -> dict[str, np.ndarray]:
@@ -63,6 +63,15 @@ def widen(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, f"<u{len(data) // n}" if n else "u1").astype(np.int64)
 
 
+def planes(keys: np.ndarray) -> bytes:
+    """Sorted keys with all their first bytes first, then all second ones, ...: what a shuffle compresses."""
+    return keys.view(np.uint8).reshape(-1, 8)[:, ::-1].T.tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1)[::-1].T).view("<u8").ravel()
+
+
 def grams(h: np.ndarray, depth: int) -> np.ndarray:
     """Hash of the ``depth`` words that end at each place; no use where they begin before the text."""
     g = h
@@ -79,7 +88,7 @@ def questions(block: int, keys: np.ndarray, count: np.ndarray, total: np.ndarray
     rows = []
     for i in np.flatnonzero(np.diff(cut)).tolist():
         part = slice(cut[i], cut[i + 1])
-        rows.append((i, block, keys[part].tobytes(), narrow(count[part]), b"" if total is None else total[part].tobytes()))
+        rows.append((i, block, planes(keys[part]), narrow(count[part]), b"" if total is None else total[part].tobytes()))
     types = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
     return pa.table([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 5, types)], ["bucket", "block", "h", "c", "s"])
 
@@ -97,7 +106,7 @@ def answers_of(asks: DataFrame, parts: int, summed: bool = False) -> DataFrame:
 
     def add(t: pa.Table) -> pa.Table:
         t = t.sort_by("block")  # sums of floats are taken in one order
-        h = [np.frombuffer(x, "<u8") for x in t["h"].to_pylist()]
+        h = [from_planes(x) for x in t["h"].to_pylist()]
         keys, back = np.unique(np.concatenate(h), return_inverse=True)
         n = np.bincount(back, np.concatenate([widen(c, len(x)) for c, x in zip(t["c"].to_pylist(), h)]), len(keys)).astype(np.int64)
         told = n
@@ -136,14 +145,15 @@ class Block:
             self.count = self.read("level-0")["count"][self.tokens]
             self.logp = np.log10((self.count + 1) / total)
         elif level:
-            own = self.read(f"level-{level}")
-            self.count, self.logp = own["count"], own["logp"].astype(np.float64)
+            self.count, self.logp = self.read(f"pairs-{level}")["count"], self.read(f"level-{level}")["logp"].astype(np.float64)
 
     def read(self, name: str) -> dict[str, np.ndarray]:
         return load(f"{self.root}/{name}/{self.block}")
 
-    def save(self, name: str, count: np.ndarray, **arrays: np.ndarray) -> None:
-        save(f"{self.root}/{name}/{self.block}", count=count.astype(np.min_scalar_type(int(count.max(initial=0)))), **arrays)
+    def save(self, name: str, **arrays: np.ndarray) -> None:
+        if "count" in arrays:
+            arrays["count"] = arrays["count"].astype(np.min_scalar_type(int(arrays["count"].max(initial=0))))
+        save(f"{self.root}/{name}/{self.block}", **arrays)
 
     def ask_words(self, buckets: int) -> pa.Table:
         said = self.words != START
@@ -262,10 +272,10 @@ def score_texts(docs: DataFrame, max_depth: int = 3, least: int = 2, pseudo: flo
         c = np.zeros(len(own.words), np.int64)
         c[own.words != START] = count
         c[own.words == START] = c[own.words == END]  # as many starts as ends
-        own.save("level-0", c)
+        own.save("level-0", count=c)
         own.count, said = c[own.tokens], own.at > 0
         base = np.add.reduceat(np.where(said, np.log10((own.count + 1) / total), 0.0), own.b[:-1])
-        own.save("base", np.add.reduceat(((own.count > 0) & said).astype(np.int64), own.b[:-1]), base=base)
+        own.save("base", count=np.add.reduceat(((own.count > 0) & said).astype(np.int64), own.b[:-1]), base=base)
         return own.ask_pairs(1, least, buckets)
 
     def pairs_told(depth: int) -> Callable[[int, np.ndarray], pa.Table]:
@@ -276,7 +286,7 @@ def score_texts(docs: DataFrame, max_depth: int = 3, least: int = 2, pseudo: flo
             known = np.zeros(len(own.h), np.int64)
             known[asked] = count[np.unique(longer[asked], return_inverse=True)[1]]
             known[known < least] = 0
-            own.save(f"pairs-{depth}", known)
+            own.save(f"pairs-{depth}", count=known)
             at = own.candidates(depth, least)
             pair, learned, n, below = known[at], own.learned[at], own.count[at - 1], pseudo * 10 ** own.logp[at]
             gain = np.where(learned, np.log((np.maximum(pair - 1, 0) + below) * (pseudo / (n - 1 + pseudo)) / below) - divergence, 0)
@@ -294,7 +304,7 @@ def score_texts(docs: DataFrame, max_depth: int = 3, least: int = 2, pseudo: flo
             n = own.count[at - 1]
             own.logp[at] = np.log10((pair[at] + (n - kept + pseudo) * 10 ** own.logp[at]) / (n + pseudo))
             own.count = pair
-            own.save(f"level-{depth}", pair, logp=own.logp.astype(np.float32))
+            own.save(f"level-{depth}", logp=own.logp.astype(np.float32))
             return own.ask_pairs(depth + 1, least, buckets) if depth < max_depth else questions(i, own.h[:0], own.h[:0], None, buckets)
 
         return step
@@ -310,7 +320,7 @@ def score_texts(docs: DataFrame, max_depth: int = 3, least: int = 2, pseudo: flo
         answers = round_of(answers, pairs_told(level + 1), f"contexts-told-{level + 1}", True)
         level += 1
         answers = round_of(answers, contexts_told(level), f"pairs-told-{level + 1}")
-        remove(spark, f"{root}/level-{level - 1}", f"{root}/pairs-{level}")
+        remove(spark, f"{root}/level-{level - 1}", f"{root}/pairs-{level - 1}")
 
     found = of_blocks(lambda i: Block(root, i, level, total).sums(), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     value = lambda c: (F.col(c) if N else F.lit(0.0)).alias(c)
