@@ -171,11 +171,30 @@ def op5_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"))
 
 
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import simhash_groups
+
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_repair import damage, repair_conversations
+
+    return repair_conversations(damage(table(spark, sf_dir, "conversations")))
+
+
+def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_benchmark_decontamination, op3_exact_top_k, op4_token_files, op5_suffix_tree_scores,
         op6_ngram_jaccard_join, op7_url_filters, op8_language_id, op9_chat_formatting, op10_warc_bundles,
+        op11_simhash_near_dedup, op12_conversation_repair, op13_conversation_prefix_trie,
     )
 }
 SQL: dict[str, str] = {
