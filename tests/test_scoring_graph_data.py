@@ -150,7 +150,9 @@ def test_extraction(spark):
     df = spark.createDataFrame([("u1", "d1", 0, "The core fault produces gas in scores."), ("u2", "d2", 0, "The core fault produces gas again.")], "unit_id string, doc_id string, pos int, sentence string")
     ents = graph.match_entities(df, LEX)
     assert [e.canon for e in ents.first().entities] == ["core fault", "gas"]
-    rules = [{"relation": "PRODUCES", "trigger": "produces", "heads": {"fault"}, "tails": {"sign"}, "max_gap": 10, "order": "around"}]
+    from wattlore.operators.relations import LEGAL, TRIGGERS, Rules
+
+    rules = Rules(triggers=TRIGGERS | {"PRODUCES": "produces"}, legal=LEGAL | {"PRODUCES": (("fault",), ("sign",))}, tails={})
     t = graph.aggregate_triples(graph.extract_relations(ents, rules)).collect()
     assert [(r["head"], r.relation, r["tail"], r.support_count, len(r.evidence)) for r in t] == [("core fault", "PRODUCES", "gas", 2, 2)]
 
@@ -256,12 +258,8 @@ def test_claims(spark):
     rows = [("i", "1", "observation", [("tool", "call:0", "x")]), ("i", "2", "nonsense", []), ("i", "3", "mechanism", [("kb", "call:0", ""), ("web", "x", "y")]), ("i", "4", "mechanism", [("kb", "kb:9", "y")])]
     got = {r.id: (r.errors, r.warnings) for r in claims.validate_claims(spark.createDataFrame(rows, ev), catalog).collect()}
     assert got == {"1": ([], []), "2": (["bad_type", "no_evidence"], []), "3": (["bad_ref", "bad_source", "empty_span"], ["x"]), "4": ([], ["kb:9"])}
-    cited = spark.createDataFrame([("i", "1", "observation", "tool", "call:0", '{"H2": 152.04}'), ("i", "2", "mechanism", "kb", "kb:1", "produces  acetylene"), ("i", "3", "observation", "kb", "kb:1", "acetylene gas"), ("i", "4", "mechanism", "kb", "kb:1", "nothing"), ("i", "5", "mechanism", "kb", "kb:7", "x"), ("i", "6", "observation", "tool", "call:0", '{"H2": 170}')], "item_id string, id string, type string, source string, ref string, span string")
-    assert {r.id: r.reason for r in claims.check_evidence(cited, catalog).collect()} == {"1": None, "2": None, "3": "knowledge_as_observation", "4": "span_not_found", "5": "no_such_ref", "6": "span_not_found"}
-    text = spark.createDataFrame([("i", "1", "H2=152"), ("i", "2", "H2=300"), ("i", "3", 'said "H2=300"'), ("i", "4", "看 ETTh1 与 ETTm2，建议停电"), ("i", "5", "无需处理")], "item_id string, id string, text string")
-    values = spark.createDataFrame([("i", "H2", 152.0)], "item_id string, name string, value double")
-    assert {r.id: r.ok for r in claims.check_data(text, values).collect()} == {"1": True, "2": False, "3": True, "4": True, "5": True}
-    scope = {r.id: r.outside for r in claims.check_scope(text, spark.createDataFrame([("i", "etth1")], "item_id string, scope string")).collect()}
+    text = spark.createDataFrame([("i", "1", "H2=152"), ("i", "2", "H2=300"), ("i", "4", "看 ETTh1 与 ETTm2，建议停电"), ("i", "5", "无需处理")], "item_id string, id string, text string")
+    scope = {r.id: r.outside for r in claims.check_scope(text, spark.createDataFrame([("i", "etth1")], "item_id string, scope string"), claims.DATASET).collect()}
     assert scope["4"] == ["ettm2"] and scope["1"] == []
     safe = {r.id: r.reason for r in claims.check_safety(text, spark.createDataFrame([("i", False, True)], "item_id string, measured boolean, high_risk boolean")).collect()}
     assert safe["4"] == "unsupported_action" and safe["5"] == "dismisses_risk" and safe["1"] is None

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.determinism import hash_key, hash_number, largest_remainder, quota_sample  # noqa: F401
+from .claims import NO_ACTION
 from .graph import bigrams
 
 ERRORS = "array<struct<field:string,code:string>>"
@@ -429,9 +430,9 @@ def perturb_candidates(seeds: DataFrame, other_tools: Sequence[str], seed: str |
     return rows.select("seed_id", F.concat_ws("-", F.col("seed_id").cast("string"), "v.source").alias("candidate_id"), "v.source", "v.tools")
 
 
-def inject_errors(claims: DataFrame, id_cols: Sequence[str] = ("item_id", "id"), scopes: Mapping[str, str] | None = None, seed: str | int = 0) -> DataFrame:
+def inject_errors(claims: DataFrame, id_cols: Sequence[str] = ("item_id", "id"), scopes: Mapping[str, str] | None = None, seed: str | int = 0, contradiction: str = NO_ACTION[0]) -> DataFrame:
     """Labelled single-fault variants of claims (text, ref, span), a row for each injector that applies: number changed by
-    0.7 or 1.3, reference that isn't there, span replaced, scope word swapped, contradiction added."""
+    0.7 or 1.3, reference that isn't there, span replaced, scope word swapped, a phrase added that says nothing needs doing."""
     number = F.regexp_extract("text", NUMBERS, 0)
     factor = F.when(F.pmod(hash_number(seed, *id_cols), F.lit(2)) == 0, 0.7).otherwise(1.3)
     changed = F.regexp_replace("text", "^(.*?)" + NUMBERS, F.concat(F.lit("$1"), F.format_string("%.2f", number.try_cast("double") * factor)))
@@ -440,7 +441,7 @@ def inject_errors(claims: DataFrame, id_cols: Sequence[str] = ("item_id", "id"),
     v = lambda name, expects, t, r, s, on: F.when(on, F.struct(F.lit(name).alias("subtype"), F.lit(expects).alias("expected"), t.alias("text"), r.alias("ref"), s.alias("span")))
     made = F.array_compact(F.array(
         v("number", "DATA", changed, ref, span, number != ""), v("fake_ref", "EVIDENCE", text, F.concat(ref, F.lit("-none")), span, ref.isNotNull()), v("span", "EVIDENCE", text, ref, F.lit("no such passage"), span.isNotNull()),
-        v("scope", "SCOPE", scope, ref, span, scope.isNotNull()), v("contradiction", "SAFETY", F.concat(text, F.lit(" No action is needed.")), ref, span, F.lit(True)),
+        v("scope", "SCOPE", scope, ref, span, scope.isNotNull()), v("contradiction", "SAFETY", F.concat(text, F.lit(f" {contradiction}。")), ref, span, F.lit(True)),
     ))
     return claims.select(*id_cols, F.explode(made).alias("x")).select(*id_cols, "x.*")
 

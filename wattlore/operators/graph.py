@@ -10,8 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.determinism import hash_key
-
-TRIPLE = "array<struct<head:string,head_type:string,relation:string,tail:string,tail_type:string>>"
+from .relations import TRIPLE, extract_relations  # noqa: F401
 
 
 def explode_sentences(units: DataFrame, triggers: Sequence[str], lo: int = 10, hi: int = 200, types: Sequence[str] = ("paragraph", "list")) -> DataFrame:
@@ -44,48 +43,6 @@ def match_entities(sentences: DataFrame, lexicon: list[tuple[str, str, str]], te
     return sentences.withColumn("entities", run(F.col(text)))
 
 
-def extract_relations(sentences: DataFrame, rules: Sequence[dict], text: str = "sentence") -> DataFrame:
-    """Add triples by rules over entities. A rule: relation, trigger (regex or ""), heads, tails (types), max_gap, and order
-    "around" (nearest legal head left of the trigger and tail right of it), "between" (head, then the trigger between it and
-    the tail) or "adjacent" (head, then tail, with only a short particle between).
-
-    Enumerations (four or more entities of the head's or tail's type) are skipped, as are equal ends.
-    """
-    compiled = [{**r, "find": re.compile(r["trigger"]) if r.get("trigger") else None} for r in rules]
-
-    def one(s: str, entities) -> list[dict]:
-        out = []
-        es = [dict(e) for e in entities]
-        count: dict[str, int] = {}
-        for e in es:
-            count[e["type"]] = count.get(e["type"], 0) + 1
-        for r in compiled:
-            heads = [e for e in es if e["type"] in r["heads"] and count[e["type"]] < 4]
-            tails = [e for e in es if e["type"] in r["tails"] and count[e["type"]] < 4]
-            pairs = []
-            if r["order"] == "around":
-                if m := r["find"].search(s):
-                    left = [h for h in heads if h["end"] <= m.start() and m.start() - h["end"] <= r["max_gap"]]
-                    right = [t for t in tails if t["start"] >= m.end() and t["start"] - m.end() <= r["max_gap"]]
-                    if left and right:
-                        pairs.append((max(left, key=lambda e: e["end"]), min(right, key=lambda e: e["start"])))
-            else:
-                for h in heads:
-                    for t in tails:
-                        gap = t["start"] - h["end"]
-                        if 0 <= gap <= r["max_gap"] and (r["find"] is None or (r["find"].fullmatch if r["order"] == "adjacent" else r["find"].search)(s[h["end"] : t["start"]])):
-                            pairs.append((h, t))
-            out += [{"head": h["canon"], "head_type": h["type"], "relation": r["relation"], "tail": t["canon"], "tail_type": t["type"]} for h, t in pairs if h["canon"] != t["canon"]]
-        seen = {tuple(x.values()): x for x in out}
-        return list(seen.values())
-
-    @F.pandas_udf(TRIPLE)
-    def run(texts: pd.Series, entities: pd.Series) -> pd.Series:
-        return pd.Series([one(t or "", e if e is not None else []) for t, e in zip(texts, entities)])
-
-    return sentences.withColumn("triples", run(F.col(text), F.col("entities")))
-
-
 def aggregate_triples(sentences: DataFrame, max_evidence: int = 3) -> DataFrame:
     """Distinct triples of sentences: support_count is the number of documents; the first sentences are evidence."""
     rows = sentences.select("doc_id", "unit_id", "pos", "sentence", F.explode("triples").alias("t")).select("doc_id", "unit_id", "pos", "sentence", "t.*").distinct()

@@ -402,7 +402,7 @@ def perturbed_candidates(spark, sf_dir):
     return datasets.perturb_candidates(seeds, ["other"], 3).select("seed_id", "source", F.size("tools").alias("n_tools"))
 
 
-@query("""SELECT conv_id, turn, x.subtype AS subtype, x.expected AS expected, md5(x.text) AS text FROM (SELECT conv_id, turn, unnest([{'subtype': 'fake_ref', 'expected': 'EVIDENCE', 'text': text}, {'subtype': 'contradiction', 'expected': 'SAFETY', 'text': text || ' No action is needed.'}]) AS x FROM conversations WHERE text IS NOT NULL AND NOT regexp_matches(text, '\\d'))""".replace("\\\\", "\\"))
+@query("""SELECT conv_id, turn, x.subtype AS subtype, x.expected AS expected, md5(x.text) AS text FROM (SELECT conv_id, turn, unnest([{'subtype': 'fake_ref', 'expected': 'EVIDENCE', 'text': text}, {'subtype': 'contradiction', 'expected': 'SAFETY', 'text': text || ' 无需处理。'}]) AS x FROM conversations WHERE text IS NOT NULL AND NOT regexp_matches(text, '\\d'))""".replace("\\\\", "\\"))
 def injected_errors(spark, sf_dir):
     """Turns without a number as claims with a reference and no quoted span."""
     rows = table(spark, sf_dir, "conversations").filter("text is not null").filter(~F.col("text").rlike(r"\d"))
