@@ -179,9 +179,10 @@ SCHEMA = {"t": {"required": ["q"], "properties": {"q": {"type": "string"}, "m":
 
 
 @pytest.mark.parametrize("args,code", [('{"q": "x", "m": "z"}', "invalid_enum"), ('{"q": "x", "zz": 1}', "unknown_field"), ('{"q": "x", "n": true}', "type_mismatch"), ("{}", "missing_required"), ('{"q": "x", "l": [1]}', "invalid_item_type"), ("nope", "invalid_json"), ('{"q": "x", "n": null}', None)])
-def test_argument_errors(args, code):
-    assert [e["code"] for e in datasets.argument_errors("t", args, SCHEMA)] == ([code] if code else [])
-    assert datasets.argument_errors("other", args, SCHEMA)[0]["code"] == "unknown_tool"
+def test_argument_errors(spark, args, code):
+    rows = datasets.validate_arguments(spark.createDataFrame([("t", args), ("other", args)], "tool string, args string"), "tool", "args", SCHEMA).collect()
+    got = {r.tool: [e.code for e in r.errors] for r in rows}
+    assert got == {"t": [code] if code else [], "other": ["unknown_tool"]}
 
 
 def test_leaks_equal_all_pairs(spark):
@@ -214,12 +215,7 @@ def test_candidates_and_pairs(spark):
     assert [(p.seed_id, p.chosen, p.rejected) for p in pairs] == [("s", "gold", "bad")]
 
 
-def test_chat_validation_and_parsing():
-    ok = '{"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}'
-    assert datasets.chat_errors(ok) == [] and datasets.chat_errors("{") == ["invalid_json"]
-    assert datasets.chat_errors('{"messages": [{"role": "user", "content": "q", "x": 1}]}') == ["extra_field", "last_not_assistant"]
-    call = '{"messages": [{"role": "assistant", "tool_calls": [{"id": "1", "function": {"name": "f", "arguments": "no"}}]}, {"role": "tool", "tool_call_id": "2"}, {"role": "assistant", "content": ""}]}'
-    assert datasets.chat_errors(call, ["g"]) == ["bad_arguments", "unknown_function", "unmatched_id"]
+def test_parsing():
     assert datasets.parse_calls('```json\n{"steps": [{"tool": "t", "arguments": {"b": 1, "a": 2}}]}\n```') == [{"name": "t", "arguments": '{"a": 2, "b": 1}'}]
     assert datasets.parse_calls("<tool_call>{\"name\": \"f\", \"arguments\": {}}</tool_call>")[0]["name"] == "f" and datasets.parse_calls("free text") is None
 

@@ -13,11 +13,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.determinism import hash_key, hash_number, largest_remainder, quota_sample  # noqa: F401
+from .chat_records import export_chat, validate_arguments, validate_chat  # noqa: F401
 from .claims import NO_ACTION
 from .graph import bigrams
 
-ERRORS = "array<struct<field:string,code:string>>"
-
 
 def template_seeds(source: DataFrame, templates: DataFrame, slots: Sequence[str], category: str, id_cols: Sequence[str], seed: str | int = 0) -> DataFrame:
     """One seed for each source row: a template of its sub_type chosen by hash, {slot} replaced. templates: sub_type, k, n, template."""
@@ -34,46 +33,6 @@ def dedup_seeds(seeds: DataFrame, order: Sequence[str]) -> DataFrame:
     return seeds.groupBy("seed_id").agg(F.min_by(F.struct(*seeds.columns), F.struct(*order)).alias("s")).select("s.*")
 
 
-def argument_errors(tool: str | None, args: str | None, schema: Mapping[str, dict]) -> list[dict]:
-    """Fixed codes: unknown_tool, invalid_json, unknown_field, missing_required, type_mismatch, invalid_enum, invalid_item_type, invalid_item_enum."""
-    if tool not in schema:
-        return [{"field": "", "code": "unknown_tool"}]
-    try:
-        given = json.loads(args or "{}")
-    except ValueError:
-        given = None
-    if not isinstance(given, dict):
-        return [{"field": "", "code": "invalid_json"}]
-    props, required, out = schema[tool].get("properties", {}), schema[tool].get("required", []), []
-    fits = {"string": lambda v: isinstance(v, str), "number": lambda v: isinstance(v, (int, float)) and not isinstance(v, bool), "integer": lambda v: isinstance(v, int) and not isinstance(v, bool), "boolean": lambda v: isinstance(v, bool), "array": lambda v: isinstance(v, list), "object": lambda v: isinstance(v, dict)}
-    out += [{"field": f, "code": "missing_required"} for f in required if given.get(f) is None]
-    for f, v in given.items():
-        if f not in props:
-            out.append({"field": f, "code": "unknown_field"})
-        elif v is None:
-            continue
-        elif not fits.get(props[f].get("type"), lambda _: True)(v):
-            out.append({"field": f, "code": "type_mismatch"})
-        elif "enum" in props[f] and v not in props[f]["enum"]:
-            out.append({"field": f, "code": "invalid_enum"})
-        elif isinstance(v, list) and "items" in props[f]:
-            item = props[f]["items"]
-            if not all(fits.get(item.get("type"), lambda _: True)(x) for x in v):
-                out.append({"field": f, "code": "invalid_item_type"})
-            elif "enum" in item and any(x not in item["enum"] for x in v):
-                out.append({"field": f, "code": "invalid_item_enum"})
-    return out
-
-
-def validate_arguments(df: DataFrame, tool: str, args: str, schema: Mapping[str, dict]) -> DataFrame:
-    """Add errors (field, code) of JSON arguments against the stated schema of tools."""
-    @F.pandas_udf(ERRORS)
-    def run(tools: pd.Series, given: pd.Series) -> pd.Series:
-        return pd.Series([argument_errors(t, a, schema) for t, a in zip(tools, given)])
-
-    return df.withColumn("errors", run(F.col(tool), F.col(args)))
-
-
 def business_success(status: Column, result: Column) -> Column:
     """False for failure statuses, null results and empty lists; null only where the call was never made."""
     return F.when(F.lower(status).isin("error", "no_data", "failed", "no_match", "no_relation"), False).when(result.isNull() | F.trim(result).isin("", "null", "[]"), False).otherwise(True)
@@ -225,91 +184,6 @@ def decision_prefixes(turns: DataFrame, id_col: str = "conv_id", order: str = "t
     return rows.select(id_col, order, "decision_index", "messages", F.col("text").alias("target"))
 
 
-def _with_calls(every: Column) -> Column:
-    """Messages with calls as chat records say them: ids by message and place, arguments as text, tool results by their call's id."""
-    has = lambda j: F.coalesce(F.size(every[j]["tool_calls"]), F.lit(0)) > 0
-    call_id = lambda j, k: F.concat(F.lit("call_"), j.cast("string"), F.lit("_"), k.cast("string"))
-
-    def one(m: Column, i: Column) -> Column:
-        calls = F.transform(m["tool_calls"], lambda c, k: F.struct(call_id(i, k).alias("id"), F.lit("function").alias("type"), F.struct(c["name"].alias("name"), F.coalesce(c["arguments"], F.lit("{}")).alias("arguments")).alias("function")))
-        asked = F.array_max(F.filter(F.sequence(F.lit(0), i), has))  # the last message with calls; a result's place after it tells which
-        own = F.when(m["role"] == "tool", call_id(asked, i - asked - 1))
-        return F.struct(m["role"].alias("role"), F.coalesce(m["text"], F.lit("")).alias("content"), F.when(F.size(m["tool_calls"]) > 0, calls).alias("tool_calls"), own.alias("tool_call_id"))
-
-    return F.transform(every, one)
-
-
-def export_chat(samples: DataFrame, fmt: str = "messages", keep_splits: Sequence[str] = ("train", "dev")) -> DataFrame:
-    """record: JSON text of a sample (messages array<struct<role, text[, tool_calls array<struct<name, arguments>>]>>, target[,
-    split]) as messages or conversations.
-
-    A message's calls get ids and stringified arguments; the tool messages after it answer its calls one after another. In
-    conversations a call is a function_call turn with its JSON, a tool's result an observation.
-    """
-    rows = samples.filter(F.col("split").isin(*keep_splits)) if "split" in samples.columns else samples
-    kind = samples.schema["messages"].dataType.elementType
-    tools = "tool_calls" in kind.fieldNames()
-    last = [F.lit("assistant").alias("role"), F.col("target").alias("text")]
-    if tools:
-        last.append(F.lit(None).cast(kind["tool_calls"].dataType).alias("tool_calls"))
-    every = F.concat("messages", F.array(F.struct(*last)))
-    if fmt == "messages":
-        said = _with_calls(every) if tools else F.transform(every, lambda m: F.struct(m["role"].alias("role"), F.coalesce(m["text"], F.lit("")).alias("content")))
-        return rows.withColumn("record", F.to_json(F.struct(said.alias("messages"))))
-    called = (lambda m: F.coalesce(F.size(m["tool_calls"]), F.lit(0)) > 0) if tools else (lambda m: F.lit(False))
-    name = lambda m: F.when(called(m), "function_call").when(m["role"] == "user", "human").when(m["role"] == "assistant", "gpt").when(m["role"] == "tool", "observation").otherwise(m["role"])
-    value = lambda m: F.when(called(m), F.to_json(m["tool_calls"])).otherwise(F.coalesce(m["text"], F.lit(""))) if tools else F.coalesce(m["text"], F.lit(""))
-    body = F.struct(F.transform(every, lambda m: F.struct(name(m).alias("from"), value(m).alias("value"))).alias("conversations"))
-    return rows.withColumn("record", F.to_json(body))
-
-
-def chat_errors(record: str | None, tools: Sequence[str] | None = None) -> list[str]:
-    """Fixed codes: invalid_json, no_messages, extra_field, bad_role, bad_order, bad_arguments, unknown_function, unmatched_id, last_not_assistant."""
-    try:
-        r = json.loads(record or "")
-        messages = r["messages"]
-    except (ValueError, TypeError, KeyError):
-        return ["invalid_json"]
-    if not messages:
-        return ["no_messages"]
-    out, open_ids = [], set()
-    if set(r) - {"messages", "tools", "chosen", "rejected"}:
-        out.append("extra_field")
-    for i, m in enumerate(messages):
-        role = m.get("role")
-        if set(m) - {"role", "content", "tool_calls", "tool_call_id"}:
-            out.append("extra_field")
-        if role not in ("system", "user", "assistant", "tool"):
-            out.append("bad_role")
-        if role == "system" and i or role == "tool" and not open_ids:
-            out.append("bad_order")
-        for c in m.get("tool_calls") or []:
-            f = c.get("function", {})
-            try:
-                json.loads(f.get("arguments") or "")
-            except (ValueError, TypeError):
-                out.append("bad_arguments")
-            if tools is not None and f.get("name") not in tools:
-                out.append("unknown_function")
-            open_ids.add(c.get("id"))
-        if role == "tool":
-            if m.get("tool_call_id") not in open_ids:
-                out.append("unmatched_id")
-            open_ids.discard(m.get("tool_call_id"))
-    if messages[-1].get("role") != "assistant" and "chosen" not in r:
-        out.append("last_not_assistant")
-    return sorted(set(out))
-
-
-def validate_chat(df: DataFrame, record: str = "record", tools: Sequence[str] | None = None) -> DataFrame:
-    """Add errors: what is wrong with each chat record."""
-    @F.pandas_udf("array<string>")
-    def run(records: pd.Series) -> pd.Series:
-        return records.map(lambda r: chat_errors(r, tools))
-
-    return df.withColumn("errors", run(F.col(record)))
-
-
 def sealed_hash(df: DataFrame, order: str, line: str, bucket: int = 4096) -> DataFrame:
     """n, sha256 of all lines in order. Lines are joined within ranges of ``bucket`` places first, then the ranges' hashes."""
     rows = df.select(F.floor(F.col(order) / bucket).alias("b"), F.col(order).alias("o"), F.col(line).alias("l"))
