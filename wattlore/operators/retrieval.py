@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from ..functions.steps import written
 from .textindex import Index
 
 #: Weights of the channels in the fusion; others weigh 1.
@@ -61,39 +63,65 @@ def summary_channel(queries: DataFrame, index: Index, k: int = 30) -> DataFrame:
     return bm25_topk(queries, index, "summary", k)
 
 
-def dense_topk(queries: DataFrame, items: DataFrame, k: int = 30, max_query_floats: int = 16_000_000) -> DataFrame:
+def _blocks(rows: DataFrame, id_col: str, floats: int) -> DataFrame:
+    """Vectors packed into rows of about ``floats`` numbers: ids and one binary matrix of doubles. Rows are dealt as they come, so no id is hot."""
+    def pack(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, parts, held = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(kind)), pa.array([b"".join(parts)], pa.binary())], ["ids", "matrix"])
+
+        for f in frames:
+            for i, v in zip(f.column(0).to_pylist(), f.column(1).to_pylist()):
+                if v is None:
+                    continue
+                ids.append(i)
+                parts.append(np.asarray(v, np.float64).tobytes())
+                held += len(v)
+                if held >= floats:
+                    yield flush()
+                    ids, parts, held = [], [], 0
+        if ids:
+            yield flush()
+
+    own = rows.select(id_col, F.col("embedding").cast("array<double>").alias("embedding"))
+    kind = to_arrow_type(own.schema[0].dataType)
+    return own.mapInArrow(pack, f"ids array<{own.schema[0].dataType.simpleString()}>, matrix binary")
+
+
+def dense_topk(queries: DataFrame, items: DataFrame, k: int = 30, block_floats: int = 2_000_000) -> DataFrame:
     """qid, item_id, score, rank by dot product with the normalised query (items are taken as unit vectors).
 
-    Query blocks of at most max_query_floats numbers are sent to the items; each batch of items keeps its best k for each
-    query, and the batches' answers are ranked together. A query set of any size makes more blocks.
+    queries: qid, embedding; items: item_id, embedding, all of one length; rows without a vector are left out. Both sides
+    are packed into blocks of about block_floats numbers, every block of queries meets every block of items in some task,
+    which keeps each query's best k of that block with all that tie with the k-th, and these answers are ranked together. Nothing
+    goes through the driver; a task holds two blocks and their product.
     """
+    q_type, i_type = queries.schema["qid"].dataType, items.schema["item_id"].dataType
+    asked = written(_blocks(queries, "qid", block_floats)).select(F.col("ids").alias("qids"), F.col("matrix").alias("q"))
+    known = written(_blocks(items, "item_id", block_floats))
     spark = queries.sparkSession
-    shape = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
-    n, d = shape["n"] or 0, shape["d"] or 1
-    blocks = max(1, -(-n * d // max_query_floats))
-    out = None
-    for i in range(blocks):
-        part = queries.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i).select("qid", "embedding").toPandas()
-        q = np.array(part["embedding"].tolist(), np.float64).reshape(len(part), d)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
-        held = spark.sparkContext.broadcast((part["qid"].to_numpy(), q))
-
-        def run(frames, held=held):
-            qids, q = held.value
-            for pdf in frames:
-                if not len(pdf) or not len(qids):
-                    continue
-                x = np.array(pdf["embedding"].tolist(), np.float64)
-                scores = q @ x.T
-                m = min(k, len(pdf))
-                # ties at the edge of a batch's k: keep all that equal its k-th score
-                edge = -np.partition(-scores, m - 1, axis=1)[:, m - 1 : m]
-                a, b = np.nonzero(scores >= edge)
-                yield pd.DataFrame({"qid": qids[a], "item_id": pdf["item_id"].to_numpy()[b], "score": scores[a, b]})
-
-        got = items.select("item_id", "embedding").mapInPandas(run, f"qid {queries.schema['qid'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, score double")
-        out = got if out is None else out.unionByName(got)
-    return _ranked(out.withColumn("score", F.round("score", 9)), k)
+    parts = max(1, min(known.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    names = ["qid", "item_id", "score"]
+    kinds = [to_arrow_type(q_type), to_arrow_type(i_type), pa.float64()]
+
+    def meet(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in frames:
+            for ids, m, qids, q in zip(*(f.column(c) for c in ("ids", "matrix", "qids", "q"))):
+                ids, qids = ids.as_py(), qids.as_py()
+                x, y = (np.frombuffer(b.as_py(), np.float64).reshape(n, -1) for b, n in ((m, len(ids)), (q, len(qids))))
+                y = y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
+                best = min(k, len(ids))
+                step = max(1, 4_000_000 // len(ids))
+                for at in range(0, len(qids), step):
+                    scores = y[at : at + step] @ x.T
+                    edge = -np.partition(-scores, best - 1, axis=1)[:, best - 1 : best]
+                    a, b = np.nonzero(scores >= edge - 1e-9)
+                    yield pa.RecordBatch.from_arrays([pa.array([qids[at + i] for i in a.tolist()], kinds[0]), pa.array([ids[i] for i in b.tolist()], kinds[1]), pa.array(scores[a, b])], names)
+
+    met = known.repartition(parts).crossJoin(asked)  # blocks by blocks: a stated query set against all rows
+    found = met.mapInArrow(meet, f"qid {q_type.simpleString()}, item_id {i_type.simpleString()}, score double")
+    return _ranked(found.withColumn("score", F.round("score", 9)), k)
 
 
 def rrf_fuse(channels: Mapping[str, DataFrame], weights: Mapping[str, float] = WEIGHTS, k: int = 60) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.steps import written
 from .chunking import SENTENCE
 
 
@@ -56,19 +58,39 @@ class Index:
     b: float = 0.75
 
 
-def bm25_index(items: DataFrame, id_col: str, tokens: str, layer: str | Column, k1: float = 1.5, b: float = 0.75, eps: float = 0.25) -> Index:
-    """Okapi BM25 tables. idf = ln(n - df + 0.5) - ln(df + 0.5); negative ones become eps * mean idf over all terms."""
+def bm25_index(items: DataFrame, id_col: str, tokens: str, layer: str | Column, k1: float = 1.5, b: float = 0.75, eps: float = 0.25, only: DataFrame | None = None) -> Index:
+    """Okapi BM25 tables. idf = ln(n - df + 0.5) - ln(df + 0.5); negative ones become eps * mean idf over all terms.
+
+    Document frequencies are counted over every term, in one aggregation that is combined before its shuffle. only: terms
+    (column term) that queries ask for; postings of others are dropped before anything is grouped. Items without tokens
+    count in n and avgdl and have no postings.
+    """
     layer = F.lit(layer) if isinstance(layer, str) else layer
     rows = items.select(layer.alias("layer"), F.col(id_col).alias("item_id"), F.col(tokens).alias("t")).withColumn("dl", F.size("t"))
     stats = rows.groupBy("layer").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    postings = rows.select("layer", "item_id", "dl", F.explode("t").alias("term")).groupBy("layer", "term", "item_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    terms = postings.groupBy("layer", "term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(stats), "layer")  # a row for each layer
+    said = rows.select("layer", "item_id", "dl", F.explode("t").alias("term"))
+    if only is not None:
+        said = said.join(only.select("term").distinct(), "term", "left_semi")
+    postings = said.groupBy("layer", "term", "item_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    terms = rows.select("layer", F.explode(F.array_distinct("t")).alias("term")).groupBy("layer", "term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(stats), "layer")  # a row for each layer
     terms = terms.withColumn("raw", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
     mean = terms.groupBy("layer").agg(F.avg("raw").alias("mean"))
     terms = terms.join(F.broadcast(mean), "layer").select("layer", "term", "df", F.when(F.col("raw") < 0, eps * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
     return Index(postings, terms, stats, k1, b)
 
 
+def layered_index(layers: Mapping[str, DataFrame], queries: DataFrame | None = None, **options: float) -> Index:
+    """One written index of several layers (item_id, tokens each), for queries (tokens) alone where they are given.
+
+    Postings lie by term, so that a search reads them without another grouping; delete it with steps.dropped(index.postings, index.terms).
+    """
+    rows = reduce(DataFrame.unionByName, (df.select(F.col("item_id").cast("string").alias("item_id"), "tokens", F.lit(name).alias("_layer")) for name, df in layers.items()))
+    only = queries.select(F.explode("tokens").alias("term")).distinct() if queries is not None else None
+    index = bm25_index(rows, "item_id", "tokens", F.col("_layer"), only=only, **options)
+    terms = index.terms if only is None else index.terms.join(only, "term", "left_semi")
+    return Index(written(index.postings.repartition("term").sortWithinPartitions("term")), written(terms), index.stats, index.k1, index.b)
+
+
 def sub_chunks(text: str | None, lo: int, hi: int) -> list[str]:
     out, now = [], ""
     for s in (x for x in SENTENCE.split(text or "") if x.strip()):

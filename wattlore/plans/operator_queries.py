@@ -192,7 +192,7 @@ def naive_search(spark, sf_dir):
     from .queries import document_index
 
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), words("text").alias("tokens"))
-    found = retrieval.search(queries, document_index(spark, sf_dir), None, None, "naive", 10, 30)
+    found = retrieval.search(queries, document_index(spark, sf_dir, queries), None, None, "naive", 10, 30)
     again = found.withColumn("score", F.round("score", 6))
     return again.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "item_id"))).filter("rank <= 5")
 

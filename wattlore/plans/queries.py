@@ -135,14 +135,20 @@ def words(text):
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def document_index(spark, sf_dir) -> textindex.Index:
+def document_index(spark, sf_dir, queries: DataFrame | None = None) -> textindex.Index:
+    """BM25 over documents; of the terms that queries (tokens) ask for alone, where they are given."""
     docs = table(spark, sf_dir, "documents").select("doc_id", words("text").alias("tokens"))
-    return textindex.bm25_index(docs, "doc_id", "tokens", "chunk")
+    only = queries.select(F.explode("tokens").alias("term")).distinct() if queries is not None else None
+    return textindex.bm25_index(docs, "doc_id", "tokens", "chunk", only=only)
+
+
+def benchmark_queries(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"), words("text").alias("tokens"))
 
 
 def benchmark_ranks(spark, sf_dir) -> DataFrame:
-    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), words("text").alias("tokens"))
-    top = retrieval.bm25_topk(queries, document_index(spark, sf_dir), "chunk", 30)
+    queries = benchmark_queries(spark, sf_dir)
+    top = retrieval.bm25_topk(queries, document_index(spark, sf_dir, queries), "chunk", 30)
     scored = top.withColumn("score", F.round("score", 6))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "item_id"))).filter("rank <= 10")
 
@@ -176,7 +182,7 @@ def rank_fusion(spark, sf_dir):
     """BM25 over documents fused with BM25 over an index of their sub-chunks, each document at its best sub-chunk's place."""
     benchmark = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), words("text").alias("tokens"))
     subs = textindex.split_subchunks(table(spark, sf_dir, "documents"), "doc_id", "text")
-    index = textindex.bm25_index(subs.select("sub_id", words("body").alias("tokens")), "sub_id", "tokens", "sub")
+    index = textindex.bm25_index(subs.select("sub_id", words("body").alias("tokens")), "sub_id", "tokens", "sub", only=benchmark.select(F.explode("tokens").alias("term")))
     parents = subs.select(F.col("sub_id").alias("item_id"), "parent_id")
     fused = retrieval.rrf_fuse({"bm25": benchmark_ranks(spark, sf_dir), "sub": retrieval.subchunk_channel(benchmark, index, parents)})
     return fused.select("qid", "item_id", F.round("score", 9).alias("score"))
