@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wattlore.functions import determinism as D
-from wattlore.operators import bayes, claims, datasets, graph, logs, policy, records, series
+from wattlore.operators import bayes, claims, datasets, fusion, graph, logs, policy, records, series
 
 
 def test_ratio_codes(spark):
@@ -69,14 +69,34 @@ def test_information_gain(spark):
     assert {r.stop for r in stop} == {"entropy"} and {r.action for r in stop} == {"conclude"}
 
 
-def test_fit_weights_never_hurts(spark):
+def test_cross_validation_against_plain_fits(spark):
     import pandas as pd
 
     rng = np.random.default_rng(0)
-    table = pd.DataFrame({"s": rng.random(50) < 0.5, "boost_a": rng.choice([0, 0.8], 50), "boost_b": 0.0, "label": rng.choice(["a", "b"], 50), "n": 1})
-    m = bayes.PatternModel(table, ["a", "b"], ["s"], {"a": 0.5, "b": 0.5}, {"a": {"s": 0.8}, "b": {"s": 0.3}})
-    w = bayes.fit_fusion_weights(m)
-    assert m.nll(w) <= m.nll(np.full(2, 0.7)) and m.nll(w, bayes.fit_temperature(m, w)) <= m.nll(w) + 1e-9
+    classes, symptoms = ["a", "b", "c"], ["s", "t"]
+    n = 400
+    maybe = lambda: [None if x < 0.2 else bool(x < 0.6) for x in rng.random(n)]
+    rows = pd.DataFrame({"s": maybe(), "t": maybe(), "boost_a": rng.choice([0, 0.8], n), "boost_b": rng.choice([0, 0.0, 0.3], n), "fault": rng.choice(["a", "b", "c", "other", None], n, p=[0.4, 0.2, 0.2, 0.1, 0.1]), "fold": rng.integers(0, 3, n), "half": rng.integers(0, 2, n)})
+    df = spark.createDataFrame([tuple(None if x is None or x != x else x for x in r) for r in rows.astype(object).itertuples(index=False)], "s boolean, t boolean, boost_a double, boost_b double, fault string, fold long, half int")
+    got = {r.fold: r for r in bayes.cross_validate(df, "fault", classes, symptoms).collect()}
+    table = bayes.patterns(df, "fault", symptoms, classes, ["fold", "half"]).toPandas()
+    for k in range(3):
+        train, val = table[table["fold"] != k], table[table["fold"] == k]
+        counts = pd.DataFrame({"label": train["label"], "n": train["n"], **{f"pos_{s}": train["n"] * (train[s] == True).astype(int) for s in symptoms}})  # noqa: E712
+        counts["label"] = counts["label"].fillna("none")
+        learned = bayes.params_from_counts(counts, classes, symptoms)
+        fit, test = (bayes.PatternModel(val[val["half"] == h], classes, symptoms, learned["prior"], learned["cpt"]) for h in (0, 1))
+        w = np.full(3, 0.7)
+        best = fit.nll(w)
+        for _ in range(2):
+            for i in range(3):
+                for g in fusion.GRID:
+                    trial = np.where(np.arange(3) == i, g, w)
+                    if (v := fit.nll(trial)) < best - 1e-9:
+                        w, best = trial, v
+        t = min(fusion.TEMPERATURES, key=lambda t: (round(fit.nll(w, t), 12), t))
+        assert (got[k].nll_default, got[k].nll_weights, got[k].nll_both, got[k].t) == pytest.approx((test.nll(np.full(3, 0.7)), test.nll(w), test.nll(w, t), t), abs=1e-9)
+        assert fit.nll(w, t) <= fit.nll(w) + 1e-12 <= fit.nll(np.full(3, 0.7)) + 1e-9
 
 
 def test_masking_and_quotas(spark):

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.determinism import hash_number
+from . import fusion
 
 Params = Mapping[str, Mapping]  # prior {class: p}, cpt {class: {symptom: p_true}}, weights {class: w}
 
@@ -138,41 +139,9 @@ class PatternModel:
         return float(-(self.n[some] * np.log(np.maximum(p, 1e-12))).sum() / max(self.n[some].sum(), 1e-12))
 
 
-def fit_fusion_weights(model: PatternModel, grid: Sequence[float] = tuple(np.linspace(0, 1, 11)), passes: int = 2, start: float = 0.7) -> np.ndarray:
-    """Coordinate descent on the negative log likelihood, improvements above 1e-9 only."""
-    w = np.full(len(model.classes), start)
-    best = model.nll(w)
-    for _ in range(passes):
-        for i in range(len(w)):
-            for g in grid:
-                trial = w.copy()
-                trial[i] = g
-                value = model.nll(trial)
-                if value < best - 1e-9:
-                    w, best = trial, value
-    return w
-
-
-def fit_temperature(model: PatternModel, w: np.ndarray, grid: Sequence[float] = tuple(np.linspace(0.5, 2.5, 41))) -> float:
-    return float(min(grid, key=lambda t: (round(model.nll(w, t), 12), t)))
-
-
-def cross_validate(df: DataFrame, label: str, classes: Sequence[str], symptoms: Sequence[str], fold: str = "fold", half: str = "half", alpha: float = 1.0) -> pd.DataFrame:
-    """fold, nll of the default fusion, of fitted weights, of weights and temperature on the evaluation half, t.
-
-    One aggregation of patterns by fold and half holds all that k rounds of learning, fitting and evaluating need.
-    """
-    table = patterns(df, label, symptoms, classes, [fold, half]).toPandas()  # distinct observation patterns
-    rows = []
-    for k in sorted(table[fold].unique()):
-        train, val = table[table[fold] != k], table[table[fold] == k]
-        counts = pd.DataFrame({"label": train["label"], "n": train["n"], **{f"pos_{s}": train["n"] * (train[s] == True).astype(int) for s in symptoms}})  # noqa: E712  null is not True
-        learned = params_from_counts(counts, classes, symptoms, alpha)
-        fit, test = (PatternModel(val[val[half] == h], classes, symptoms, learned["prior"], learned["cpt"]) for h in (0, 1))
-        w0, w = np.full(len(classes), 0.7), fit_fusion_weights(fit)
-        t = fit_temperature(fit, w)
-        rows.append((int(k), test.nll(w0), test.nll(w), test.nll(w, t), t))
-    return pd.DataFrame(rows, columns=["fold", "nll_default", "nll_weights", "nll_both", "t"])
+def cross_validate(df: DataFrame, label: str, classes: Sequence[str], symptoms: Sequence[str], fold: str = "fold", half: str = "half", alpha: float = 1.0) -> DataFrame:
+    """fusion.cross_validate of rows: one aggregation of patterns by fold and half holds all that learning, fitting and evaluating need."""
+    return fusion.cross_validate(patterns(df, label, symptoms, classes, [fold, half]), classes, symptoms, fold, half, alpha)
 
 
 def calibration_metrics(df: DataFrame, classes: Sequence[str], label: str, bins: int = 15) -> tuple[DataFrame, DataFrame]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import determinism as D
-from ..operators import bayes, chunking, claims, corpus, datasets, graph, logs, policy, rank_eval, records, retrieval, series, textindex
+from ..operators import bayes, chunking, claims, corpus, datasets, fusion, graph, logs, policy, rank_eval, records, retrieval, series, textindex
 from ..streaming import anomalies
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -439,7 +439,21 @@ def learned_parameters(spark, sf_dir):
 def cross_validation(spark, sf_dir):
     rows = D.stratified_folds(labelled(spark, sf_dir), "fault", 3, "cv", "user_id")
     rows = rows.withColumn("half", F.pmod(D.hash_number("h", "user_id", "day"), F.lit(2)))
-    return spark.createDataFrame(bayes.cross_validate(rows, "fault", FAULTS, SYMPTOMS).round(5))
+    out = bayes.cross_validate(rows, "fault", FAULTS, SYMPTOMS)
+    return out.select(F.col("fold").cast("long").alias("fold"), *[F.round(c, 5).alias(c) for c in ("nll_default", "nll_weights", "nll_both", "t")])
+
+
+_MIXED = [f"CASE WHEN boost_{f} > 0 THEN {'g' if i == 0 else '0.7'} * l_{f} / z + (1 - {'g' if i == 0 else '0.7'}) * boost_{f} ELSE l_{f} / z END" for i, f in enumerate(FAULTS)]
+
+
+@query(f"""WITH {SCORED_SQL}, tried AS (SELECT *, {_TRUTH} AS fault, user_id % 2 AS half, unnest([0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])::DOUBLE AS g FROM z),
+won AS (SELECT half, g, CASE fault {' '.join(f"WHEN '{f}' THEN {m}" for f, m in zip(FAULTS, _MIXED))} END / ({' + '.join(_MIXED)}) AS p FROM tried) SELECT half::BIGINT AS half, g AS value, round(avg(-ln(greatest(p, 1e-12))), 6) AS nll FROM won WHERE p IS NOT NULL GROUP BY half, g""")
+def fusion_sweep(spark, sf_dir):
+    """One coordinate round of fitting: the loss for every weight of the first fault, in two halves at once."""
+    table_ = bayes.patterns(labelled(spark, sf_dir).withColumn("half", F.col("user_id") % 2), "fault", SYMPTOMS, FAULTS, ["half"])
+    scored_ = fusion.score_patterns(table_.select("*", *fusion.stated_params(PRIOR, CPT, FAULTS, SYMPTOMS)), FAULTS, SYMPTOMS)
+    out = fusion.sweep(scored_, ["half"], F.array(*[F.lit(0.7)] * len(FAULTS)), 0)
+    return out.select("half", "value", F.round("nll", 6).alias("nll"))
 
 
 @query()
