@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import free_name, string_buffers
+from .common import free_name, release_memory, string_buffers
 from .words import M1, M2, M3, hash_spans, spans
 
 UNKNOWN = "und"
@@ -262,6 +262,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             names, score = label_texts(shared.value, f.column(letters)) if shared.value.languages else ([UNKNOWN] * f.num_rows, np.zeros(f.num_rows))
             columns = [f.column(c) for c in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], [*kept, "lang_pred", "lang_score"])
+        f = columns = names = score = None
+        release_memory()
 
     schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
     return rows.mapInArrow(run, schema)
