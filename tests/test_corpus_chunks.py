@@ -1,5 +1,7 @@
 import json
 
+import numpy as np
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -240,3 +242,47 @@ def test_queries_over_the_whole_job(spark, tmp_path):
     events = [(1, day(2), 1, "a"), (2, day(20), 1, "a"), (3, day(20), 1, "b"), (4, day(21), 1, "b"), (5, day(16), 2, "a"), (6, day(15), 3, "a"), (7, day(15), 3, "a")]
     spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string").write.parquet(f"{d}/events.parquet")
     assert {(r.event_id, r.reason) for r in queries.QUERIES["repeated_calls"](spark, d).collect()} == {(2, "made"), (4, "repeated")}
+
+
+def plain_units(doc):
+    """merge_and_group of one document, block by block."""
+    import re
+
+    caption, context = re.compile(r"^(图|表|Fig(ure)?\.?|Table)\s*[0-9]+", re.I), re.compile(r"^(式中|其中|where\b)", re.I)
+    units = []
+    for order, page, kind, text in doc:
+        last = units[-1] if units else None
+        both = last is not None and kind == last["type"]
+        if both and kind == "paragraph" and page == last["page"] + 1 and not re.search(r"[。！？.!?;；:：]\s*$", last["text"]) and not caption.match(text) and not caption.match(last["text"]):
+            last["text"] += text
+            last["pages"].append(page)
+        elif both and kind == "equation":
+            last["text"] += "\n" + text
+            last["latex"].append(text)
+        else:
+            unit = {"order": order, "page": page, "type": kind, "text": text, "pages": [], "latex": [text] if kind == "equation" else [], "before": None, "after": None}
+            if kind == "equation" and last is not None and last["type"] == "paragraph" and len(last["text"]) <= 300:
+                unit["before"] = last["text"]
+            if kind == "paragraph" and last is not None and last["type"] == "equation" and context.match(text):
+                last["after"] = text
+            units.append(unit)
+    return [tuple(u.values()) for u in units]
+
+
+def test_merging_against_a_plain_scan(spark):
+    rng = np.random.default_rng(7)
+    texts = ["open", "closed.", "Table 3 of", "where x", "Figure 2", "ends; ", "long " * 80, "式中 a"]
+    rows, want = [], {}
+    for d in range(250):
+        page, doc = 1, []
+        for o in range(int(rng.integers(1, 25))):
+            page += int(rng.choice([0, 0, 1, 1, 1, 2], p=[0.25, 0.2, 0.25, 0.15, 0.1, 0.05]))
+            doc.append((o, page, str(rng.choice(["paragraph", "title", "equation", "table"], p=[0.8, 0.05, 0.1, 0.05])), str(rng.choice(texts, p=[0.6, 0.08, 0.06, 0.08, 0.04, 0.04, 0.05, 0.05]))))
+        want[f"d{d}"] = plain_units(doc)
+        rows += [(f"d{d}", *x) for x in doc]
+    df = spark.createDataFrame(rows, "doc_dir string, block_order int, page int, type string, text string")
+    got = {}
+    for r in corpus.merge_and_group(df).orderBy("doc_dir", "block_order").collect():
+        got.setdefault(r.doc_dir, []).append((r.block_order, r.page, r.type, r.text, r.merged_pages, r.latex, r.context_before, r.context_after))
+    assert got == want
+    assert corpus.merge_and_group(df.limit(0)).count() == 0

@@ -102,39 +102,61 @@ def infer_title_level(blocks: DataFrame, max_len: int = 60, patterns=HEADINGS) -
     return out.withColumns({"level": level.cast("int"), "type": F.when(demoted, "paragraph").otherwise(F.col("type"))}).drop("_nth")
 
 
-CAPTION = re.compile(r"^(图|表|Fig(ure)?\.?|Table)\s*[0-9]+", re.I)
-CONTEXT = re.compile(r"^(式中|其中|where\b)", re.I)
-
-
-def _merge(doc: pd.DataFrame) -> pd.DataFrame:
-    rows: list[dict] = []
-    for r in doc.sort_values("block_order").to_dict("records"):
-        last = rows[-1] if rows else None
-        if r["type"] == "paragraph" and last is not None and last["type"] == "paragraph" and r["page"] == last["page"] + 1 and not re.search(r"[。！？.!?;；:：]\s*$", last["text"]) and not CAPTION.match(r["text"]) and not CAPTION.match(last["text"]):
-            last["text"] += r["text"]
-            last["merged_pages"] = [*last["merged_pages"], int(r["page"])]
-            continue
-        r |= {"merged_pages": [], "latex": [], "context_before": None, "context_after": None}
-        if r["type"] == "equation" and last is not None and last["type"] == "equation" and not last["context_after"]:
-            last["latex"] = [*last["latex"], r["text"]]
-            last["text"] += "\n" + r["text"]
-            continue
-        if r["type"] == "equation":
-            r["latex"] = [r["text"]]
-            if last is not None and last["type"] == "paragraph" and len(last["text"]) <= 300:
-                r["context_before"] = last["text"]
-        elif r["type"] == "paragraph" and last is not None and last["type"] == "equation" and CONTEXT.match(r["text"]):
-            last["context_after"] = r["text"]
-        rows.append(r)
-    return pd.DataFrame(rows, columns=[*doc.columns, "merged_pages", "latex", "context_before", "context_after"])
+#: How captions and explanations of equations begin.
+CAPTION = r"(?i)^(图|表|Fig(ure)?\.?|Table)\s*[0-9]+"
+CONTEXT = r"(?i)^(式中|其中|where\b)"
+
+
+def _starts(blocks: DataFrame) -> DataFrame:
+    """Add _start: whether a block begins a unit, as a segmented scan over windows.
+
+    A paragraph can go on from the one right before it if that is open-ended and neither is a caption. It does if it lies on the page after
+    the first page of the unit that goes on there. In a stretch of such blocks, runs of one page then begin units and go on in
+    turn: a run on the next page goes on if the run before it did not, and the turn begins anew behind a run that can't go on or that breaks inside.
+    """
+    w = Window.partitionBy("doc_dir").orderBy("block_order")
+    before = lambda c: F.lag(c).over(w)
+    text = F.coalesce("text", F.lit(""))
+    rows = blocks.withColumns({"_cap": text.rlike(CAPTION), "_open": ~text.rlike(r"[。！？.!?;；:：]\s*\z"), "_para": F.coalesce(F.col("type") == "paragraph", F.lit(False))})
+    link = F.col("_para") & F.coalesce(before("_para") & before("_open"), F.lit(False)) & ~F.col("_cap")
+    turn = F.coalesce(F.col("page") != before("page"), F.lit(True)) | ~F.col("_para") | ~F.coalesce(before("_para"), F.lit(False))
+    rows = rows.withColumns({"_link": link, "_next": link & F.coalesce(F.col("page") == before("page") + 1, F.lit(False)) & ~F.coalesce(before("_cap"), F.lit(False)), "_turn": turn})
+    rows = rows.withColumn("_run", F.sum(F.col("_turn").cast("int")).over(w))
+    in_run = Window.partitionBy("doc_dir", "_run").orderBy("block_order")
+    rows = rows.withColumn("_broken", F.max((~F.col("_turn") & ~F.col("_link")).cast("int")).over(in_run) > 0)
+    # one row a run tells which runs go on from the one before: every other one since the last that can't or that breaks
+    runs = rows.groupBy("doc_dir", "_run").agg(F.min_by("_next", "block_order").alias("can"), F.max("_broken").alias("broken"))
+    by_run = Window.partitionBy("doc_dir").orderBy("_run")
+    reset = F.max(F.when(~F.col("can"), F.col("_run")).when(F.lag("broken").over(by_run), F.col("_run") - 1)).over(by_run)
+    runs = runs.withColumn("_reset", reset).select("doc_dir", "_run", (F.col("can") & ((F.col("_run") - F.col("_reset")) % 2 == 1)).alias("_on"))
+    rows = rows.join(runs, ["doc_dir", "_run"])
+    goes = F.when(F.col("_turn"), F.col("_on")).otherwise(F.col("_on") & ~F.col("_broken"))
+    equation = (F.col("type") == "equation") & (before("type") == "equation")
+    return rows.withColumn("_start", ~F.coalesce(goes | equation, F.lit(False)))
 
 
 def merge_and_group(blocks: DataFrame) -> DataFrame:
-    """Per document in one pass: paragraphs that run over to the next page merge (never past first page + 1), consecutive
-    equations become one unit with the paragraph before and the explanation after as context."""
-    new = {"merged_pages": T.ArrayType(T.IntegerType()), "latex": T.ArrayType(T.StringType()), "context_before": T.StringType(), "context_after": T.StringType()}
-    schema = T.StructType([*blocks.schema.fields, *[T.StructField(k, v) for k, v in new.items()]])
-    return blocks.groupBy("doc_dir").applyInPandas(_merge, schema)
+    """Blocks (doc_dir, block_order, page, type, text, others) as units, with merged_pages, latex, context_before and context_after.
+
+    Paragraphs that run over to the next page merge (never past first page + 1), consecutive equations become one unit with the
+    paragraph before (of up to 300 characters) and the explanation after it as context. A unit keeps its first block's other
+    columns. Blank paragraphs are open-ended; drop them before. All of it is windows and one grouping by unit.
+    """
+    w = Window.partitionBy("doc_dir").orderBy("block_order")
+    rows = _starts(blocks).withColumn("_unit", F.sum(F.col("_start").cast("int")).over(w))
+    part = F.struct("block_order", "page", F.coalesce("text", F.lit("")).alias("text"))
+    own = [c for c in blocks.columns if c not in ("doc_dir", "text")]
+    units = rows.groupBy("doc_dir", "_unit").agg(F.array_sort(F.collect_list(part)).alias("_parts"), *(F.min_by(c, "block_order").alias(c) for c in own))
+    equation, texts = F.col("type") == "equation", F.transform("_parts", lambda x: x["text"])
+    units = units.withColumns({
+        "text": F.when(equation, F.array_join(texts, "\n")).otherwise(F.array_join(texts, "")), "latex": F.when(equation, texts).otherwise(F.array().cast("array<string>")),
+        "merged_pages": F.when(equation, F.array().cast("array<int>")).otherwise(F.transform(F.slice("_parts", F.lit(2), F.size("_parts")), lambda x: x["page"].cast("int"))), "_first": F.get(texts, F.lit(0)),
+    })
+    last, after = (lambda c: F.lag(c).over(w)), (lambda c: F.lead(c).over(w))
+    before = F.when(equation & (last("type") == "paragraph") & (F.length(last("text")) <= 300), last("text"))
+    behind = F.when(equation & (after("type") == "paragraph") & after("_first").rlike(CONTEXT), after("_first"))
+    units = units.withColumns({"context_before": before, "context_after": behind})
+    return units.select(*blocks.columns, "merged_pages", "latex", "context_before", "context_after")
 
 
 def infer_captions(units: DataFrame, pattern: str = r"^(图|表|Fig(ure)?\.?|Table)\s*[0-9]+", max_len: int = 80) -> DataFrame:
