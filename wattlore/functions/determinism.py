@@ -21,10 +21,15 @@ def split_by_group(df: DataFrame, group: str, fractions: Sequence[tuple[str, flo
     """Add ``split``: groups in hash order are cut at floor boundaries; all rows of a group share its split.
 
     rule "boundary" cuts at floor(n * cumulative share); "counts" gives each split floor(n * share) groups and the last one
-    the rest. Only the distinct groups are ranked, not the rows.
+    the rest. Only the distinct groups are ranked, not the rows, and no task ranks them all: a group's rank is its rank among
+    those with the same first three digits of the hash, after all groups of lower digits.
     """
-    groups = df.select(group).distinct()
-    ranked = groups.withColumn("_r", F.row_number().over(Window.orderBy(hash_key(seed, group), group))).crossJoin(F.broadcast(groups.agg(F.count(F.lit(1)).alias("_n"))))
+    groups = df.select(group).distinct().withColumn("_k", hash_key(seed, group)).withColumn("_b", F.substring("_k", 1, 3))
+    sizes = groups.groupBy("_b").agg(F.count(F.lit(1)).alias("_s"))  # 4096 rows at most
+    upto = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_b", F.coalesce(F.sum("_s").over(upto), F.lit(0)).alias("_before"), F.sum("_s").over(Window.partitionBy()).alias("_n"))
+    own = F.row_number().over(Window.partitionBy("_b").orderBy("_k", group))
+    ranked = groups.withColumn("_r", own).join(sizes, "_b").withColumn("_r", F.col("_r") + F.col("_before"))
     edge, total, out = F.lit(0).cast("long"), 0.0, F.lit(fractions[-1][0])
     edges = []
     for name, share in fractions[:-1]:

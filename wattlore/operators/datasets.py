@@ -13,9 +13,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.determinism import hash_key, hash_number, largest_remainder, quota_sample  # noqa: F401
+from ..functions.steps import written
 from .chat_records import export_chat, validate_arguments, validate_chat  # noqa: F401
 from .claims import NO_ACTION
 from .graph import bigrams
+from .sealed import check_sealed, sealed_hash  # noqa: F401
 
 
 def template_seeds(source: DataFrame, templates: DataFrame, slots: Sequence[str], category: str, id_cols: Sequence[str], seed: str | int = 0) -> DataFrame:
@@ -82,25 +84,34 @@ def _part_keys(sets: pd.Series, thr: float) -> pd.Series:
     return pd.Series(out)
 
 
+def _parity(hashes: Column, lane: int) -> Column:
+    """A 64-bit number: bit i tells whether an odd number of hashes fall on bit i of this lane, of four."""
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, h: F.when(F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(3)) == lane, acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")))).otherwise(acc))
+
+
 def near_duplicate_leaks(train: DataFrame, test: DataFrame, text: str = "text", train_id: str = "train_id", test_id: str = "test_id", thr: float = 0.9) -> DataFrame:
     """train_id, test_id, jaccard above thr, without comparing all pairs.
 
     Sets of sizes up to h that are alike to more than thr differ in fewer than (1 - thr) / (1 + thr) * 2h elements. With
     their elements dealt to as many parts by hash, one part at least is the same in both, so texts meet on equal parts only,
-    within classes of sizes that thr allows. Equal texts are taken once; every pair that meets is compared exactly.
+    within classes of sizes that thr allows. Four numbers of parity bits go along: two sets have no fewer elements apart than bits, so
+    most pairs that meet by chance end before any set is joined to them. Equal texts are taken once; what is left is compared exactly.
     """
     def side(df: DataFrame, name: str) -> DataFrame:
         rows = df.select(F.col(text).alias("t")).distinct().select(F.md5("t").alias(name), F.filter(grams(F.col("t")), lambda g: g != "").alias("g"))
-        return rows.filter(F.size("g") > 0).select(name, F.transform("g", lambda g: F.xxhash64(g)).alias(f"g{name}"))
+        return written(rows.filter(F.size("g") > 0).select(name, F.transform("g", lambda g: F.xxhash64(g)).alias(f"g{name}")))
 
     cut = F.pandas_udf(lambda s: _part_keys(s, thr), "array<struct<c:int,keys:array<bigint>>>")
 
     def parts(rows: DataFrame, name: str) -> DataFrame:
-        classes = rows.select(name, F.size(f"g{name}").alias(f"n{name}"), F.explode(cut(f"g{name}")).alias("x"))
-        return classes.select(name, f"n{name}", "x.c", F.posexplode("x.keys").alias("part", "key"))
+        classes = rows.select(name, F.size(f"g{name}").alias(f"n{name}"), *(_parity(F.col(f"g{name}"), i).alias(f"{name}{i}") for i in range(4)), F.explode(cut(f"g{name}")).alias("x"))
+        return classes.select(name, f"n{name}", *(f"{name}{i}" for i in range(4)), "x.c", F.posexplode("x.keys").alias("part", "key"))
 
     a, b = side(train, "a"), side(test, "b")
-    met = parts(a, "a").join(parts(b, "b"), ["c", "part", "key"]).filter(F.least("na", "nb") > thr * F.greatest("na", "nb")).select("a", "b").distinct()
+    met = parts(a, "a").join(parts(b, "b"), ["c", "part", "key"]).filter(F.least("na", "nb") > thr * F.greatest("na", "nb"))
+    both = F.col("na") + F.col("nb")
+    apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(4)))
+    met = met.filter(apart <= both - 2 * thr * both / (1 + thr) + 1e-6).select("a", "b").distinct()  # elements apart, at most, in sets that are alike
     i = F.size(F.array_intersect("ga", "gb"))
     alike = met.join(a, "a").join(b, "b").withColumn("jaccard", i / (F.size("ga") + F.size("gb") - i)).filter(F.col("jaccard") > thr).select("a", "b", "jaccard")
     return alike.join(train.select(F.col(train_id), F.md5(text).alias("a")), "a").join(test.select(F.col(test_id), F.md5(text).alias("b")), "b").select(train_id, test_id, "jaccard")
@@ -184,13 +195,6 @@ def decision_prefixes(turns: DataFrame, id_col: str = "conv_id", order: str = "t
     return rows.select(id_col, order, "decision_index", "messages", F.col("text").alias("target"))
 
 
-def sealed_hash(df: DataFrame, order: str, line: str, bucket: int = 4096) -> DataFrame:
-    """n, sha256 of all lines in order. Lines are joined within ranges of ``bucket`` places first, then the ranges' hashes."""
-    rows = df.select(F.floor(F.col(order) / bucket).alias("b"), F.col(order).alias("o"), F.col(line).alias("l"))
-    part = rows.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "l"))), lambda x: x["l"]), "\n"), 256).alias("h"))
-    return part.agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "\n"), 256).alias("sha256"))
-
-
 def required_actions(actions: DataFrame, key_params: Mapping[str, Sequence[str]]) -> DataFrame:
     """Add key_params: of each call's JSON arguments (tool, arguments) the stated keys of its tool."""
     args = F.from_json("arguments", "map<string,string>")

@@ -3,65 +3,22 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-CALLS = "array<struct<name:string,arguments:string>>"
-
-
-def _same(a, b) -> bool:
-    if isinstance(a, bool) or isinstance(b, bool):
-        return a is b
-    if isinstance(a, (int, float)) and isinstance(b, (int, float)):
-        return abs(a - b) <= 1e-6
-    if isinstance(a, list) and isinstance(b, list):
-        return sorted(map(str, a)) == sorted(map(str, b))
-    if isinstance(a, str) and isinstance(b, str):
-        x, y = ({w for w in re.findall(r"\w+", s.lower())} for s in (a, b))
-        return a.strip() == b.strip() or bool(x and y) and (a in b or b in a or len(x & y) / len(x | y) >= 0.5)
-    return a == b
-
-
-def params_match(gold: str | None, pred: str | None) -> float:
-    """Share of the gold call's parameters that the prediction has: numbers to 1e-6, lists as sets, texts by half of their words or containment."""
-    try:
-        g, p = json.loads(gold or "{}"), json.loads(pred or "{}")
-    except ValueError:
-        return 0.0
-    return sum(k in p and _same(v, p[k]) for k, v in g.items()) / len(g) if g else 1.0
-
-
-def greedy(gold: list, pred: list) -> list[float]:
-    """For each gold call the parameter share of the best unused predicted call of its tool; the first on ties; 0 if none is left."""
-    used, out = set(), []
-    for g in gold:
-        best, at = -1.0, None
-        for i, p in enumerate(pred):
-            if i not in used and p["name"] == g["name"]:
-                value = params_match(g["arguments"], p["arguments"])
-                if value > best:
-                    best, at = value, i
-        if at is not None:
-            used.add(at)
-        out.append(max(best, 0.0))
-    return out
+from . import call_matching
+from .call_matching import CALLS  # noqa: F401
 
 
 def score_calls(df: DataFrame, gold: str = "gold", pred: str = "pred", gold_ask: str = "gold_ask", pred_ask: str = "pred_ask") -> DataFrame:
     """Add format, tool, params, complete, unnecessary, ask; null where one doesn't apply. gold, pred: arrays of (name,
     arguments); pred null is a format failure; gold_ask, pred_ask: booleans."""
-    @F.pandas_udf("array<double>")
-    def shares(g: pd.Series, p: pd.Series) -> pd.Series:
-        return pd.Series([greedy(list(a) if a is not None else [], list(b) if b is not None else []) for a, b in zip(g, p)])
-
     has, ok = F.size(gold) > 0, F.col(pred).isNotNull()
     names = lambda c: F.array_sort(F.transform(c, lambda x: x["name"]))
     tool = F.when(has, F.coalesce(names(gold) == names(pred), F.lit(False)))
-    rows = df.withColumn("_s", shares(F.col(gold), F.col(pred)))
+    rows = df.withColumn("_s", call_matching.shares(F.col(gold), F.col(pred)))
     params = F.when(has, F.aggregate("_s", F.lit(0.0), lambda a, x: a + x) / F.size("_s"))
     rows = rows.withColumns({"format": ok, "tool": tool, "params": params, "unnecessary": F.when(~has, F.coalesce(F.size(pred) > 0, F.lit(False))), "ask": F.when(F.col(gold_ask), F.coalesce(gold_ask, F.lit(False)) & F.coalesce(pred_ask, F.lit(False)))})
     return rows.withColumn("complete", F.when(has, F.col("tool") & (F.col("params") >= 1 - 1e-9))).drop("_s")
@@ -87,11 +44,7 @@ def match_required_calls(required: DataFrame, calls: DataFrame, by: str = "item_
     def side(df: DataFrame, order: str, name: str) -> DataFrame:
         return df.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, F.col("tool").alias("name"), "arguments"))), lambda x: F.struct(x["name"].alias("name"), x["arguments"].alias("arguments"))).alias(name))
 
-    @F.pandas_udf("array<double>")
-    def run(g: pd.Series, p: pd.Series) -> pd.Series:
-        return pd.Series([greedy(list(a), list(b) if b is not None else []) for a, b in zip(g, p)])
-
-    both = side(required, "pos", "g").join(side(calls, "call_index", "p"), by, "left").withColumn("s", run("g", "p"))
+    both = side(required, "pos", "g").join(side(calls, "call_index", "p"), by, "left").withColumn("s", call_matching.shares(F.col("g"), F.col("p")))
     return both.select(by, F.posexplode(F.arrays_zip("g", "s")).alias("pos", "x")).select(by, "pos", F.col("x.g.name").alias("tool"), F.col("x.s").alias("share"))
 
 
@@ -101,6 +54,42 @@ def anchor_faithfulness(df: DataFrame, anchors: str = "anchors", evidence: str =
     return df.withColumn("faithfulness", F.when(F.size(anchors) > 0, hit / F.size(anchors)))
 
 
+#: Words that speak of a trend, and words that say that nothing was found.
+TREND = ("上升", "下降", "平稳", "趋势", "预测", "℃", "°C")
+CALM = ("未发现", "无异常", "正常")
+
+
+def evidence_faithfulness(df: DataFrame, trend: Sequence[str] = TREND, calm: Sequence[str] = CALM) -> DataFrame:
+    """Add faithfulness, 0 to 1, judged by the type of evidence that an answer should rest on; null where it can't be judged.
+
+    Columns: type, answer, anchors (array: titles and headings, or names), retrieved (a search succeeded), hit (it brought the
+    gold passage), fault (the result's main fault), forecast (the mean forecast of a successful call), places (array: where anomalies
+    are; null if there was no such call).
+
+    kb_chunk: the share of anchors that the answer tells (half of an anchor's words, or containment either way); with the gold passage 1, or 0.5 if the
+    answer tells no anchor; 0 without a successful search. kg_entities, kg_path: the share of names in the answer. dga_label: whether the
+    fault is named. ett_dataset: 1 for the forecast's number, 0.6 for words of a trend, 0 without forecast. multi: as
+    dga_label, else as ett_dataset. signal_inline: 1 for a place of an anomaly, or for words of calm where there is none, else 0.5; 0 without a call.
+    """
+    text, names = F.coalesce("answer", F.lit("")), F.coalesce("anchors", F.array().cast("array<string>"))
+    said = lambda ws: reduce(lambda a, w: a | F.contains(text, F.lit(w)), ws, F.lit(False))
+    words = lambda s: F.array_distinct(F.regexp_extract_all(F.lower(s), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
+    told = lambda a: (F.size(words(a)) > 0) & (F.size(words(text)) > 0) & ((2 * F.size(F.array_intersect(words(a), words(text))) >= F.size(words(a))) | F.contains(text, a) | F.contains(a, text))
+    share = lambda found: F.size(F.filter(names, found)) / F.size(names)
+    base = F.when(F.size(names) > 0, share(told)).otherwise(0.0)
+    chunk = F.when(~F.coalesce("retrieved", F.lit(False)), 0.0).when(F.coalesce("hit", F.lit(False)), F.when(base > 0, 1.0).otherwise(0.5)).otherwise(base)
+    fault = F.when(F.col("fault").isNotNull(), F.contains(text, F.col("fault")).cast("double"))
+    forms = [F.format_string("%.1f", F.col("forecast")), F.format_string("%.0f", F.col("forecast")), F.col("forecast").cast("string")]
+    number = reduce(lambda a, f: a | F.contains(text, f), forms, F.lit(False))
+    forecast = F.when(F.col("forecast").isNull(), 0.0).when(number, 1.0).when(said(trend), 0.6).otherwise(0.0)
+    at = F.exists("places", lambda p: F.contains(text, p.cast("string")))
+    signal = F.when(F.col("places").isNull(), 0.0).when(((F.size("places") == 0) & said(calm)) | at, 1.0).otherwise(0.5)
+    kind = F.col("type")
+    judged = F.when(kind == "kb_chunk", chunk).when(kind.isin("kg_entities", "kg_path"), F.when(F.size(names) > 0, share(lambda a: F.contains(text, a)))).when(kind == "dga_label", F.coalesce(fault, F.lit(0.0)))
+    judged = judged.when(kind == "ett_dataset", forecast).when(kind == "multi", F.coalesce(fault, forecast)).when(kind == "signal_inline", signal)
+    return df.withColumn("faithfulness", judged)
+
+
 def task_success(df: DataFrame, least: float = 0.5) -> DataFrame:
     """Add success: actions, parameters and results all right and faithfulness, where judged, at least ``least``. A part that
     doesn't apply (null) doesn't fail it."""

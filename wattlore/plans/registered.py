@@ -1,6 +1,6 @@
 """All registered queries of the analytics operators: importing the modules fills the two tables."""
 
-from . import evidence_queries, operator_queries, search_queries  # noqa: F401
+from . import coverage_queries, evidence_queries, operator_queries, search_queries  # noqa: F401
 from .queries import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
