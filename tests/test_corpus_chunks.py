@@ -1,7 +1,6 @@
 import json
 
 import numpy as np
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -286,3 +285,45 @@ def test_merging_against_a_plain_scan(spark):
         got.setdefault(r.doc_dir, []).append((r.block_order, r.page, r.type, r.text, r.merged_pages, r.latex, r.context_before, r.context_after))
     assert got == want
     assert corpus.merge_and_group(df.limit(0)).count() == 0
+
+
+def test_best_words_against_every_path():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        lexicon = {"".join(rng.choice(list("甲乙丙"), rng.integers(1, 4))) for _ in range(4)}
+        by_first = {}
+        for w in sorted(lexicon, key=lambda w: (-len(w), w)):
+            by_first.setdefault(w[0], []).append(w)
+        run = "".join(rng.choice(list("甲乙丙丁"), rng.integers(1, 9)))
+
+        def paths(i):
+            if i == len(run):
+                yield ()
+                return
+            for rest in paths(i + 1):
+                yield ((run[i], False), *rest)
+            for w in lexicon:
+                if run.startswith(w, i):
+                    for rest in paths(i + len(w)):
+                        yield ((w, True), *rest)
+
+        cost = lambda p: (sum(not x for _, x in p), sum(x for _, x in p))
+        best = min(map(cost, paths(0)))
+        got = textindex.best_words(run, by_first)
+        assert "".join(p for p, _ in got) == run and (sum(len(p) for p, x in got if not x), sum(x for _, x in got)) == best
+        assert all(a or b for (_, a), (_, b) in zip(got, got[1:])) and all(p in lexicon for p, x in got if x)
+
+
+def test_sealed_hash_is_the_files_own(spark):
+    import hashlib
+
+    from wattlore.operators import sealed
+
+    rows = [(f, i, f"line {i} é" * (i % 3)) for f in ("a", "b") for i in range(200)] + [("c", 0, None), (None, 1, "x")]
+    df = spark.createDataFrame(rows, "f string, i int, line string").repartition(5)
+    got = {r.f: (r.n, r.sha256) for r in sealed.sealed_hash(df, "i", "line", "f", piece_bytes=100).collect()}
+    whole = lambda name: hashlib.sha256("".join(x + "\n" for f, _, x in rows if f == name and x is not None).encode()).hexdigest()
+    assert got == {"a": (200, whole("a")), "b": (200, whole("b")), None: (1, whole(None))}
+    registry = spark.createDataFrame([("a", 200, whole("a")), ("b", 199, whole("b")), ("d", 1, "x")], "f string, n long, sha256 string")
+    status = {r.f: r.status for r in sealed.check_sealed(sealed.sealed_hash(df, "i", "line", "f"), registry, "f").collect()}
+    assert status == {"a": "OK", "b": "CHANGED", None: "MISSING", "d": "GONE"}

@@ -44,7 +44,7 @@ def split_by_group(df: DataFrame, group: str, fractions: Sequence[tuple[str, flo
 def quota_sample(df: DataFrame, by: str, quota: DataFrame, seed: str | int, id_col: str) -> tuple[DataFrame, DataFrame]:
     """(first ``n`` rows of each class in hash order, shortage by class). quota: by, n — a small table."""
     w = Window.partitionBy(by).orderBy(hash_key(seed, id_col), id_col)
-    rows = df.join(F.broadcast(quota.withColumnRenamed("n", "_quota")), by).withColumn("_r", F.row_number().over(w)).filter("_r <= _quota").drop("_r", "_quota")
+    rows = df.join(quota.withColumnRenamed("n", "_quota"), by).withColumn("_r", F.row_number().over(w)).filter("_r <= _quota").drop("_r", "_quota")
     have = rows.groupBy(by).agg(F.count(F.lit(1)).alias("have"))
     short = quota.join(have, by, "left").select(by, F.col("n").alias("wanted"), F.coalesce("have", F.lit(0)).alias("have")).withColumn("short", F.col("wanted") - F.col("have")).filter("short > 0")
     return rows, short

@@ -242,7 +242,7 @@ def recommend(eig: DataFrame, id_col: str, costs: DataFrame, lam: float = 0.05,
     voi = eig - lam * cost, five places; order -voi, cost, name. Stop rules in order: entropy below tau, voi below eps, rounds
     used up: the action is then conclude; otherwise call_tool for a cost of 0, else ask. costs: symptom, cost.
     """
-    rows = eig.join(F.broadcast(costs), "symptom", "left").withColumn("cost", F.coalesce("cost", F.lit(1.0)))
+    rows = eig.join(costs, "symptom", "left").withColumn("cost", F.coalesce("cost", F.lit(1.0)))
     rows = rows.withColumn("voi", F.round(F.col("eig") - lam * F.col("cost"), 5))
     w = Window.partitionBy(id_col).orderBy(F.desc("voi"), "cost", "symptom")
     best = F.max("voi").over(Window.partitionBy(id_col))

@@ -23,8 +23,8 @@ from .sealed import check_sealed, sealed_hash  # noqa: F401
 def template_seeds(source: DataFrame, templates: DataFrame, slots: Sequence[str], category: str, id_cols: Sequence[str], seed: str | int = 0) -> DataFrame:
     """One seed for each source row: a template of its sub_type chosen by hash, {slot} replaced. templates: sub_type, k, n, template."""
     keyed = source.withColumn("_h", hash_number(seed, *id_cols))
-    sizes = F.broadcast(templates.select("sub_type", "n").distinct())
-    rows = keyed.join(sizes, "sub_type").withColumn("k", F.pmod("_h", "n").cast("int")).join(F.broadcast(templates.drop("n")), ["sub_type", "k"])
+    sizes = templates.select("sub_type", "n").distinct()
+    rows = keyed.join(sizes, "sub_type").withColumn("k", F.pmod("_h", "n").cast("int")).join(templates.drop("n"), ["sub_type", "k"])
     query = reduce(lambda q, s: F.replace(q, F.lit("{" + s + "}"), F.col(s).cast("string")), slots, F.col("template"))
     out = rows.withColumns({"query": query, "category": F.lit(category)})
     return out.withColumn("seed_id", F.substring(F.md5(F.concat_ws("|", "category", "sub_type", "query")), 1, 10)).drop("_h", "n", "k", "template")
@@ -149,9 +149,10 @@ def rewrite_guard(df: DataFrame, seed: str, rewrite: str, banned: Sequence[str],
 def lexicon_terms(groups: Sequence[DataFrame], least: int = 2) -> DataFrame:
     """term: the union of term tables, trimmed, at least ``least`` characters, longest first, with its place."""
     rows = reduce(DataFrame.unionByName, [g.select(F.trim("term").alias("term")) for g in groups]).filter(F.length("term") >= least).distinct()
-    by_len = rows.groupBy(F.length("term").alias("n")).agg(F.count(F.lit(1)).alias("c"))
-    base = by_len.select("n", F.coalesce(F.sum("c").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    return rows.withColumn("n", F.length("term")).join(F.broadcast(base), "n").select("term", (F.col("base") + F.row_number().over(Window.partitionBy("n").orderBy("term"))).alias("place"))
+    rows = rows.withColumns({"n": F.length("term"), "head": F.substring("term", 1, 2)})  # terms of a length and a beginning are ranked together
+    sizes = rows.groupBy("n", "head").agg(F.count(F.lit(1)).alias("c"))
+    base = sizes.select("n", "head", F.coalesce(F.sum("c").over(Window.orderBy(F.desc("n"), "head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    return rows.join(base, ["n", "head"]).select("term", (F.col("base") + F.row_number().over(Window.partitionBy("n", "head").orderBy("term"))).alias("place"))
 
 
 def compose_trajectories(seeds: DataFrame, first: DataFrame, second: DataFrame, retry: DataFrame) -> DataFrame:

@@ -60,9 +60,9 @@ def unmatched_candidates(sentences: DataFrame) -> DataFrame:
 
 def check_triples(triples: DataFrame, allowed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(legal triples, counts by reason). allowed: relation, head_type, tail_type — a stated table."""
-    known = F.broadcast(allowed.select("relation").distinct().withColumn("_k", F.lit(True)))
-    heads = F.broadcast(allowed.select("relation", "head_type").distinct().withColumn("_h", F.lit(True)))
-    both = F.broadcast(allowed.select("relation", "head_type", "tail_type").distinct().withColumn("_b", F.lit(True)))
+    known = allowed.select("relation").distinct().withColumn("_k", F.lit(True))
+    heads = allowed.select("relation", "head_type").distinct().withColumn("_h", F.lit(True))
+    both = allowed.select("relation", "head_type", "tail_type").distinct().withColumn("_b", F.lit(True))
     rows = triples.join(known, "relation", "left").join(heads, ["relation", "head_type"], "left").join(both, ["relation", "head_type", "tail_type"], "left")
     reason = F.when(F.col("_k").isNull(), "unknown_relation").when(F.col("_h").isNull(), "bad_head_type").when(F.col("_b").isNull(), "bad_tail_type").when(F.col("head") == F.col("tail"), "self_loop")
     rows = rows.withColumn("reason", reason).drop("_k", "_h", "_b")

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.determinism import hash_key, proportional_sample
+from ..functions.steps import written
 
 GASES = ("H2", "CH4", "C2H2", "C2H4", "C2H6")
 #: Attention limits of single gases, of total hydrocarbons, and of a rapid rise.
@@ -50,7 +51,7 @@ def dedup_rounded(df: DataFrame, cols: Sequence[str], label: str, order: Sequenc
 
 def map_labels(df: DataFrame, mapping: DataFrame, label: str = "label") -> tuple[DataFrame, DataFrame]:
     """(rows with ``fault``, skipped labels with counts). mapping: label, fault — a small stated table."""
-    m = F.broadcast(mapping.select(F.col("label").alias(label), "fault"))
+    m = mapping.select(F.col("label").alias(label), "fault")
     return df.join(m, label), df.join(m, label, "left_anti").groupBy(label).count()
 
 
@@ -77,11 +78,11 @@ def severity(df: DataFrame, label: str = "fault") -> DataFrame:
 
 
 def assign_ids(df: DataFrame, order: Sequence[str], n_devices: int = 50, prefix: str = "R") -> DataFrame:
-    """record_id and device_id from the place in a total order. Places are counted by hash range of the order's first key,
-    so no task sorts all rows."""
+    """record_id and device_id from the place in a total order. Rows are dealt by ranges of it and written once, then numbered
+    range by range, so no task sorts all rows and a lost executor changes no number."""
     spark = df.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id())
+    rows = written(df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()))
     counts = rows.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     base = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     nth = F.row_number().over(Window.partitionBy("_p").orderBy(*order))

@@ -21,25 +21,63 @@ def tokenize(text: Column, stop: Sequence[str] = (), keep: Sequence[str] = (), p
     return F.filter(found, lambda t: (t.isin(*keep) if keep else F.lit(False)) | (fine(t) & (~t.isin(*stop) if stop else F.lit(True))))
 
 
+def best_words(run: str, lexicon: dict[str, list[str]]) -> list[tuple[str, bool]]:
+    """The best path through the word graph of a run of characters: (piece, whether it is a word).
+
+    lexicon: words by first character, longest first. Best is the path with the fewest characters outside words, then with
+    the fewest words, then with the longer word first. Characters outside words in a row are one piece.
+    """
+    n = len(run)
+    cost: list[tuple[int, int]] = [(0, 0)] * (n + 1)
+    step = [0] * n  # length of the word that the best path takes here, 0 for none
+    for i in range(n - 1, -1, -1):
+        cost[i] = (cost[i + 1][0] + 1, cost[i + 1][1])
+        for w in lexicon.get(run[i], ()):
+            if run.startswith(w, i):
+                unknown, words = cost[i + len(w)]
+                if (unknown, words + 1) < cost[i] or (not step[i] and (unknown, words + 1) == cost[i]):
+                    cost[i], step[i] = (unknown, words + 1), len(w)
+    out: list[tuple[str, bool]] = []
+    i = 0
+    while i < n:
+        if step[i]:
+            out.append((run[i : i + step[i]], True))
+            i += step[i]
+        else:
+            j = i + 1
+            while j < n and not step[j]:
+                j += 1
+            out.append((run[i:j], False))
+            i = j
+    return out
+
+
 def tokenize_cjk(text: Column, lexicon: Sequence[str], stop: Sequence[str] = ()) -> Column:
-    """For scripts without spaces: longest lexicon words first, then bigrams of what is left; Latin runs are words."""
+    """For scripts without spaces: the best path through the lexicon's words in each run of characters (best_words), bigrams of
+    what lies outside words. Latin runs of two characters and more are words, unless they are numbers, and lexicon words
+    with other characters go before all. Single characters and stop words go."""
     import re
 
     words = sorted(set(lexicon), key=lambda w: (-len(w), w))
-    find = re.compile("|".join([*map(re.escape, words), r"[A-Za-z0-9]{2,}", r"[一-鿿]+"]))
-    known, gone = set(words), set(stop)
+    han = re.compile(r"[一-鿿]+")
+    mixed = [w for w in words if not han.fullmatch(w)]
+    find = re.compile("|".join([*map(re.escape, mixed), r"[A-Za-z0-9]{2,}", r"[一-鿿]+"]))
+    by_first: dict[str, list[str]] = {}
+    for w in words:
+        if han.fullmatch(w):
+            by_first.setdefault(w[0], []).append(w)
+    known, gone = set(mixed), set(stop)
 
     @F.pandas_udf("array<string>")
     def run(texts: pd.Series) -> pd.Series:
         def one(t: str | None) -> list[str]:
             out: list[str] = []
-            at, t = 0, (t or "").lower()
-            while m := find.search(t, at):
-                w, at = m[0], m.end()
-                if w not in known and "一" <= w[0]:
-                    stop_at = next((i for i in range(1, len(w)) if any(w.startswith(k, i) for k in words)), len(w))
-                    at, w = m.start() + stop_at, w[:stop_at]
-                    out += [w[i : i + 2] for i in range(len(w) - 1)]
+            for w in find.findall((t or "").lower()):
+                if w in known:
+                    out.append(w)
+                elif "一" <= w[0]:
+                    for piece, is_word in best_words(w, by_first):
+                        out += [piece] if is_word else [piece[i : i + 2] for i in range(len(piece) - 1)]
                 elif not w.isdigit():
                     out.append(w)
             return [w for w in out if w not in gone and len(w) > 1]

@@ -208,3 +208,14 @@ def document_abstracts(spark, sf_dir):
     """The first line that begins like an abstract, here with certain syllables; else what follows such a title; else two paragraphs."""
     out = textindex.extract_abstract(units(spark, sf_dir), r"^(th|en|die)[a-z]*", 300)
     return out.select("doc_id", F.md5(F.coalesce("abstract", F.lit(""))).alias("abstract"))
+
+
+_CJK = ["变压器", "变压", "器油", "温度", "dl/t 722", "升高"]
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '变压 器油 温度 升高' WHEN 1 THEN '变压器 甲乙 乙丙 温度' WHEN 2 THEN 'dl/t 722 abc 温度' ELSE '' END AS tokens FROM orders""")
+def segmented_text(spark, sf_dir):
+    """Runs of characters whose longest first word isn't the best, unknown stretches, words with other characters, single ones."""
+    k = F.col("o_orderkey")
+    said = F.element_at(F.array(*map(F.lit, ("变压器油温度升高", "变压器甲乙丙温度 7", "DL/T 722规，abc 12温度", "甲 x 1"))), (k % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(textindex.tokenize_cjk(said, _CJK), " ").alias("tokens"))

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators import chunking, corpus, datasets, graph, logs, policy, rank_eval, records, retrieval, series, textindex
+from ..functions.steps import shared_folder
 from ..sources import files
 from .queries import BM25_SQL, RECORDS_SQL, TRIPLES_SQL, UNITS_SQL, benchmark_gold, benchmark_ranks, edges, measures, query, table, units, words
 
 
 def scratch(spark: SparkSession) -> str:
     """A new folder in the shared folder of the session."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/query-{uuid.uuid4().hex[:12]}"
+    return shared_folder(spark)
 
 
 LINES_SQL = "(SELECT *, CASE l_suppkey % 4 WHEN 0 THEN 'AIR' WHEN 1 THEN 'MAIL' WHEN 2 THEN 'RAIL' ELSE 'SHIP' END AS mode FROM lineitem)"

@@ -164,7 +164,7 @@ def benchmark_gold(spark, sf_dir) -> DataFrame:
     inner = F.slice(F.split("q", r"\s+"), 2, F.greatest(F.size(F.split("q", r"\s+")) - 2, F.lit(1)))
     b = b.withColumn("w", F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))["w"])
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    hit = d.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("w")).join(F.broadcast(b.select("w").distinct()), "w")  # a benchmark is a stated set
+    hit = d.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("w")).join(b.select("w").distinct(), "w")
     return b.join(hit, "w").join(d, "doc_id").filter(F.contains("text", F.col("q"))).select("qid", "lang", F.col("doc_id").alias("item_id"))
 
 
