@@ -92,30 +92,37 @@ def _distance(a: Column, b: Column) -> Column:
     return F.greatest(a["start"], b["start"]) - F.least(a["end"], b["end"])
 
 
-def directional(relation: str, rules: Rules, text: Column, entities: Column) -> Column:
-    """Array of at most one triple: the nearest legal head before and tail behind the first trigger.
+def directional(rows: DataFrame, relation: str, rules: Rules, text: str, entities: str, out: str) -> DataFrame:
+    """Add out: array of at most one triple, the nearest legal head before and tail behind the first trigger.
 
     Both have to lie within rules.clauses clauses and rules.clause_chars characters of it. None where one type has
     rules.same_type entities there (an enumeration), the two are one or a kind of each other, or the tail isn't among rules.tails.
+    Places and candidates are columns of their own, so that no pattern is matched again for each entity.
     """
     trigger, (heads, tails) = rules.triggers[relation], rules.legal[relation]
-    at = F.length(F.get(F.split(text, trigger, 2), F.lit(0)))
-    said = F.regexp_extract(text, trigger, 0)
-    behind = at + F.length(said)
-    sep = "[" + rules.separators + "]"
-    clause, few = f"[^{rules.separators}]*", rules.clauses - 1
-    before = F.regexp_extract(_between(text, F.greatest(at - rules.clause_chars, F.lit(0)), at), rf"(?s){clause}(?:{sep}{clause}){{0,{few}}}\z", 0)
-    after = F.regexp_extract(text.substr(behind + 1, F.lit(rules.clause_chars + 1)), f"(?s)^{clause}(?:{sep}{clause}){{0,{few}}}", 0)
-    left = F.filter(entities, lambda e: e["type"].isin(*heads) & (e["start"] >= at - F.length(before)) & (e["end"] <= at))
-    right = F.filter(entities, lambda e: e["type"].isin(*tails) & (e["start"] >= behind) & (e["end"] <= behind + F.length(after)))
-    both = F.concat(left, right)
-    most = F.array_max(F.array(*(F.size(_of(both, [t])) for t in dict.fromkeys((*heads, *tails)))))
-    head, tail = _best(left, lambda e, acc: e["end"] > acc["end"]), _best(right, lambda e, acc: e["start"] < acc["start"])
-    fine = (said != "") & head.isNotNull() & tail.isNotNull() & (most < rules.same_type) & (head["canon"] != tail["canon"])
-    fine &= ~(_among(rules.kinds, head["canon"], tail["canon"]) | _among(rules.kinds, tail["canon"], head["canon"]))
+    col = lambda name: F.col(f"{out}_{name}")
+    add = lambda rows, **cols: rows.withColumns({f"{out}_{k}": v for k, v in cols.items()})
+    s, es = F.col(text), F.col(entities)
+    rows = add(rows, at=F.length(F.get(F.split(s, trigger, 2), F.lit(0))), said=F.regexp_extract(s, trigger, 0))
+    sep, clause, few = "[" + rules.separators + "]", f"[^{rules.separators}]*", rules.clauses - 1
+    behind = col("at") + F.length(col("said"))
+    before = F.regexp_extract(_between(s, F.greatest(col("at") - rules.clause_chars, F.lit(0)), col("at")), rf"(?s){clause}(?:{sep}{clause}){{0,{few}}}\z", 0)
+    after = F.regexp_extract(s.substr(behind + 1, F.lit(rules.clause_chars + 1)), f"(?s)^{clause}(?:{sep}{clause}){{0,{few}}}", 0)
+    rows = add(rows, lo=col("at") - F.length(before), behind=behind, hi=behind + F.length(after))
+    left = F.filter(es, lambda e: e["type"].isin(*heads) & (e["start"] >= col("lo")) & (e["end"] <= col("at")))
+    right = F.filter(es, lambda e: e["type"].isin(*tails) & (e["start"] >= col("behind")) & (e["end"] <= col("hi")))
+    rows = add(rows, left=F.when(col("said") != "", left), right=F.when(col("said") != "", right))
+    head, tail = _best(col("left"), lambda e, acc: e["end"] > acc["end"]), _best(col("right"), lambda e, acc: e["start"] < acc["start"])
+    types = F.transform(F.concat(col("left"), col("right")), lambda e: e["type"])
+    most = F.array_max(F.array(*(F.size(F.filter(types, lambda k: k == F.lit(t))) for t in dict.fromkeys((*heads, *tails)))))
+    rows = add(rows, head=head, tail=tail, most=most)
+    h, t = col("head"), col("tail")
+    fine = h.isNotNull() & t.isNotNull() & (col("most") < rules.same_type) & (h["canon"] != t["canon"])
+    fine &= ~(_among(rules.kinds, h["canon"], t["canon"]) | _among(rules.kinds, t["canon"], h["canon"]))
     if relation in rules.tails:
-        fine &= tail["canon"].isin(*rules.tails[relation])
-    return F.when(fine, F.array(_triple(head, relation, tail))).otherwise(F.array().cast(TRIPLE))
+        fine &= t["canon"].isin(*rules.tails[relation])
+    found = F.when(F.coalesce(fine, F.lit(False)), F.array(_triple(h, relation, t))).otherwise(F.array().cast(TRIPLE))
+    return rows.withColumn(out, found).drop(*(f"{out}_{k}" for k in ("at", "said", "lo", "behind", "hi", "left", "right", "head", "tail", "most")))
 
 
 def _pairs(heads: Column, tails: Column, relation: str, fits) -> Column:
@@ -181,12 +188,15 @@ def extract_relations(sentences: DataFrame, rules: Rules = Rules(), text: str =
     Sentences with fewer than two entities have none. Treatments and detections are not told from enumerations (rules.many_faults
     faults or rules.many_entities entities). Of triples with the same head, relation and tail the last stays.
     """
-    s, es = F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col("entities"), F.array().cast("array<struct<canon:string,type:string,start:int,end:int>>"))
     none = F.array().cast(TRIPLE)
+    rows = sentences.withColumns({"_s": F.coalesce(F.col(text), F.lit("")), "_es": F.coalesce(F.col("entities"), F.array().cast("array<struct<canon:string,type:string,start:int,end:int>>"))})
+    s, es = F.col("_s"), F.col("_es")
+    for i, relation in enumerate(("CAUSES", "PRODUCES", "INDICATES")):
+        rows = directional(rows, relation, rules, "_s", "_es", f"_d{i}")
     listed = (F.size(_of(es, [rules.fault])) >= rules.many_faults) | (F.size(es) >= rules.many_entities)
     alone = lambda c: F.when(~listed, c).otherwise(none)
-    parts = [directional(r, rules, s, es) for r in ("CAUSES", "PRODUCES", "INDICATES")] + [alone(treated_by(rules, s, es)), alone(detected_by(rules, s, es)), located_in(rules, s, es), specified_in(rules, s, es)]
-    rows = sentences.withColumn("_all", F.when(F.size(es) >= 2, F.concat(*parts)).otherwise(none))
+    parts = [*map(F.col, ("_d0", "_d1", "_d2")), alone(treated_by(rules, s, es)), alone(detected_by(rules, s, es)), located_in(rules, s, es), specified_in(rules, s, es)]
+    rows = rows.withColumn("_all", F.when(F.size(es) >= 2, F.concat(*parts)).otherwise(none))
     same = lambda a, b: (a["head"] == b["head"]) & (a["relation"] == b["relation"]) & (a["tail"] == b["tail"])
     last = F.filter("_all", lambda x, i: ~F.exists(F.slice("_all", i + 2, F.size("_all")), lambda y: same(x, y)))
-    return rows.withColumn("triples", last.cast(TRIPLE)).drop("_all")
+    return rows.withColumn("triples", last.cast(TRIPLE)).drop("_all", "_s", "_es", "_d0", "_d1", "_d2")
