@@ -13,11 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder that the driver and all executors share, with its scheme, so that Spark and tasks mean the same place.
 
-    Lies in the folder the cluster names in ``spark.checkpoint.dir``; only where that is unset (a local session) the
+    Lies in the folder the cluster names in ``spark.checkpoint.dir``; only a local session may leave that unset, and then the
     session's warehouse folder is used.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/wattlore-work"
         spark.conf.set("spark.checkpoint.dir", base)
     path, fs = _hadoop(spark, base)

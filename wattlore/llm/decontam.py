@@ -255,9 +255,3 @@ def find_leaks(docs: DataFrame, items: DataFrame, share: float = 0.7, overlap: f
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
     return rows.mapInArrow(run, RESULT)
-
-
-def without_leaks(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
-    """The documents that hold no item, with their own columns. A document is known by its doc_id; null ids are kept."""
-    leaks = materialize(find_leaks(docs, items, **how).select("doc_id").distinct(), "leaks")
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
