@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from .common import free_name, release_memory, string_buffers
 from .words import M1, M2, M3, hash_spans, spans
@@ -254,16 +254,16 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     spark = docs.sparkSession
     kept = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
     shared = spark.sparkContext.broadcast(model)  # 2 ** BITS weights for each language and a lexicon of the bounded sample
-    letters = free_name(docs, "letters")
-    rows = docs.select(*kept, letters_only(docs["text"]).alias(letters))
-
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for f in frames:
-            names, score = label_texts(shared.value, f.column(letters)) if shared.value.languages else ([UNKNOWN] * f.num_rows, np.zeros(f.num_rows))
-            columns = [f.column(c) for c in kept]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], [*kept, "lang_pred", "lang_score"])
-        f = columns = names = score = None
+    found = free_name(docs, "found")
+
+    @F.arrow_udf("struct<lang_pred: string, lang_score: double>")
+    def label(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for letters in batches:
+            names, score = label_texts(shared.value, letters) if shared.value.languages else ([UNKNOWN] * len(letters), np.zeros(len(letters)))
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "lang_score"])
+        letters = names = score = None
         release_memory()
 
-    schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
-    return rows.mapInArrow(run, schema)
+    # only the letters go to Python; told to be nondeterministic, a filter on the result doesn't label the texts twice
+    labelled = docs.select(*kept, label.asNondeterministic()(letters_only(docs["text"])).alias(found))
+    return labelled.select(*kept, f"{found}.lang_pred", f"{found}.lang_score")
