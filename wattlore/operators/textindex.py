@@ -1,4 +1,4 @@
-"""Tokens, BM25 postings by layer, sub-chunks, summaries and document and section indexes."""
+"""Tokens, BM25 tables by layer, sub-chunks, summaries and document and section indexes."""
 
 from __future__ import annotations
 
@@ -89,44 +89,37 @@ def tokenize_cjk(text: Column, lexicon: Sequence[str], stop: Sequence[str] = ())
 
 @dataclass
 class Index:
-    postings: DataFrame  # layer, term, item_id, tf, dl
+    items: DataFrame  # layer, item_id, tokens, dl
     terms: DataFrame  # layer, term, df, idf
     stats: DataFrame  # layer, n, avgdl
     k1: float = 1.5
     b: float = 0.75
 
 
-def bm25_index(items: DataFrame, id_col: str, tokens: str, layer: str | Column, k1: float = 1.5, b: float = 0.75, eps: float = 0.25, only: DataFrame | None = None) -> Index:
+def bm25_index(items: DataFrame, id_col: str, tokens: str, layer: str | Column, k1: float = 1.5, b: float = 0.75, eps: float = 0.25) -> Index:
     """Okapi BM25 tables. idf = ln(n - df + 0.5) - ln(df + 0.5); negative ones become eps * mean idf over all terms.
 
-    Document frequencies are counted over every term, in one aggregation that is combined before its shuffle. only: terms
-    (column term) that queries ask for; postings of others are dropped before anything is grouped. Items without tokens
-    count in n and avgdl and have no postings.
+    Items, their tokens and document frequencies are counted in one aggregation that is combined before its shuffle, and written.
+    Tokens stay with their items: a search reads them there and shuffles no posting. Items without tokens count in n and avgdl.
     """
     layer = F.lit(layer) if isinstance(layer, str) else layer
-    rows = items.select(layer.alias("layer"), F.col(id_col).alias("item_id"), F.col(tokens).alias("t")).withColumn("dl", F.size("t"))
-    stats = rows.groupBy("layer").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    said = rows.select("layer", "item_id", "dl", F.explode("t").alias("term"))
-    if only is not None:
-        said = said.join(only.select("term").distinct(), "term", "left_semi")
-    postings = said.groupBy("layer", "term", "item_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    terms = rows.select("layer", F.explode(F.array_distinct("t")).alias("term")).groupBy("layer", "term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(stats), "layer")  # a row for each layer
+    rows = items.select(layer.alias("layer"), F.col(id_col).alias("item_id"), F.col(tokens).alias("tokens")).withColumn("dl", F.size("tokens"))
+    none = F.array(F.lit(None).cast("string"))  # a null term stands for the item itself
+    said = rows.select("layer", "dl", F.explode(F.coalesce(F.concat(F.array_compact(F.array_distinct("tokens")), none), none)).alias("term"))
+    own = F.col("term").isNull()
+    counts = written(said.groupBy("layer", "term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(own, F.col("dl"))).alias("dl"), F.count(F.when(own, F.col("dl"))).alias("with_dl")))
+    stats = counts.filter(own).select("layer", F.col("df").alias("n"), F.try_divide("dl", "with_dl").alias("avgdl"))
+    terms = counts.filter(~own).select("layer", "term", "df").join(F.broadcast(stats), "layer")  # a row for each layer
     terms = terms.withColumn("raw", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
     mean = terms.groupBy("layer").agg(F.avg("raw").alias("mean"))
     terms = terms.join(F.broadcast(mean), "layer").select("layer", "term", "df", F.when(F.col("raw") < 0, eps * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return Index(postings, terms, stats, k1, b)
+    return Index(rows, terms, stats, k1, b)
 
 
-def layered_index(layers: Mapping[str, DataFrame], queries: DataFrame | None = None, **options: float) -> Index:
-    """One written index of several layers (item_id, tokens each), for queries (tokens) alone where they are given.
-
-    Postings lie by term, so that a search reads them without another grouping; delete it with steps.dropped(index.postings, index.terms).
-    """
+def layered_index(layers: Mapping[str, DataFrame], **options: float) -> Index:
+    """One index of several layers (item_id, tokens each)."""
     rows = reduce(DataFrame.unionByName, (df.select(F.col("item_id").cast("string").alias("item_id"), "tokens", F.lit(name).alias("_layer")) for name, df in layers.items()))
-    only = queries.select(F.explode("tokens").alias("term")).distinct() if queries is not None else None
-    index = bm25_index(rows, "item_id", "tokens", F.col("_layer"), only=only, **options)
-    terms = index.terms if only is None else index.terms.join(only, "term", "left_semi")
-    return Index(written(index.postings.repartition("term").sortWithinPartitions("term")), written(terms), index.stats, index.k1, index.b)
+    return bm25_index(rows, "item_id", "tokens", F.col("_layer"), **options)
 
 
 def sub_chunks(text: str | None, lo: int, hi: int) -> list[str]:
@@ -213,7 +206,7 @@ def section_index(chunks: DataFrame, preview: int = 300) -> DataFrame:
 
 def vocab_stats(index: Index, lexicon: DataFrame | None = None, top: int = 40) -> tuple[DataFrame, DataFrame]:
     """(layer, vocabulary, mean_tokens, lexicon_hits; layer, term, freq of the most frequent terms)."""
-    freq = index.postings.groupBy("layer", "term").agg(F.sum("tf").alias("freq"))
+    freq = index.items.select("layer", F.explode("tokens").alias("term")).groupBy("layer", "term").agg(F.count(F.lit(1)).alias("freq"))
     stats = freq.groupBy("layer").agg(F.count(F.lit(1)).alias("vocabulary")).join(index.stats, "layer").withColumnRenamed("avgdl", "mean_tokens")
     if lexicon is not None:
         hits = freq.join(lexicon.select(F.lower("surface").alias("term")).distinct(), "term", "left_semi").groupBy("layer").agg(F.count(F.lit(1)).alias("lexicon_hits"))

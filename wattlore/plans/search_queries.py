@@ -41,7 +41,7 @@ def layers(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], Data
 def two_way(spark: SparkSession, sf_dir: str, mode: str, k: int) -> DataFrame:
     queries = benchmark_queries(spark, sf_dir)
     parts, parents = layers(spark, sf_dir)
-    index = textindex.layered_index(parts, queries)
+    index = textindex.layered_index(parts)
     chunks = parts["chunk"].select(F.col("item_id").cast("string").alias("chunk_id"), "tokens")
     return retrieval.search(queries, index, chunks, parents, mode, k, 30).select("qid", "item_id", F.round("score", 9).alias("score"), "rank")
 
@@ -65,7 +65,7 @@ def anchor_hits(spark, sf_dir):
     """Queries with a capital letter against every third line, each document at its best line's place."""
     queries = benchmark_queries(spark, sf_dir)
     rows = units(spark, sf_dir).filter(F.col("order") % 3 == 0)
-    index = textindex.layered_index({"anchor": rows.select(F.col("unit_id").alias("item_id"), words("text").alias("tokens"))}, queries)
+    index = textindex.layered_index({"anchor": rows.select(F.col("unit_id").alias("item_id"), words("text").alias("tokens"))})
     parents = rows.select(F.col("unit_id").alias("item_id"), F.col("doc_id").cast("string").alias("parent_id"))
     return retrieval.anchor_channel(queries, index, parents, HEADING).select("qid", "item_id", "rank")
 
@@ -77,7 +77,7 @@ def fusion_grid(spark, sf_dir):
     """Recall of two channels' fusion for two weights of the line channel."""
     queries = benchmark_queries(spark, sf_dir)
     parts, parents = layers(spark, sf_dir)
-    index = textindex.layered_index({"chunk": parts["chunk"], "sub": parts["sub"]}, queries)
+    index = textindex.layered_index({"chunk": parts["chunk"], "sub": parts["sub"]})
     ranks = lambda df, name: df.select("qid", "item_id", F.lit(name).alias("channel"), "rank")
     channels = ranks(retrieval.bm25_topk(queries, index, "chunk", 30), "bm25").unionByName(ranks(retrieval.subchunk_channel(queries, index, parents, 30), "sub"))
     gold = benchmark_gold(spark, sf_dir).select("qid", F.lit("all").alias("type"), F.col("item_id").cast("string").alias("item_id"))
