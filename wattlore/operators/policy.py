@@ -84,10 +84,21 @@ def paired_permutation(df: DataFrame, a: str, b: str, n: int = 20_000, seed: int
     return sums.agg(F.max("c").alias("n"), (F.max("t") / F.max("c")).alias("mean_diff"), ((hits + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
 
 
-def binomial_two_sided(b: int, c: int) -> float:
-    """Exact McNemar p of two discordant counts."""
+def binomial_two_sided(b: int, c: int, exact: int = 1000) -> float:
+    """Exact McNemar p of two discordant counts.
+
+    Beyond ``exact`` the tail is added up from its largest term downwards, by the ratio of neighbours, until terms no longer
+    count: some multiple of the square root of b + c terms, and no number with more than 64 bits.
+    """
     n, k = b + c, min(b, c)
-    return min(1.0, 2 * sum(math.comb(n, i) for i in range(k + 1)) / 2**n) if n else 1.0
+    if n <= exact:
+        return min(1.0, 2 * sum(math.comb(n, i) for i in range(k + 1)) / 2**n) if n else 1.0
+    total, term, i = 0.0, 1.0, k
+    while term > total * 1e-17:
+        total += term
+        term *= i / (n - i + 1)
+        i -= 1
+    return min(1.0, 2 * total * math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2)))
 
 
 def mcnemar_exact(df: DataFrame, a: str, b: str) -> tuple[int, int, float]:
