@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -28,17 +28,49 @@ def surface_pattern(surfaces: Sequence[str]) -> re.Pattern:
     return re.compile("|".join(map(one, kept)) or r"(?!)")
 
 
+def surface_finder(surfaces: Sequence[str], small: int = 64) -> Callable[[str], Iterator[tuple[str, int, int]]]:
+    """What surface_pattern finds in a text, as (surface, start, end).
+
+    A pattern tries every surface at every place; beyond ``small`` surfaces the places are looked up instead, by the lengths
+    that surfaces with the same first character have.
+    """
+    if len(surfaces) <= small or "" in surfaces:
+        find = surface_pattern(surfaces)
+        return lambda t: ((m[0], m.start(), m.end()) for m in find.finditer(t))
+    known = {s for s in surfaces if len(s) > 1 or s.isascii()}
+    lengths: dict[str, set[int]] = {}
+    for s in known:
+        lengths.setdefault(s[0], set()).add(len(s))
+    tries = {c: sorted(n, reverse=True) for c, n in lengths.items()}
+    inner = lambda c: c.isascii() and c.isalnum()
+
+    def found(t: str) -> Iterator[tuple[str, int, int]]:
+        i = 0
+        while i < len(t):
+            for n in tries.get(t[i], ()):
+                s = t[i : i + n]
+                if len(s) == n and s in known and not (s.isascii() and (inner(t[i - 1 : i]) or inner(t[i + n : i + n + 1]))):
+                    yield s, i, i + n
+                    i += n
+                    break
+            else:
+                i += 1
+
+    return found
+
+
 def match_entities(sentences: DataFrame, lexicon: list[tuple[str, str, str]], text: str = "sentence") -> DataFrame:
     """Add entities: array of canon, type, start, end of longest, non-overlapping surfaces (surface, canon, type: the stated
     lexicon). A surface with several types gives one entity for each."""
     by: dict[str, list[tuple[str, str]]] = {}
     for surface, canon, kind in lexicon:
         by.setdefault(surface, []).append((canon, kind))
-    find = surface_pattern(list(by))
+    find = surface_finder(list(by))
+    kinds = {s: sorted(set(x)) for s, x in by.items()}
 
     @F.pandas_udf("array<struct<canon:string,type:string,start:int,end:int>>")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"canon": c, "type": k, "start": m.start(), "end": m.end()} for m in find.finditer(t or "") for c, k in sorted(set(by[m[0]]))])
+        return texts.map(lambda t: [{"canon": c, "type": k, "start": a, "end": z} for s, a, z in find(t or "") for c, k in kinds[s]])
 
     return sentences.withColumn("entities", run(F.col(text)))
 
