@@ -86,7 +86,7 @@ SELECT item_id, ref, source FROM x""")
 def citable_references(spark, sf_dir):
     """What an order may cite: its first lines as calls, three parts as passages, three suppliers as paths, every line as a turn."""
     rows = table(spark, sf_dir, "lineitem")
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_linenumber"))).withColumn("item_id", F.col("l_orderkey"))
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_linenumber", "l_suppkey"))).withColumn("item_id", F.col("l_orderkey"))
     calls = ranked.filter("l_linenumber <= 2").select("item_id", F.col("l_linenumber").alias("call_index"), F.lit("{}").alias("content"))
     chunks = ranked.select("item_id", "rank", F.col("l_partkey").alias("chunk_id"), F.col("l_returnflag").alias("content"))
     paths = ranked.select("item_id", "rank", F.col("l_suppkey").alias("path_id"), F.col("l_linestatus").alias("content"))
