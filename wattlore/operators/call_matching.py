@@ -41,15 +41,13 @@ def _parsed(calls: Column) -> Column:
 def shares(gold: Column, pred: Column) -> Column:
     """For each gold call the parameter share of the best predicted call of its tool that is still free; the first on ties; 0 if none is left.
 
-    gold, pred: arrays of (name, arguments). The fold carries the places that are taken and the shares so far.
+    gold, pred: arrays of (name, arguments). The fold carries the predicted calls, parsed once, the places that are taken and the shares so far.
     """
-    known = _parsed(pred)
-
     def step(acc: Column, g: Column) -> Column:
-        free = F.transform(known, lambda p, i: F.when((p["name"] == g["name"]) & ~F.array_contains(acc["used"], i), F.struct(params_match(g["members"], p["members"]).alias("share"), (-i).alias("place"))))
+        free = F.transform(acc["known"], lambda p, i: F.when((p["name"] == g["name"]) & ~F.array_contains(acc["used"], i), F.struct(params_match(g["members"], p["members"]).alias("share"), (-i).alias("place"))))
         best = F.array_max(F.array_compact(free))
         used = F.when(best.isNull(), acc["used"]).otherwise(F.concat(acc["used"], F.array(-best["place"])))
-        return F.struct(used.alias("used"), F.concat(acc["shares"], F.array(F.coalesce(best["share"], F.lit(0.0)))).alias("shares"))
+        return F.struct(acc["known"].alias("known"), used.alias("used"), F.concat(acc["shares"], F.array(F.coalesce(best["share"], F.lit(0.0)))).alias("shares"))
 
-    start = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<double>").alias("shares"))
+    start = F.struct(_parsed(pred).alias("known"), F.array().cast("array<int>").alias("used"), F.array().cast("array<double>").alias("shares"))
     return F.aggregate(_parsed(gold), start, step, lambda acc: acc["shares"])
