@@ -21,13 +21,23 @@ def read_semicolon_csv(spark: SparkSession, path: str, measures: Sequence[str],
     return raw.select(*[decimal_comma(F.col(m)).alias(m) for m in measures], F.upper(F.trim(F.col(label))).alias("label"), F.lit(source).alias("source"))
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON file (pages of blocks) for each document folder: doc_dir, pages. Block content stays JSON text."""
+def read_pages(spark: SparkSession, path: str, bundled: bool = False) -> DataFrame:
+    """One JSON file (pages of blocks) for each document folder: doc_dir, pages. Block content stays JSON text.
+
+    bundled: files of write_page_bundles, where a line is a document. A file for each document costs a task's overhead each.
+    """
+    if bundled:
+        return spark.read.schema(f"doc_dir string, pages {PAGES}").json(path)
     raw = spark.read.option("wholetext", True).text(path).withColumn("file", F.input_file_name())
     folder = F.element_at(F.split("file", "/"), -2)
     return raw.select(F.url_decode(folder).alias("doc_dir"), F.from_json("value", PAGES).alias("pages"))
 
 
+def write_page_bundles(docs: DataFrame, path: str) -> None:
+    """doc_dir, pages (array of pages of blocks) as JSON lines, many documents in a file."""
+    docs.select(F.col("doc_dir").cast("string").alias("doc_dir"), "pages").write.json(path)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
