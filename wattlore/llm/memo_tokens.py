@@ -24,6 +24,19 @@ LATIN = re.compile("[\x00-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ]*")
 #: The pre-token patterns that the two files state, with [^\W\d_] for a letter and \d for a number.
 WORD_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 BYTE_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+
+
+def _class(kind: str) -> str:
+    """The characters of LATIN, without ODD, that the pattern kind matches, as the inside of a character class: looked up in a
+    table, where negated and named classes are tried one after another for each character."""
+    own = [c for c in range(0x250) if LATIN.fullmatch(chr(c)) and not ODD.match(chr(c)) and re.fullmatch(kind, chr(c))]
+    edges = [c for c in own if c - 1 not in own], [c for c in own if c + 1 not in own]
+    return "".join(f"{re.escape(chr(a))}-{re.escape(chr(z))}" for a, z in zip(*edges))
+
+
+_LETTER, _DIGIT, _SPACE, _OTHER = map(_class, (r"[^\W\d_]", r"\d", r"\s", r"[^\s\w]|_"))
+#: BYTE_PIECES for Latin texts; what most pieces are comes first.
+LATIN_BYTE_PIECES = re.compile(rf" ?[{_LETTER}]+|'(?:[stmd]|re|ve|ll)| ?[{_DIGIT}]+| ?[{_OTHER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: Bytes that a memo may take, by the estimate of _COST bytes an entry besides its characters and ids, and the longest piece it keeps.
 MEMO_BYTES, MEMO_PIECE, _COST = 96_000_000, 64, 200
 
@@ -43,14 +56,14 @@ class _Memo(dict):
 
     def __init__(self, model, most: int = MEMO_BYTES):
         super().__init__()
-        self.model, self.most, self.held = model, most, 0
+        self.tokenize, self.most, self.held = model.tokenize, most, 0
 
     def __missing__(self, piece: str) -> bytes:
         if piece.isascii() and piece[1:].isalpha():  # a word, perhaps after a space: only the space is written otherwise
             said = LETTERS[32] + piece[1:] if piece[0] == " " else piece
         else:
             said = "".join([LETTERS[b] for b in piece.encode()])
-        ids = array("I", [t.id for t in self.model.tokenize(said)]).tobytes()
+        ids = array("I", [t.id for t in self.tokenize(said)]).tobytes()
         if len(piece) <= MEMO_PIECE:
             if self.held >= self.most:
                 self.release()
@@ -69,7 +82,7 @@ class MemoTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.strip = Tokenizer.from_file(path), strip_space
-        self.pieces = (WORD_PIECES if strip_space else BYTE_PIECES).findall
+        self.pieces = (WORD_PIECES if strip_space else LATIN_BYTE_PIECES).findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo = _Memo(self.tokenizer.model)
 
