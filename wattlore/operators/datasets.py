@@ -5,11 +5,13 @@ from __future__ import annotations
 import json
 import math
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.determinism import hash_key, hash_number, largest_remainder, quota_sample  # noqa: F401
@@ -68,52 +70,85 @@ def grams(text: Column) -> Column:
     return F.when(F.length(t) < 8, F.array_distinct(F.split(t, ""))).otherwise(bigrams(text))
 
 
-def _part_keys(sets: pd.Series, thr: float) -> pd.Series:
-    """For each set of hashes, by size class: the xor of the hashes that fall on each of the class's parts."""
-    out = []
-    for h in sets:
-        h = np.asarray(h, np.int64)
-        own = math.floor(math.log(len(h)) / -math.log(thr) + 1e-9)
-        keys = []
-        for c in (own, own + 1):
-            parts = math.floor((1 - thr) / (1 + thr) * 2 * thr ** -(c + 1)) + 1
-            xor = np.zeros(parts, np.int64)
-            np.bitwise_xor.at(xor, (h.view(np.uint64) % np.uint64(parts)).astype(np.int64), h)
-            keys.append({"c": c, "keys": xor.tolist()})
-        out.append(keys)
-    return pd.Series(out)
+#: Size classes are so many to a factor thr; elements of a block; elements that a text counts for at least, which
+#: bounds a block's texts; how many times a column of a matrix product is cheaper than its pairs one by one.
+STEPS, BLOCK, LEAST, DENSE = 4, 400_000, 200, 256
 
 
-def _parity(hashes: Column, lane: int) -> Column:
-    """A 64-bit number: bit i tells whether an odd number of hashes fall on bit i of this lane, of four."""
-    return F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, h: F.when(F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(3)) == lane, acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")))).otherwise(acc))
+def _shared(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Shared elements of each set of a block with each of another's. Sets lie one after another in a and b, na and nb are their sizes.
+
+    Elements that many sets of both have are columns of a matrix product; the pairs of the others are counted one by one.
+    """
+    (va, ia), (vb, ib) = (np.unique(x, return_inverse=True) for x in (a, b))
+    both, pa_, pb_ = np.intersect1d(va, vb, assume_unique=True, return_indices=True)
+    out = np.zeros((len(na), len(nb)), np.float32)
+    if not len(both):
+        return out
+    sides = []
+    for i, n, place, size in ((ia, na, pa_, len(va)), (ib, nb, pb_, len(vb))):
+        column = np.full(size, -1)
+        column[place] = np.arange(len(both))
+        c, row = column[i], np.repeat(np.arange(len(n)), n)
+        c, row = c[c >= 0], row[c >= 0]
+        order = np.argsort(c, kind="stable")
+        sides.append((c[order], row[order], np.bincount(c, minlength=len(both))))
+    (ca, ra, fa), (cb, rb, fb) = sides
+    dense = fa * fb * DENSE > len(na) * len(nb)
+    at = np.cumsum(dense) - 1
+    for x in range(0, int(dense.sum()), 1024):
+        m = []
+        for c, r, rows in ((ca, ra, len(na)), (cb, rb, len(nb))):
+            own = dense[c] & (at[c] >= x) & (at[c] < x + 1024)
+            one = np.zeros((rows, min(1024, int(dense.sum()) - x)), np.float32)
+            one[r[own], at[c[own]] - x] = 1
+            m.append(one)
+        out += m[0] @ m[1].T
+    keep_a, keep_b = ~dense[ca], ~dense[cb]
+    ca, ra, rb, fb, first = ca[keep_a], ra[keep_a], rb[keep_b], np.where(dense, 0, fb), np.cumsum(np.where(dense, 0, fb)) - np.where(dense, 0, fb)
+    for x in range(0, len(ca), 10_000):
+        c, n = ca[x : x + 10_000], fb[ca[x : x + 10_000]]
+        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        np.add.at(out, (np.repeat(ra[x : x + 10_000], n), rb[np.repeat(first[c], n) + within]), 1)
+    return out
 
 
 def near_duplicate_leaks(train: DataFrame, test: DataFrame, text: str = "text", train_id: str = "train_id", test_id: str = "test_id", thr: float = 0.9) -> DataFrame:
-    """train_id, test_id, jaccard above thr, without comparing all pairs.
+    """train_id, test_id, jaccard above thr, exact.
 
-    Sets of sizes up to h that are alike to more than thr differ in fewer than (1 - thr) / (1 + thr) * 2h elements. With
-    their elements dealt to as many parts by hash, one part at least is the same in both, so texts meet on equal parts only,
-    within classes of sizes that thr allows. Four numbers of parity bits go along: two sets have no fewer elements apart than bits, so
-    most pairs that meet by chance end before any set is joined to them. Equal texts are taken once; what is left is compared exactly.
+    Texts of ordinary language share most of their character pairs, so no part of them tells unlike texts apart. Equal texts are
+    taken once and packed into blocks of one size class; blocks meet those of the classes that thr allows, and the shared
+    elements of all their pairs are counted at once. Work grows with the product of both sides' distinct texts of like sizes,
+    memory is a pair of blocks, and only pairs above thr leave a task.
     """
     def side(df: DataFrame, name: str) -> DataFrame:
-        rows = df.select(F.col(text).alias("t")).distinct().select(F.md5("t").alias(name), F.filter(grams(F.col("t")), lambda g: g != "").alias("g"))
-        return written(rows.filter(F.size("g") > 0).select(name, F.transform("g", lambda g: F.xxhash64(g)).alias(f"g{name}")))
-
-    cut = F.pandas_udf(lambda s: _part_keys(s, thr), "array<struct<c:int,keys:array<bigint>>>")
-
-    def parts(rows: DataFrame, name: str) -> DataFrame:
-        classes = rows.select(name, F.size(f"g{name}").alias(f"n{name}"), *(_parity(F.col(f"g{name}"), i).alias(f"{name}{i}") for i in range(4)), F.explode(cut(f"g{name}")).alias("x"))
-        return classes.select(name, f"n{name}", *(f"{name}{i}" for i in range(4)), "x.c", F.posexplode("x.keys").alias("part", "key"))
-
-    a, b = side(train, "a"), side(test, "b")
-    met = parts(a, "a").join(parts(b, "b"), ["c", "part", "key"]).filter(F.least("na", "nb") > thr * F.greatest("na", "nb"))
-    both = F.col("na") + F.col("nb")
-    apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(4)))
-    met = met.filter(apart <= both - 2 * thr * both / (1 + thr) + 1e-6).select("a", "b").distinct()  # elements apart, at most, in sets that are alike
-    i = F.size(F.array_intersect("ga", "gb"))
-    alike = met.join(a, "a").join(b, "b").withColumn("jaccard", i / (F.size("ga") + F.size("gb") - i)).filter(F.col("jaccard") > thr).select("a", "b", "jaccard")
+        rows = df.select(F.col(text).alias("t")).distinct().select(F.md5("t").alias("k"), F.filter(grams(F.col("t")), lambda g: g != "").alias("g"))
+        rows = rows.filter(F.size("g") > 0).select("k", F.transform("g", lambda g: F.xxhash64(g)).alias("h"), F.size("g").alias("n"))
+        rows = written(rows.withColumn("c", F.floor(F.log("n") / -math.log(thr) * STEPS + 1e-9).cast("int")))
+        blocks = rows.groupBy("c").agg(F.ceil(F.sum(F.greatest("n", F.lit(LEAST))) / BLOCK).alias("blocks"))  # a row for each size class
+        rows = rows.join(F.broadcast(blocks), "c").withColumn("b", F.pmod(F.xxhash64("k"), "blocks"))
+
+        def pack(t: pa.Table) -> pa.Table:
+            t = t.combine_chunks()
+            h = pc.list_flatten(t.column("h")).to_numpy()
+            return pa.table({f"c{name}": t.column("c")[:1], f"k{name}": pa.array([t.column("k").to_pylist()]), f"n{name}": pa.array([t.column("n").to_numpy().astype(np.int32).tobytes()]), f"h{name}": pa.array([h.tobytes()])})
+
+        return written(rows.groupBy("c", "b").applyInArrow(pack, f"c{name} int, k{name} array<string>, n{name} binary, h{name} binary"))
+
+    def meet(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in frames:
+            for i in range(f.num_rows):
+                at = lambda c, f=f, i=i: f.column(c)[i]
+                (na, nb), (ha, hb) = (([np.frombuffer(at(c + s).as_py(), kind) for s in "ab"]) for c, kind in (("n", np.int32), ("h", np.int64)))
+                shared = _shared(ha, na, hb, nb)
+                x, y = np.nonzero(shared * (1 + thr) > thr * (na[:, None] + nb[None]).astype(np.float32) - 0.5)
+                both = shared[x, y].astype(np.float64)
+                jaccard = both / (na[x] + nb[y] - both)
+                x, y, jaccard = (v[jaccard > thr] for v in (x, y, jaccard))
+                yield pa.RecordBatch.from_arrays([at("ka").values.take(pa.array(x)), at("kb").values.take(pa.array(y)), pa.array(jaccard)], ["a", "b", "jaccard"])
+
+    near = F.abs(F.col("ca") - F.col("cb")) <= STEPS
+    alike = written(side(train, "a").join(side(test, "b"), near).mapInArrow(meet, "a string, b string, jaccard double"))
     return alike.join(train.select(F.col(train_id), F.md5(text).alias("a")), "a").join(test.select(F.col(test_id), F.md5(text).alias("b")), "b").select(train_id, test_id, "jaccard")
 
 

@@ -131,8 +131,10 @@ def build_nodes_edges(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def bigrams(text) -> F.Column:
     t = F.regexp_replace(F.lower(text), r"\s", "")
-    n = F.length(t)
-    return F.when(n < 2, F.array(t)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(2)))))
+    # the outer transform holds the characters, so they are not worked out again for each place
+    pairs = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - 1, F.lit(1))), lambda i: F.concat(F.get(c, i - 1), F.get(c, i)))
+    found = F.transform(F.array(F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0))), pairs)
+    return F.when(F.length(t) < 2, F.array(t)).otherwise(F.array_distinct(F.get(found, F.lit(0))))
 
 
 def locate_entities(queries: DataFrame, lexicon: list[tuple[str, str, str]], max_entities: int = 4, threshold: float = 0.34) -> DataFrame:
