@@ -91,7 +91,8 @@ def best_cuts(lengths: Sequence[int], glue: Sequence[float], target: int, max_le
 def dp_segment(runs: DataFrame, target: int = 400, max_len: int = 700, min_len: int = 120, alpha: float = 0.5) -> DataFrame:
     """Add seg: the number of each unit's segment within its run (doc_id, run_id, order, text, glue).
 
-    Only lengths and costs of a run's units go through Python, as one row for each run; texts stay where they are.
+    Only lengths and costs of a run's units go through Python, as one row for each run; texts stay in that row and are not
+    shuffled again for a join.
     """
     def run(texts: pd.Series, glue: pd.Series) -> pd.Series:
         found = []
@@ -101,11 +102,11 @@ def dp_segment(runs: DataFrame, target: int = 400, max_len: int = 700, min_len:
         return pd.Series(found)
 
     cut = F.pandas_udf(run, "array<int>")
-    each = F.array_sort(F.collect_list(F.struct("order", F.length("text").alias("n"), F.coalesce("glue", F.lit(0.0)).alias("g"))))
-    rows = runs.groupBy("doc_id", "run_id").agg(each.alias("u"))
-    rows = rows.select("doc_id", "run_id", F.transform("u", lambda x: x["order"]).alias("order"), cut(F.transform("u", lambda x: F.coalesce(x["n"], F.lit(0))), F.transform("u", lambda x: x["g"])).alias("seg"))
-    segments = rows.select("doc_id", "run_id", F.explode(F.arrays_zip("order", "seg")).alias("x")).select("doc_id", "run_id", "x.order", "x.seg")
-    return runs.join(segments, ["doc_id", "run_id", "order"])
+    rest = [c for c in runs.columns if c not in ("doc_id", "run_id", "order")]
+    rows = runs.groupBy("doc_id", "run_id").agg(F.array_sort(F.collect_list(F.struct("order", F.struct(*rest).alias("rest")))).alias("u"))
+    lengths, glue = F.transform("u", lambda x: F.coalesce(F.length(x["rest"]["text"]), F.lit(0))), F.transform("u", lambda x: F.coalesce(x["rest"]["glue"], F.lit(0.0)))
+    rows = rows.withColumn("seg", cut(lengths, glue)).select("doc_id", "run_id", F.explode(F.arrays_zip("u", "seg")).alias("x"))
+    return rows.select("doc_id", "run_id", "x.u.order", *[F.col("x.u.rest")[c].alias(c) for c in rest], "x.seg")
 
 
 def _joined(runs: DataFrame) -> DataFrame:
