@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
-from functools import reduce
+from dataclasses import dataclass, field
+from functools import cached_property, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -89,31 +89,47 @@ def tokenize_cjk(text: Column, lexicon: Sequence[str], stop: Sequence[str] = ())
 
 @dataclass
 class Index:
+    """Okapi BM25 tables. idf = ln(n - df + 0.5) - ln(df + 0.5); negative ones become eps * mean idf over all terms.
+
+    Tokens stay with their items. Terms and stats are counted when first asked for, in one aggregation that is combined before
+    its shuffle, and written. A search does without them: its blocks (retrieval.py) carry their own counts.
+    """
+
     items: DataFrame  # layer, item_id, tokens, dl
-    terms: DataFrame  # layer, term, df, idf
-    stats: DataFrame  # layer, n, avgdl
     k1: float = 1.5
     b: float = 0.75
+    eps: float = 0.25
+    searched: dict = field(default_factory=dict)  # what searches have written, by layer
 
+    @cached_property
+    def _counts(self) -> DataFrame:
+        none = F.array(F.lit(None).cast("string"))  # a null term stands for the item itself
+        said = self.items.select("layer", "dl", F.explode(F.coalesce(F.concat(F.array_compact(F.array_distinct("tokens")), none), none)).alias("term"))
+        own = F.col("term").isNull()
+        return written(said.groupBy("layer", "term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(own, F.col("dl"))).alias("dl"), F.count(F.when(own, F.col("dl"))).alias("with_dl")))
 
-def bm25_index(items: DataFrame, id_col: str, tokens: str, layer: str | Column, k1: float = 1.5, b: float = 0.75, eps: float = 0.25) -> Index:
-    """Okapi BM25 tables. idf = ln(n - df + 0.5) - ln(df + 0.5); negative ones become eps * mean idf over all terms.
+    @cached_property
+    def stats(self) -> DataFrame:
+        """layer, n, avgdl"""
+        return self._counts.filter(F.col("term").isNull()).select("layer", F.col("df").alias("n"), F.try_divide("dl", "with_dl").alias("avgdl"))
 
-    Items, their tokens and document frequencies are counted in one aggregation that is combined before its shuffle, and written.
-    Tokens stay with their items: a search reads them there and shuffles no posting. Items without tokens count in n and avgdl.
-    """
+    @cached_property
+    def terms(self) -> DataFrame:
+        """layer, term, df, idf"""
+        terms = self._counts.filter(F.col("term").isNotNull()).select("layer", "term", "df").join(F.broadcast(self.stats), "layer")  # a row for each layer
+        terms = terms.withColumn("raw", raw_idf(F.col("n"), F.col("df")))
+        mean = terms.groupBy("layer").agg(F.avg("raw").alias("mean"))
+        return terms.join(F.broadcast(mean), "layer").select("layer", "term", "df", F.when(F.col("raw") < 0, self.eps * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+
+
+def raw_idf(n: Column, df: Column) -> Column:
+    return F.ln(n - df + 0.5) - F.ln(df + 0.5)
+
+
+def bm25_index(items: DataFrame, id_col: str, tokens: str, layer: str | Column, k1: float = 1.5, b: float = 0.75, eps: float = 0.25) -> Index:
+    """The index of items with their tokens. Items without tokens count in n and avgdl."""
     layer = F.lit(layer) if isinstance(layer, str) else layer
-    rows = items.select(layer.alias("layer"), F.col(id_col).alias("item_id"), F.col(tokens).alias("tokens")).withColumn("dl", F.size("tokens"))
-    none = F.array(F.lit(None).cast("string"))  # a null term stands for the item itself
-    said = rows.select("layer", "dl", F.explode(F.coalesce(F.concat(F.array_compact(F.array_distinct("tokens")), none), none)).alias("term"))
-    own = F.col("term").isNull()
-    counts = written(said.groupBy("layer", "term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(own, F.col("dl"))).alias("dl"), F.count(F.when(own, F.col("dl"))).alias("with_dl")))
-    stats = counts.filter(own).select("layer", F.col("df").alias("n"), F.try_divide("dl", "with_dl").alias("avgdl"))
-    terms = counts.filter(~own).select("layer", "term", "df").join(F.broadcast(stats), "layer")  # a row for each layer
-    terms = terms.withColumn("raw", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
-    mean = terms.groupBy("layer").agg(F.avg("raw").alias("mean"))
-    terms = terms.join(F.broadcast(mean), "layer").select("layer", "term", "df", F.when(F.col("raw") < 0, eps * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return Index(rows, terms, stats, k1, b)
+    return Index(items.select(layer.alias("layer"), F.col(id_col).alias("item_id"), F.col(tokens).alias("tokens")).withColumn("dl", F.size("tokens")), k1, b, eps)
 
 
 def layered_index(layers: Mapping[str, DataFrame], **options: float) -> Index:
