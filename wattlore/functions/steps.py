@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -19,6 +21,49 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/step-{uuid.uuid4().hex[:12]}"
 
 
+def file_folder(spark: SparkSession) -> str:
+    """shared_folder with its scheme, so that Spark and tasks that write files there mean the same place."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def _open(uri: str):
+    from pyarrow import fs
+
+    scheme, _, rest = uri.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri("s3:" + rest if scheme in ("s3a", "s3n") else uri)
+
+
+def write_batch(uri: str, batch: pa.RecordBatch) -> None:
+    """Write a record batch as one file, below a name of its own until it is whole: a lost task leaves no half file."""
+    fs, path = _open(uri)
+    fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    temp = f"{path}.{uuid.uuid4().hex[:8]}.part"
+    with fs.open_output_stream(temp) as out, pa.ipc.new_stream(out, batch.schema) as stream:
+        stream.write_batch(batch)
+    fs.move(temp, path)
+
+
+def read_batch(uri: str) -> pa.RecordBatch:
+    fs, path = _open(uri)
+    with fs.open_input_file(path) as f, pa.ipc.open_stream(f) as stream:
+        return stream.read_next_batch()
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "16m") -> Iterator[None]:
+    """Steps written here hand at most about ``size`` at a time to Python. Spark doubles a batch's memory while it fills, outside the heap and for each task."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df written as Parquet and read again: later steps don't compute it again, and a lost executor costs its tasks alone."""
     spark = df.sparkSession
