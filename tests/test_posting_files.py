@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from wattlore.functions import steps
 from wattlore.operators import retrieval, textindex
 
@@ -31,3 +33,13 @@ def test_batches_are_small_only_while_a_search_writes(spark):
     finally:
         retrieval.written = own
     assert found.count() == 3 and "16m" in seen and spark.conf.get(name) == before
+
+
+def test_parents_come_from_the_ids(spark):
+    texts = spark.createDataFrame([(7, "one. " * 60), (-3, "two. " * 60), (None, "three. " * 60)], "doc_id long, text string")
+    subs = textindex.split_subchunks(texts, "doc_id", "text").withColumn("own", textindex.parent_of_subchunk("sub_id", "bigint"))
+    assert subs.count() > 6 and subs.filter(~F.col("own").eqNullSafe(F.col("parent_id"))).count() == 0
+    named = textindex.split_subchunks(spark.createDataFrame([("a-s001", "x")], "doc_id string, text string"), "doc_id", "text").select(textindex.parent_of_subchunk("sub_id").alias("p"))
+    assert named.first().p == "a-s001"
+    ranked = spark.createDataFrame([(1, "7-s001", 2.0, 1), (1, "7-s000", 1.0, 2), (1, "8-s000", 0.5, 3)], "qid int, item_id string, score double, rank int")
+    assert [tuple(r) for r in retrieval.first_parent(ranked, textindex.parent_of_subchunk("item_id", "bigint"), 5).orderBy("rank").collect()] == [(1, 7, 2.0, 1), (1, 8, 0.5, 2)]

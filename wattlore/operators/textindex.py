@@ -165,6 +165,11 @@ def split_subchunks(chunks: DataFrame, id_col: str = "chunk_id", text: str = "bo
     return rows.select(F.format_string("%s-s%03d", F.col("parent_id").cast("string"), "k").alias("sub_id"), "parent_id", "body")
 
 
+def parent_of_subchunk(sub_id: str, kind: str = "string") -> Column:
+    """The parent_id in a sub_id of split_subchunks."""
+    return F.regexp_extract(sub_id, r"^(.*)-s\d+$", 1).try_cast(kind)
+
+
 def extractive_summary(chunks: DataFrame, lexicon: Sequence[str], max_terms: int = 6, max_chars: int = 140) -> DataFrame:
     """chunk_id, summary: last two path parts, first sentence of more than 8 characters, first-seen lexicon terms, cut."""
     sentences = F.filter(F.regexp_extract_all("body", F.lit(r"[^。！？.!?]+[。！？.!?]?"), F.lit(0)), lambda s: F.length(F.trim(s)) > 8)

@@ -182,7 +182,7 @@ def rank_fusion(spark, sf_dir):
     benchmark = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), words("text").alias("tokens"))
     subs = textindex.split_subchunks(table(spark, sf_dir, "documents"), "doc_id", "text")
     index = textindex.bm25_index(subs.select("sub_id", words("body").alias("tokens")), "sub_id", "tokens", "sub")
-    parents = subs.select(F.col("sub_id").alias("item_id"), "parent_id")
+    parents = textindex.parent_of_subchunk("item_id", subs.schema["parent_id"].dataType.simpleString())
     fused = retrieval.rrf_fuse({"bm25": benchmark_ranks(spark, sf_dir), "sub": retrieval.subchunk_channel(benchmark, index, parents)})
     return fused.select("qid", "item_id", F.round("score", 9).alias("score"))
 
