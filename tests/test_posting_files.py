@@ -43,3 +43,11 @@ def test_parents_come_from_the_ids(spark):
     assert named.first().p == "a-s001"
     ranked = spark.createDataFrame([(1, "7-s001", 2.0, 1), (1, "7-s000", 1.0, 2), (1, "8-s000", 0.5, 3)], "qid int, item_id string, score double, rank int")
     assert [tuple(r) for r in retrieval.first_parent(ranked, textindex.parent_of_subchunk("item_id", "bigint"), 5).orderBy("rank").collect()] == [(1, 7, 2.0, 1), (1, 8, 0.5, 2)]
+
+
+def test_items_that_are_no_candidates_are_not_shuffled(spark):
+    items = spark.createDataFrame([(i, ["a", f"b{i}"]) for i in range(40)], "item_id int, tokens array<string>")
+    candidates = spark.createDataFrame([(1, 3, 2.0), (1, 5, 1.0), (2, 5, 1.0)], "qid int, item_id int, score double")
+    own = retrieval.wanted_items(candidates, items)
+    assert sorted(r.item_id for r in own.collect()) == [3, 5] == sorted(r.item_id for r in retrieval.wanted_items(candidates, items, few=1).collect())
+    assert "hashpartitioning" not in own._jdf.queryExecution().executedPlan().toString()

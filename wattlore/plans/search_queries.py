@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators import rank_eval, retrieval, textindex
 from .queries import UNITS_SQL, benchmark_gold, benchmark_queries, query, table, units, words
@@ -29,13 +29,13 @@ f AS (SELECT qid, item_id, round(sum(w / (60 + rank)), 12) AS score FROM (SELECT
 g AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, item_id)::INTEGER AS rank FROM f QUALIFY rank <= 30)"""
 
 
-def layers(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], DataFrame]:
-    """(layers chunk, sub and summary, lines with the document that they belong to)."""
+def layers(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], Column]:
+    """(layers chunk, sub and summary, the document that a line's item_id belongs to)."""
     rows = units(spark, sf_dir)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), words("text").alias("tokens"))
     lines = rows.select(F.col("unit_id").alias("item_id"), words("text").alias("tokens"))
     heads = rows.filter("`order` = 0").select(F.col("doc_id").alias("item_id"), words("text").alias("tokens"))
-    return {"chunk": docs, "sub": lines, "summary": heads}, rows.select(F.col("unit_id").alias("item_id"), F.col("doc_id").cast("string").alias("parent_id"))
+    return {"chunk": docs, "sub": lines, "summary": heads}, F.nullif(F.regexp_extract("item_id", r"^(.*)-\d+$", 1), F.lit(""))
 
 
 def two_way(spark: SparkSession, sf_dir: str, mode: str, k: int) -> DataFrame:
